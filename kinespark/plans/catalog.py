@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from kinespark.plans import dataset_queries, series_queries  # noqa: F401
+from kinespark.plans import dataset_queries, series_queries, source_queries  # noqa: F401
 from kinespark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
