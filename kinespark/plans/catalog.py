@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from kinespark.plans import dataset_queries, series_queries, source_queries  # noqa: F401
+from kinespark.plans import (  # noqa: F401
+    dataset_queries, model_queries, series_queries, source_queries, stream_queries,
+)
 from kinespark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
