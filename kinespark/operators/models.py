@@ -31,7 +31,7 @@ Factory = Callable[[int, int], object]
 def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Factory:
     """L2 penalty with inverse strength ``c``, on the features as given."""
     return lambda width, rows: LogisticRegression(
-        regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter
+        regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4
     )
 
 
@@ -40,7 +40,7 @@ def random_forest(trees: int = 100, depth: int = 10) -> Factory:
 
 
 def linear_svm(max_iter: int = 100, c: float = 1.0) -> Factory:
-    return lambda width, rows: LinearSVC(regParam=1 / (c * rows), standardization=False, maxIter=max_iter)
+    return lambda width, rows: LinearSVC(regParam=1 / (c * rows), standardization=False, maxIter=max_iter, tol=1e-3)
 
 
 def gradient_boosting(rounds: int = 100, depth: int = 3, step: float = 0.1) -> Factory:

@@ -52,27 +52,22 @@ def streamed_scores(spark, sf_dir):
     return live.run_to_table(live.score_stream(_extremes(spark, sf_dir), model), "scores")
 
 
-_MEASURES = ["gyro_left_z", "gyro_right_z", "accel_left_z", "accel_right_z"]
 _COLUMNS_SQL = """user_rows AS (
-  SELECT user_id % 10 AS subject_id, ts, event_id, value - 34.5 AS gyro_left_z, value * value / 100 - 12 AS gyro_right_z,
+  SELECT user_id % 10 AS subject_id, ts, event_id, value - 34.5 AS gyro_left_z, CAST(user_id % 97 - 48 AS DOUBLE) AS gyro_right_z,
          value / 100 AS accel_left_z, value / 200 AS accel_right_z FROM events),
 both_sensors AS (
   SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ts, event_id) - 1 AS n, ts AS hour_no FROM user_rows)"""
 
 
 def _row_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    feed = events.select(
         (F.col("user_id") % 10).alias("subject_id"), "ts", "event_id", (F.col("value") - 34.5).alias("gyro_left_z"),
-        (F.col("value") * F.col("value") / 100 - 12).alias("gyro_right_z"), (F.col("value") / 100).alias("accel_left_z"),
+        (F.col("user_id") % 97 - 48).cast("double").alias("gyro_right_z"), (F.col("value") / 100).alias("accel_left_z"),
         (F.col("value") / 200).alias("accel_right_z"),
     )
-    # one file per ten days, written in time order and read one per micro-batch
-    source = stage_path(spark, "feed")
-    for part in range(4):
-        due = F.least(F.floor(F.dayofmonth("ts") / 10), F.lit(3)) == part
-        rows.filter(due).coalesce(1).write.mode("append").parquet(source)
-    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sink = live.RowWindows(spark, rows.schema, SUBJECT, stage_path(spark, "row-windows"), tiebreak=["event_id"], lateness_s=3600)
+    sink = live.RowWindows(spark, feed.schema, SUBJECT, stage_path(spark, "row-windows"), tiebreak=["event_id"], lateness_s=3600)
     run = feed.writeStream.foreachBatch(sink).option("checkpointLocation", stage_path(spark, "row-windows-checkpoint"))
     started = run.trigger(availableNow=True).start()
     started.awaitTermination()
@@ -91,7 +86,7 @@ _ROW_SQL = with_(_COLUMNS_SQL, *DETECTION_SQL[-5:], recursive=True)
     + " FROM windows LEFT JOIN window_labels USING (subject_id, window_id)",
 )
 def streamed_row_windows(spark, sf_dir):
-    """Windows of 200 rows every 100 rows, with features and labels, from a stream in four micro-batches."""
+    """Windows of 200 rows every 100 rows, with features and labels, from a stream."""
     return rounded(_row_windows(spark, sf_dir).windows())
 
 
