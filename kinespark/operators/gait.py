@@ -68,13 +68,15 @@ def cycles(df: DataFrame, keys: Sequence[str], fs: float = 100.0, elapsed: str =
         *by, F.col("stride_no").alias("cycle_no"), "start_n", "end_n",
         F.col(f"start_{elapsed}").alias("start_s"), F.col(f"end_{elapsed}").alias("end_s"),
     )
-    marks = peaks.select(*by, "n", F.lit(True).alias("_peak"))
-    rows = smooth.select(*by, "n", "z_filtered").join(marks, [*by, "n"], "left")
-    start = F.when(F.col("_peak"), F.col("n"))
-    rows = running(rows, by, totals={"_seen": F.when(F.col("_peak"), 1).otherwise(0)}, lasts={"_from": start})
-    rows = rows.filter(F.col("_seen") > 0).select(
-        *by, (F.col("_seen") - 1).alias("cycle_no"),
-        (F.col("n") - F.when(F.col("_peak"), F.col("n")).otherwise(F.col("_from"))).alias("k"), "z_filtered",
+    # each peak goes in front of the row at its position, so one ordered pass numbers the cycles
+    marks = peaks.select(*by, "n", F.lit(None).cast("double").alias("z_filtered"), F.lit(0).alias("_kind"))
+    rows = smooth.select(*by, "n", "z_filtered", F.lit(1).alias("_kind")).unionByName(marks)
+    mark = F.col("_kind") == 0
+    rows = running(
+        rows, by, totals={"_seen": mark.cast("long")}, lasts={"_from": F.when(mark, F.col("n"))}, order=["_kind"]
+    )
+    rows = rows.filter((F.col("_kind") == 1) & (F.col("_seen") > 0)).select(
+        *by, (F.col("_seen") - 1).alias("cycle_no"), (F.col("n") - F.col("_from")).alias("k"), "z_filtered"
     )
     return found, rows
 

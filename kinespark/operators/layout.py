@@ -74,15 +74,16 @@ def enumerate_rows(
 
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: str = "n",
-           bound: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+           bound: int = BROADCAST_ROWS, how: str = "inner", stored: bool = False) -> DataFrame:
     """Join one-row-per-series values onto the rows of the series.
 
     The table is written first and broadcast if it has at most ``bound`` rows. Beyond that it is
     repeated once per salt and joined on (keys, salt), so that a hot series is spread over
-    ``SALTS`` tasks. ``spread`` is a column of ``df`` that varies inside a series.
+    ``SALTS`` tasks. ``spread`` is a column of ``df`` that varies inside a series. ``stored`` says
+    that the table has been written already.
     """
     keys = list(keys)
-    table = stage(table, "series")
+    table = table if stored else stage(table, "series")
     if table.count() <= bound:
         return df.join(F.broadcast(table), keys, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -117,14 +118,19 @@ def in_blocks(df: DataFrame, keys: Sequence[str], pos: str = "n", before: int =
 
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str | Column, int]],
-                    pos: str = "n", size: int = BLOCK) -> DataFrame:
-    """Add values of nearby rows: ``{alias: (column, offset)}``, offset < 0 is earlier."""
+                    pos: str = "n", size: int = BLOCK, keep_block: bool = False) -> DataFrame:
+    """Add values of nearby rows: ``{alias: (column, offset)}``, offset < 0 is earlier.
+
+    ``keep_block`` leaves the ``_block`` column in, so that :func:`running` can go on in the same
+    partitions.
+    """
     offsets = [offset for _, offset in wanted.values()]
     rows, w, own = in_blocks(df, keys, pos, before=max(0, -min(offsets)), after=max(0, max(offsets)), size=size)
     rows = rows.select(
         "*", *[(F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w).alias(alias) for alias, (c, k) in wanted.items()]
     )
-    return rows.filter(own).drop("_block")
+    rows = rows.filter(own)
+    return rows if keep_block else rows.drop("_block")
 
 
 def running(
@@ -133,23 +139,24 @@ def running(
     pos: str = "n",
     totals: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    order: Sequence[str] = (),
     size: int = BLOCK,
 ) -> DataFrame:
     """Running sums up to and including the row (``totals``) and the last non-null value of
-    strictly earlier rows (``lasts``).
+    strictly earlier rows (``lasts``); ``order`` breaks ties of ``pos``.
 
     Two levels: a window inside each block of ``size`` positions, and a window over one summary row
-    per block whose result is carried into the block.
+    per block whose result is carried into the block. A ``_block`` column left by
+    :func:`with_neighbours` is used as it is.
     """
     totals, lasts = dict(totals or {}), dict(lasts or {})
     keys = list(keys)
-    rows, w, _ = in_blocks(df, keys, pos, size=size)
+    columns = [c for c in df.columns if c != "_block"]
+    rows = df if "_block" in df.columns else in_blocks(df, keys, pos, size=size)[0]
+    w = Window.partitionBy(*keys, "_block").orderBy(pos, *order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
-        "*",
-        *[c.alias(f"_v_{a}") for a, c in {**totals, **lasts}.items()],
-    )
+    rows = rows.select("*", *[c.alias(f"_v_{a}") for a, c in {**totals, **lasts}.items()])
     summary = rows.groupBy(*keys, "_block").agg(
         *[F.sum(f"_v_{a}").alias(f"_c_{a}") for a in totals],
         *[F.max_by(f"_v_{a}", F.when(F.col(f"_v_{a}").isNotNull(), F.col(pos))).alias(f"_c_{a}") for a in lasts],
@@ -162,14 +169,14 @@ def running(
         *[F.last(f"_c_{a}", ignorenulls=True).over(over_blocks).alias(f"_k_{a}") for a in lasts],
     )
     scanned = rows.select(
-        *df.columns,
+        *columns,
         "_block",
         *[F.coalesce(F.sum(f"_v_{a}").over(upto), F.lit(0)).alias(f"_i_{a}") for a in totals],
         *[F.last(f"_v_{a}", ignorenulls=True).over(before).alias(f"_i_{a}") for a in lasts],
     )
     # the same (keys, block) partitioning serves the windows and this join
     return scanned.join(carry, [*keys, "_block"]).select(
-        *df.columns,
+        *columns,
         *[(F.col(f"_i_{a}") + F.col(f"_k_{a}")).alias(a) for a in totals],
         *[F.coalesce(f"_i_{a}", f"_k_{a}").alias(a) for a in lasts],
     )

@@ -13,18 +13,15 @@ from kinespark.session import stage
 
 
 def local_maxima(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n",
-                 height: float | None = None, keep: Sequence[str] = (), size: int = BLOCK) -> DataFrame:
+                 height: float | None = None, size: int = BLOCK) -> DataFrame:
     """Positions where the series rises strictly and then falls strictly.
 
     A flat top counts once, at its middle position rounded down; the first and the last run of a
     series are never maxima. A maximum is found at the row that falls: it exists if the last change
-    before that row was a rise. Columns in ``keep`` are taken at the peak position and therefore
-    need a join only for flat tops longer than one row; they are read from the previous row.
-    Returns ``keys, pos, value`` (+ ``keep``) of the maxima with ``value >= height``.
+    before that row was a rise. Returns ``keys, pos, value`` of the maxima with ``value >= height``.
     """
     keys = list(keys)
-    rows = df.select(*keys, pos, value, *keep)
-    rows = with_neighbours(rows, keys, {"_prev": (value, -1)}, pos, size)
+    rows = with_neighbours(df.select(*keys, pos, value), keys, {"_prev": (value, -1)}, pos, size, keep_block=True)
     changed = F.col(value) != F.col("_prev")
     change = F.when(changed, F.struct(F.col(pos).alias("at"), (F.col(value) > F.col("_prev")).alias("rise")))
     rows = running(rows, keys, pos, lasts={"_last": change}, size=size)
@@ -32,11 +29,7 @@ def local_maxima(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str
     peaks = top.select(
         *keys, F.floor((F.col("_last.at") + F.col(pos) - 1) / 2).alias(pos), F.col("_prev").alias(value)
     )
-    if height is not None:
-        peaks = peaks.filter(F.col(value) >= height)
-    if keep:
-        peaks = peaks.join(df.select(*keys, pos, *keep), [*keys, pos])
-    return peaks
+    return peaks if height is None else peaks.filter(F.col(value) >= height)
 
 
 def _greedy(sorted_desc: Column, low: Column, high: Column, d: int) -> Column:
@@ -93,8 +86,12 @@ def thin_out(candidates: DataFrame, keys: Sequence[str], distance: float, value:
 
 def find_peaks(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n", height: float | None = None,
                distance: float | None = None, keep: Sequence[str] = (), size: int = BLOCK) -> DataFrame:
-    """Local maxima at least ``height`` high, thinned to ``distance`` positions apart."""
-    peaks = local_maxima(df, keys, value, pos, height, (), size)
+    """Local maxima at least ``height`` high, thinned to ``distance`` positions apart.
+
+    Columns in ``keep`` are fetched at the peak positions. Thinned peaks are a stored table at most
+    1/``distance`` as long as the series, so the optimizer knows when it can broadcast them.
+    """
+    peaks = local_maxima(df, keys, value, pos, height, size)
     if distance is not None:
         peaks = thin_out(peaks, keys, distance, value, pos)
     if keep:

@@ -28,7 +28,9 @@ def phases(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n",
     """
     keys = list(keys)
     rows = df.select(*keys, pos, value, time)
-    rows = with_neighbours(rows, keys, {"_next": (value, 1), "_next_time": (time, 1)}, pos, size)
+    rows = with_neighbours(
+        rows, keys, {"_next": (value, 1), "_next_time": (time, 1)}, pos, size, keep_block=True
+    )
     crossing = F.coalesce(F.signum("_next") != F.signum(value), F.lit(False))
     rows = running(rows, keys, pos, totals={"_segment": crossing.cast("long")}, size=size)
     # partial aggregates combine before the shuffle, so a long flat segment is not one task's load

@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 
 from kinespark.functions.scalar import mixed_kurtosis, mixed_skewness
 from kinespark.operators.layout import SERIES_LIMIT, attach, enumerate_rows, longest_series, with_neighbours
+from kinespark.session import stage
 
 STATISTICS = ("mean", "std", "max", "min", "rms", "mad", "range", "iqr", "skew", "kurt", "zcr", "pkcnt", "pkamp")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float],
-              tiebreak: str = "n", limit: int = SERIES_LIMIT) -> DataFrame:
+              tiebreak: str = "n", limit: int = SERIES_LIMIT, longest: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probabilities``.
 
     ``percentile`` holds a group's distinct values in one task's memory, so it is used only while
     every group is at most ``limit`` rows. Beyond that the rows are ordered by value across the
-    whole cluster and the (at most two) rows at each requested rank are picked.
+    whole cluster and the (at most two) rows at each requested rank are picked. ``longest`` is
+    the size of the largest group, if it is known.
     """
     keys = list(keys)
     rows = df.select(*keys, value, tiebreak).filter(F.col(value).isNotNull())
-    if longest_series(rows, keys) <= limit:
+    if (longest_series(rows, keys) if longest is None else longest) <= limit:
         return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(a) for a, p in probabilities.items()])
     ranked = enumerate_rows(rows, keys, [value, tiebreak], name="_rank", limit=limit)
     counts = ranked.groupBy(*keys).agg(F.count("*").alias("_rows"))
@@ -47,11 +49,14 @@ def time_domain(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str =
     """
     keys = list(keys)
     rows = df.select(*keys, pos, value).filter(F.col(value).isNotNull())
-    middle = quantiles(rows, keys, value, {"_median": 0.5, "_q1": 0.25, "_q3": 0.75}, pos, limit)
-    deviations = attach(rows, middle.select(*keys, "_median"), keys, pos).select(
+    longest = longest_series(rows, keys)
+    middle = stage(
+        quantiles(rows, keys, value, {"_median": 0.5, "_q1": 0.25, "_q3": 0.75}, pos, limit, longest), "middle"
+    )
+    deviations = attach(rows, middle.select(*keys, "_median"), keys, pos, stored=True).select(
         *keys, pos, F.abs(F.col(value) - F.col("_median")).alias("_dev")
     )
-    mad = quantiles(deviations, keys, "_dev", {"mad": 0.5}, pos, limit)
+    mad = quantiles(deviations, keys, "_dev", {"mad": 0.5}, pos, limit, longest)
     z = F.col(value)
     crossings = F.lit(0).cast("long") if compat else F.count_if(z * F.col("_next") < 0)
     stats = with_neighbours(rows, keys, {"_next": (value, 1)}, pos).groupBy(*keys).agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 
@@ -41,11 +42,22 @@ def subject_features(series: DataFrame, spine: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     by = [*keys, "side"]
-    time = timedomain.time_domain_wide(timedomain.time_domain(series, by, compat=settings.compat), keys)
-    spectrum = spectra.summarize_spectra(
-        spectra.spectral_windows(series, by, keys, fs=settings.fs, width_s=settings.window_s), keys
-    )
-    found = stage(gait.stride_times(series, keys, settings.stride_height, settings.stride_distance), "strides")
-    symmetry = gait.summarize_symmetry(gait.stride_symmetry(found, keys), keys)
-    limbs = gait.mean_and_std(gait.cross_limb(series, keys, settings.fs), keys, exclude=["cycle_no"])
-    return subject_record(spine, [time, spectrum, symmetry, limbs], keys)
+
+    def statistics():
+        return timedomain.time_domain_wide(timedomain.time_domain(series, by, compat=settings.compat), keys)
+
+    def spectrum():
+        found = spectra.spectral_windows(series, by, keys, fs=settings.fs, width_s=settings.window_s)
+        return spectra.summarize_spectra(found, keys)
+
+    def symmetry():
+        found = stage(gait.stride_times(series, keys, settings.stride_height, settings.stride_distance), "strides")
+        return gait.summarize_symmetry(gait.stride_symmetry(found, keys), keys)
+
+    def limbs():
+        return gait.mean_and_std(gait.cross_limb(series, keys, settings.fs), keys, exclude=["cycle_no"])
+
+    # the groups are independent: their stored intermediates are written side by side
+    with ThreadPool(4) as pool:
+        groups = pool.map(lambda group: group(), [statistics, spectrum, symmetry, limbs])
+    return subject_record(spine, groups, keys)

@@ -86,12 +86,16 @@ def as_canonical_file(rows: DataFrame, sensor: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f) for c, f in zip(columns, canonical_columns(sensor))])
 
 
-def _from_path(pattern: str, group: int) -> Column:
-    return F.regexp_extract("_path", pattern, group)
+def _path_parts() -> Column:
+    """[cohort, subject, file] from the path of a file, or of a part of a folder, with or without ``name=`` prefixes."""
+    # '+' is literal in a path, but url_decode would read it as a blank
+    parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    plain = F.element_at(parts, -1).contains("Shank-")
+    last_three = F.when(plain, F.slice(parts, -3, 3)).otherwise(F.slice(parts, -4, 3))
+    return F.transform(last_three, lambda p: F.substring_index(p, "=", -1))
 
 
-# also matches folders written with partition columns (cohort=Healthy/subject_id=3/file=LeftShank-…)
-_PATH = r"(?:[a-z_]+=)?([^/=]+)/(?:[a-z_]+=)?([^/=]+)/(?:[a-z_]+=)?(Left|Right)Shank-(Gyroscope|Accelerometer)\.csv"
+_FILE_NAME = r"^(Left|Right)Shank-(Gyroscope|Accelerometer)\.csv$"
 
 
 def scan_canonical(spark: SparkSession, base: str) -> DataFrame:
@@ -105,17 +109,19 @@ def scan_canonical(spark: SparkSession, base: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(base)
-        .withColumn("_path", F.url_decode(F.col("_metadata.file_path")))
+        .withColumn("_parts", _path_parts())
     )
-    ts = F.coalesce(parse_timestamp("timestamp_text"))
+    file = F.col("_parts")[2]
+    rows = rows.withColumn("_ts", parse_timestamp("timestamp_text"))
+    ts = F.col("_ts")
     reason = F.when(F.col("_bad_line").isNotNull(), "line does not match the schema").when(
         ts.isNull(), "time stamp without fraction or malformed"
     )
-    return rows.filter(_from_path(_PATH, 0) != "").select(
-        _from_path(_PATH, 1).alias("cohort"),
-        _from_path(_PATH, 2).alias("subject_id"),
-        F.lower(_from_path(_PATH, 4)).alias("sensor"),
-        F.lower(_from_path(_PATH, 3)).alias("side"),
+    return rows.filter(file.rlike(_FILE_NAME)).select(
+        F.col("_parts")[0].alias("cohort"),
+        F.col("_parts")[1].alias("subject_id"),
+        F.when(file.contains("Gyroscope"), "gyroscope").otherwise("accelerometer").alias("sensor"),
+        F.when(file.startswith("Left"), "left").otherwise("right").alias("side"),
         clean_timestamp_text("timestamp_text").alias("timestamp_text"),
         ts.alias("ts"),
         nan_to_null("elapsed").alias("elapsed"),
