@@ -37,13 +37,15 @@ def enumerate_rows(
     order: Sequence[str],
     name: str = "n",
     limit: int = SERIES_LIMIT,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series; ``order`` must be unique in a series.
 
     Series of ordinary length are numbered by a window. When the longest series exceeds ``limit``
     rows, all rows are range-partitioned by (keys, order) instead, which splits any hot series
     over many tasks; the position is then the row's index in its range plus the rows that earlier
-    ranges hold of the same series (one row per series and range).
+    ranges hold of the same series (one row per series and range). The number of ``ranges`` is the
+    session's number of shuffle partitions, less those that adaptive execution finds too small.
     """
     keys, order = list(keys), list(order)
     if longest_series(df, keys) <= limit:
@@ -51,7 +53,7 @@ def enumerate_rows(
         return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
     row_mask = (1 << 33) - 1
     ranged = stage(
-        df.repartitionByRange(*keys, *order)
+        df.repartitionByRange(*([ranges] if ranges else []), *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(row_mask))),

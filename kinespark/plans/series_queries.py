@@ -105,7 +105,7 @@ def quantiles_by_rank(spark, sf_dir):
 )
 def series_positions(spark, sf_dir):
     """Row numbers by range partitions and seconds since each series' first row."""
-    rows = enumerate_rows(samples(spark, sf_dir), SERIES, ["ts", "event_id"], limit=0)
+    rows = enumerate_rows(samples(spark, sf_dir), SERIES, ["ts", "event_id"], limit=0, ranges=16)
     first = rows.groupBy(*SERIES).agg(F.min("ts").alias("_t0"))
     timed = attach(rows, first, SERIES).select(*SERIES, "event_id", "n", seconds_between("_t0", "ts").alias("elapsed_s"))
     return rounded(timed)
