@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinespark.operators import dataset, folds, models, statistics, timedomain, windows
+from kinespark.plans import scoring
+from kinespark.plans import sql_parts as S
 from kinespark.plans.dataset_queries import detection_windows_by_supplier
-from kinespark.plans.registry import query, r, rounded
-from kinespark.plans.views import SUBJECT, samples, table
+from kinespark.plans.registry import query, r, rounded, with_
+from kinespark.plans.views import SUBJECT, samples, staged_signal, table
 from kinespark.session import stage, stage_path
 
 _LABELS = "SELECT d.source AS model, l.doc_id, l.quality AS label, l.toxic AS prediction FROM labels l JOIN documents d USING (doc_id)"
@@ -266,3 +268,34 @@ def forest_importance(spark, sf_dir):
     importance = models.forest_importance(train, FEATURES, "label_moderate", models.random_forest(20))
     ranks = models.recursive_elimination(train, FEATURES, "label_moderate", 4, factory=models.random_forest(20))
     return rounded(dataset.join_one_to_one(importance, ranks, ["feature"]).orderBy("ranking", "feature"))
+
+
+_KEYS = "subject_id, side"
+
+
+@query(
+    "stride_measures",
+    with_(
+        S.SIGNAL, S.maxima("signal", _KEYS, height=scoring.LIVE_HEIGHT), S.thinned("maxima", _KEYS, scoring.LIVE_DISTANCE),
+        S.numbered_strides("thinned", _KEYS),
+        """pairs AS (
+  SELECT l.subject_id, (l.stride_samples - r.stride_samples) / CAST(l.stride_samples + r.stride_samples AS DOUBLE) AS a,
+         least(l.stride_samples, r.stride_samples) / CAST(greatest(l.stride_samples, r.stride_samples) AS DOUBLE) AS s
+  FROM strides l JOIN strides r ON l.subject_id = r.subject_id AND l.stride_no = r.stride_no AND l.side = 'left' AND r.side = 'right')""",
+        recursive=True,
+    )
+    + "SELECT subject_id, " + r("coalesce(avg(a), 0)", windows.ASYMMETRY_FEATURES[0]) + ", "
+    + r("coalesce(avg(s), 0)", windows.ASYMMETRY_FEATURES[1])
+    + " FROM (SELECT DISTINCT subject_id FROM signal) LEFT JOIN pairs USING (subject_id) GROUP BY subject_id",
+)
+def stride_measures(spark, sf_dir):
+    """Mean stride asymmetry and symmetry per recording, 0 where no strides pair up."""
+    return rounded(scoring.stride_measures(staged_signal(spark, sf_dir), SUBJECT))
+
+
+@query("stride_scores")
+def stride_scores(spark, sf_dir):
+    """Recordings classified by their stride measures, with a model fitted on labelled windows."""
+    train = training_windows(spark, sf_dir, "label_lenient")
+    model = models.fit(train, windows.ASYMMETRY_FEATURES, "label_lenient", models.random_forest(20))
+    return rounded(scoring.score_strides(staged_signal(spark, sf_dir), SUBJECT, model))

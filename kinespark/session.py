@@ -41,9 +41,19 @@ def stage_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/kinespark/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{stage_root(spark)}/kinespark/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> bool:
+    """Delete what this application has staged, once its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
