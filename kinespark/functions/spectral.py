@@ -17,6 +17,22 @@ def power_spectrum(values: pd.Series) -> pd.Series:
     return pd.Series([np.abs(np.fft.fft(v)[: len(v) // 2]) ** 2 for v in values])
 
 
+_NUMBERS = T.ArrayType(T.DoubleType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("re", _NUMBERS), T.StructField("im", _NUMBERS)]))
+def partial_dft(values: pd.Series, first: pd.Series, samples: pd.Series, low_bin: pd.Series, high_bin: pd.Series) -> pd.DataFrame:
+    """What the samples ``first, first + 1, …`` of a window of ``samples`` add to the bins [low, high)."""
+    real, imaginary = [], []
+    for v, start, n, low, high in zip(values, first, samples, low_bin, high_bin):
+        positions = np.arange(start, start + len(v), dtype=np.int64)
+        # the product is reduced as an integer, so that large windows lose no precision
+        angle = np.outer(np.arange(low, high, dtype=np.int64), positions) % n * (2 * np.pi / n)
+        real.append(np.cos(angle) @ np.asarray(v))
+        imaginary.append(-np.sin(angle) @ np.asarray(v))
+    return pd.DataFrame({"re": real, "im": imaginary})
+
+
 def power_spectrum_dft(values: str | Column) -> Column:
     """The same spectrum from sine and cosine sums, without Python."""
     values = F.col(values) if isinstance(values, str) else values

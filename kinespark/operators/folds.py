@@ -55,6 +55,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], limit: int = 200) -> DataF
 
 
 def holdout(df: DataFrame, keys: Sequence[str], share: float = 0.75, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the key: repeatable, and a key is never in both."""
-    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000))
+    """Train and test rows by a hash of the key: repeatable in any engine, and a key is never in both."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000
     return df.filter(place < round(share * 10_000)), df.filter(place >= round(share * 10_000))

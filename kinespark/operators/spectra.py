@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.functions.spectral import band_energy, dominant_bin, power_spectrum, spectral_entropy
-from kinespark.operators.layout import attach
+from kinespark.functions.spectral import (
+    LOG_GUARD, band_energy, dominant_bin, partial_dft, power_spectrum, spectral_entropy,
+)
+from kinespark.operators.layout import attach, longest_series
+from kinespark.session import stage
 
 BAND = (0.5, 3.0)  # Hz
+FFT_LIMIT = 1_000_000  # samples of one window that are transformed as one array
+DFT_CHUNK = 2_048  # samples and bins per piece of a larger window
+WINDOW = ("window_id", "start_time", "end_time")
 FEATURES = ("dominant_freq", "spectral_entropy", "gait_band_energy")
 
 
@@ -42,28 +48,40 @@ def tumbling_windows(df: DataFrame, keys: Sequence[str], width_s: float, time: s
 
 
 def spectral_windows(df: DataFrame, keys: Sequence[str], window_keys: Sequence[str] | None = None, value: str = "z",
-                     time: str = "ts", pos: str = "n", fs: float = 100.0, width_s: float = 2.0) -> DataFrame:
+                     time: str = "ts", pos: str = "n", fs: float = 100.0, width_s: float = 2.0,
+                     fft_limit: int = FFT_LIMIT) -> DataFrame:
     """Dominant frequency, spectral entropy and band energy per window and series.
 
-    ``window_keys`` names the keys that share a window grid (default: all of ``keys``). The samples
-    of one window are collected into an array, whose length is bounded by rate × width.
+    ``window_keys`` names the keys that share a window grid (default: all of ``keys``). A window of
+    up to ``fft_limit`` samples is one array and one FFT; a larger one is transformed in chunks of
+    samples × bins spread over many tasks.
     """
     keys = list(keys)
-    rows = tumbling_windows(df.select(*keys, pos, time, value), window_keys or keys, width_s, time, pos)
+    df = df.select(*keys, pos, time, value)
+    rows = tumbling_windows(df, window_keys or keys, width_s, time, pos)
+    by = [*keys, *WINDOW]
+    # no window is longer than its series
+    if longest_series(df, keys) <= fft_limit:
+        return _in_one_piece(rows, by, value, pos, fs)
+    large = rows.groupBy(*by).agg(F.count("*").alias("samples"), F.min(pos).alias("_first"))
+    large = stage(large.filter(F.col("samples") > fft_limit), "large-windows")
+    if large.isEmpty():
+        return _in_one_piece(rows, by, value, pos, fs)
+    return _in_one_piece(rows.join(large.select(*by), by, "left_anti"), by, value, pos, fs).unionByName(
+        _in_chunks(attach(rows, large, by, pos, stored=True), by, value, pos, fs)
+    )
+
+
+def _in_one_piece(rows: DataFrame, by: Sequence[str], value: str, pos: str, fs: float) -> DataFrame:
     samples = (
-        rows.groupBy(*keys, "window_id", "start_time", "end_time")
+        rows.groupBy(*by)
         .agg(F.array_sort(F.collect_list(F.struct(pos, value)))[value].alias("_values"))
         .withColumn("samples", F.size("_values").cast("long"))
         .filter(F.col("samples") >= 2)
     )
-    spectra = samples.select(
-        *keys, "window_id", "start_time", "end_time", "samples", power_spectrum("_values").alias("_power")
-    )
+    spectra = samples.select(*by, "samples", power_spectrum("_values").alias("_power"))
     return spectra.select(
-        *keys,
-        "window_id",
-        "start_time",
-        "end_time",
+        *by,
         (dominant_bin("_power") * fs / F.col("samples")).alias("dominant_freq"),
         spectral_entropy("_power").alias("spectral_entropy"),
         band_energy("_power", "samples", fs, *BAND).alias("gait_band_energy"),
@@ -71,6 +89,37 @@ def spectral_windows(df: DataFrame, keys: Sequence[str], window_keys: Sequence[s
     )
 
 
+def _in_chunks(rows: DataFrame, by: Sequence[str], value: str, pos: str, fs: float, chunk: int = DFT_CHUNK) -> DataFrame:
+    """The same measures from sums over chunks; ``rows`` carry ``samples`` and the window's ``_first`` position."""
+    at = F.col(pos) - F.col("_first")
+    bins = F.floor(F.col("samples") / 2)
+    chunks = rows.withColumn("_chunk", F.floor(at / chunk)).groupBy(*by, "samples", "_chunk").agg(
+        F.array_sort(F.collect_list(F.struct(pos, value)))[value].alias("_values")
+    )
+    pairs = chunks.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), bins - 1, F.lit(chunk).cast("long"))))
+    part = partial_dft("_values", F.col("_chunk") * chunk, "samples", "_low", F.least(F.col("_low") + chunk, bins))
+    sums = (
+        pairs.repartition(*by, "_chunk", "_low")
+        .select(*by, "samples", "_low", part.alias("_part"))
+        .select(*by, "samples", "_low", F.posexplode(F.arrays_zip("_part.re", "_part.im")).alias("_k", "_v"))
+        .groupBy(*by, "samples", (F.col("_low") + F.col("_k")).alias("bin"))
+        .agg(F.sum("_v.re").alias("_re"), F.sum("_v.im").alias("_im"))
+    )
+    power = F.pow("_re", F.lit(2)) + F.pow("_im", F.lit(2))
+    spectrum = stage(sums.select(*by, "samples", "bin", power.alias("power")), "spectrum")
+    totals = spectrum.groupBy(*by).agg(F.sum("power").alias("_total"))
+    spectrum = attach(spectrum, totals, by, "bin")
+    share = F.try_divide("power", "_total")
+    inside = (F.col("bin") * fs / F.col("samples")).between(*BAND)
+    return spectrum.groupBy(*by, "samples").agg(
+        F.max_by("bin", F.struct("power", -F.col("bin"))).alias("_top"),
+        (-F.sum(share * F.log2(share + F.lit(LOG_GUARD)))).alias("spectral_entropy"),
+        F.sum(F.when(inside, F.col("power")).otherwise(0.0)).alias("gait_band_energy"),
+    ).select(
+        *by, (F.col("_top") * fs / F.col("samples")).alias("dominant_freq"), "spectral_entropy", "gait_band_energy", "samples"
+    )
+
+
 def summarize_spectra(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean and standard deviation per side, as one row per subject (12 columns)."""
     out = []

@@ -114,7 +114,27 @@ def _point_biserial(spark, sf_dir):
     return statistics.point_biserial(rows, "class", names)
 
 
-@query("significant_features")
+# two-sided p-value: the tail of (1 − x²)^((n−4)/2) beyond |r|, by Simpson's rule after x = sin(t)
+_P_SQL = (
+    _CELLS + """,
+report AS (
+  SELECT name AS feature, count(v) AS n,
+         covar_pop(CASE WHEN label < 5 THEN 0.0 ELSE 1.0 END, v) / nullif(stddev_pop(CASE WHEN label < 5 THEN 0.0 ELSE 1.0 END)
+         * stddev_pop(v), 0) AS r FROM cells GROUP BY name),
+steps AS (
+  SELECT feature, r, n, asin(abs(r)) AS t0, (pi() / 2 - asin(abs(r))) / 4000 AS h, i FROM report, range(4001) s(i)),
+tails AS (
+  SELECT feature, r, any_value(n) AS n,
+         any_value(h) / 3 * sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                                * greatest(cos(t0 + i * h), 0) ** (n - 3)) AS area
+  FROM steps GROUP BY feature, r)
+"""
+    + "SELECT * FROM (SELECT feature, " + r("r", "correlation") + ", "
+    + r("2 * area * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi())", "p_value") + " FROM tails) WHERE p_value < 0.05"
+)
+
+
+@query("significant_features", _P_SQL)
 def significant_features(spark, sf_dir):
     """Dimensions whose correlation has a p-value below 0.05."""
     return rounded(statistics.significant(_point_biserial(spark, sf_dir)))
@@ -175,10 +195,17 @@ def one_to_one_join(spark, sf_dir):
     return dataset.join_one_to_one(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), items, ["s_suppkey"])
 
 
-@query("holdout_split")
+_PLACE = "CAST('0x' || substr(md5(o_orderkey || '|42'), 1, 8) AS BIGINT) % 10000"
+
+
+@query(
+    "holdout_split",
+    f"SELECT CASE WHEN {_PLACE} < 7500 THEN 'train' ELSE 'test' END AS table_name, count(*) AS rows,"
+    f" CAST(2 AS INTEGER) AS columns FROM orders GROUP BY {_PLACE} < 7500",
+)
 def holdout_split(spark, sf_dir):
     """Rows in the training and the test part of a repeatable 75/25 split."""
-    train, test = folds.holdout(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    train, test = folds.holdout(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
     return dataset.cohort_union([dataset.shape_report(train, "train"), dataset.shape_report(test, "test")])
 
 
