@@ -31,6 +31,19 @@ def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def split_long(df: DataFrame, keys: Sequence[str], limit: int, longest: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of series with at most ``limit`` rows, and the rows of longer ones (None if there are none).
+
+    ``longest`` is the size of the longest series, if it is known. The long series are at most
+    rows / limit many; their stored list is broadcast as far as its size permits.
+    """
+    keys = list(keys)
+    if (longest_series(df, keys) if longest is None else longest) <= limit:
+        return df, None
+    long = stage(df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys), "long-series")
+    return df.join(long, keys, "left_anti"), df.join(long, keys, "left_semi")
+
+
 def enumerate_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,16 +54,20 @@ def enumerate_rows(
 ) -> DataFrame:
     """Add the 0-based position of each row in its series; ``order`` must be unique in a series.
 
-    Series of ordinary length are numbered by a window. When the longest series exceeds ``limit``
-    rows, all rows are range-partitioned by (keys, order) instead, which splits any hot series
-    over many tasks; the position is then the row's index in its range plus the rows that earlier
-    ranges hold of the same series (one row per series and range). The number of ``ranges`` is the
-    session's number of shuffle partitions, less those that adaptive execution finds too small.
+    Series of ordinary length are numbered by a window. The rows of series longer than ``limit``
+    are range-partitioned by (keys, order) instead, which splits a hot series over many tasks; the
+    position is then the row's index in its range plus the rows that earlier ranges hold of the
+    same series (one row per series and range). The number of ``ranges`` is the session's number of
+    shuffle partitions, less those that adaptive execution finds too small.
     """
     keys, order = list(keys), list(order)
-    if longest_series(df, keys) <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    ordinary, long = split_long(df, keys, limit)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    numbered = ordinary.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    return numbered if long is None else numbered.unionByName(_enumerate_by_ranges(long, keys, order, name, ranges))
+
+
+def _enumerate_by_ranges(df: DataFrame, keys: list[str], order: list[str], name: str, ranges: int | None) -> DataFrame:
     row_mask = (1 << 33) - 1
     ranged = stage(
         df.repartitionByRange(*([ranges] if ranges else []), *keys, *order)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions.scalar import mixed_kurtosis, mixed_skewness
-from kinespark.operators.layout import SERIES_LIMIT, attach, enumerate_rows, longest_series, with_neighbours
+from kinespark.operators.layout import SERIES_LIMIT, attach, enumerate_rows, longest_series, split_long, with_neighbours
 from kinespark.session import stage
 
 STATISTICS = ("mean", "std", "max", "min", "rms", "mad", "range", "iqr", "skew", "kurt", "zcr", "pkcnt", "pkamp")
@@ -18,24 +18,28 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
               tiebreak: str = "n", limit: int = SERIES_LIMIT, longest: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probabilities``.
 
-    ``percentile`` holds a group's distinct values in one task's memory, so it is used only while
-    every group is at most ``limit`` rows. Beyond that the rows are ordered by value across the
-    whole cluster and the (at most two) rows at each requested rank are picked. ``longest`` is
-    the size of the largest group, if it is known.
+    Each group's rows are ranked by value and the (at most two) rows at each requested place are
+    picked: a sort that spills, where ``percentile`` would keep a map of all distinct values in
+    memory. Groups of at most ``limit`` rows are ranked by a window, larger ones across the whole
+    cluster. ``longest`` is the size of the largest group, if it is known.
     """
     keys = list(keys)
     rows = df.select(*keys, value, tiebreak).filter(F.col(value).isNotNull())
-    if (longest_series(rows, keys) if longest is None else longest) <= limit:
-        return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(a) for a, p in probabilities.items()])
-    ranked = enumerate_rows(rows, keys, [value, tiebreak], name="_rank", limit=limit)
-    counts = ranked.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    ranked = attach(ranked, counts, keys, "_rank")
+    ordinary, long = split_long(rows, keys, limit, longest)
+    group = Window.partitionBy(*keys)
+    ranked = ordinary.select(
+        *keys, value, (F.row_number().over(group.orderBy(value)) - 1).cast("long").alias("_rank"),
+        F.count("*").over(group).alias("_rows"),
+    )
+    if long is not None:
+        far = enumerate_rows(long, keys, [value, tiebreak], name="_rank", limit=0)
+        counts = far.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        ranked = ranked.unionByName(attach(far.drop(tiebreak), counts, keys, "_rank"))
     picked = []
     for alias, p in probabilities.items():
         place = (F.col("_rows") - 1) * F.lit(p)
         low, share = F.floor(place), place - F.floor(place)
         weight = F.when(F.col("_rank") == low, 1 - share).when(F.col("_rank") == low + 1, share)
-        # a sum over at most two rows of the group
         picked.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(alias))
     return ranked.groupBy(*keys).agg(*picked)
 

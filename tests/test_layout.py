@@ -22,6 +22,14 @@ def test_numbering_by_ranges_equals_numbering_by_key(spark):
         assert numbered.filter("n <> t").count() == 0
 
 
+def test_only_long_series_are_split_off(spark):
+    df = shuffled(spark, {"a": 501, "b": 7, "hot": 4000})
+    ordinary, long = layout.split_long(df, ["key"], 501)
+    assert {r["key"] for r in ordinary.select("key").distinct().collect()} == {"a", "b"}
+    assert {r["key"] for r in long.select("key").distinct().collect()} == {"hot"}
+    assert layout.split_long(df, ["key"], 4000)[1] is None
+
+
 def test_hot_series_is_spread_over_ranges(spark):
     df = shuffled(spark, {"hot": 4000, "a": 10})
     ranged = df.repartitionByRange(6, "key", "t").withColumn("p", F.spark_partition_id())
