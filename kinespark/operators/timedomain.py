@@ -4,37 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.functions.scalar import mixed_kurtosis, mixed_skewness
-from kinespark.operators.layout import SERIES_LIMIT, attach, enumerate_rows, longest_series, split_long, with_neighbours
+from kinespark.operators.layout import attach, enumerate_rows, longest_series, split_long, with_neighbours
 from kinespark.session import stage
 
+QUANTILE_LIMIT = 500_000  # a larger group is ranked across the cluster
+
 STATISTICS = ("mean", "std", "max", "min", "rms", "mad", "range", "iqr", "skew", "kurt", "zcr", "pkcnt", "pkamp")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float],
-              tiebreak: str = "n", limit: int = SERIES_LIMIT, longest: int | None = None) -> DataFrame:
+              tiebreak: str = "n", limit: int = QUANTILE_LIMIT, longest: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probabilities``.
 
-    Each group's rows are ranked by value and the (at most two) rows at each requested place are
-    picked: a sort that spills, where ``percentile`` would keep a map of all distinct values in
-    memory. Groups of at most ``limit`` rows are ranked by a window, larger ones across the whole
-    cluster. ``longest`` is the size of the largest group, if it is known.
+    ``percentile`` combines equal values before the shuffle but keeps a group's distinct values in
+    one task's memory, so it serves groups of at most ``limit`` rows. The rows of larger groups are
+    ranked across the whole cluster and the (at most two) rows at each requested place are picked.
+    ``longest`` is the size of the largest group, if it is known.
     """
     keys = list(keys)
     rows = df.select(*keys, value, tiebreak).filter(F.col(value).isNotNull())
     ordinary, long = split_long(rows, keys, limit, longest)
-    group = Window.partitionBy(*keys)
-    ranked = ordinary.select(
-        *keys, value, (F.row_number().over(group.orderBy(value)) - 1).cast("long").alias("_rank"),
-        F.count("*").over(group).alias("_rows"),
+    # one call for all probabilities: each call would keep its own map
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+    found = ordinary.groupBy(*keys).agg(F.percentile(value, wanted).alias("_q")).select(
+        *keys, *[F.get("_q", F.lit(i)).alias(a) for i, a in enumerate(probabilities)]
     )
-    if long is not None:
-        far = enumerate_rows(long, keys, [value, tiebreak], name="_rank", limit=0)
-        counts = far.groupBy(*keys).agg(F.count("*").alias("_rows"))
-        ranked = ranked.unionByName(attach(far.drop(tiebreak), counts, keys, "_rank"))
+    return found if long is None else found.unionByName(_quantiles_by_rank(long, keys, value, probabilities, tiebreak))
+
+
+def _quantiles_by_rank(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], tiebreak: str) -> DataFrame:
+    ranked = enumerate_rows(rows, keys, [value, tiebreak], name="_rank", limit=0)
+    counts = ranked.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    ranked = attach(ranked, counts, keys, "_rank")
     picked = []
     for alias, p in probabilities.items():
         place = (F.col("_rows") - 1) * F.lit(p)
@@ -45,7 +50,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
 
 
 def time_domain(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n", compat: bool = False,
-                limit: int = SERIES_LIMIT) -> DataFrame:
+                limit: int = QUANTILE_LIMIT) -> DataFrame:
     """Thirteen statistics of ``value`` per series.
 
     Zero crossings are counted between neighbouring rows of opposite sign. ``compat`` reports them
