@@ -1,4 +1,4 @@
 """All queries of this folder; importing the modules registers them."""
 
-from kinespark.llm import exact_dedup, mixing, pieces, quality_rules, token_counts, warc  # noqa: F401
+from kinespark.llm import exact_dedup, mixing, pieces, quality_rules, suffix_dedup, token_counts, warc  # noqa: F401
 from kinespark.llm.common import QUERIES, SQL  # noqa: F401

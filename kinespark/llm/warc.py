@@ -154,7 +154,7 @@ def build_index(captures: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
             yield pd.DataFrame([block(held)], columns=["first_key", "block", "lines"])
 
     blocks = stage(sorted_lines.mapInPandas(run, BLOCKS), "blocks")
-    directory = [(r[0], r[1]) for r in blocks.select("first_key", "block").limit(2 * DIRECTORY_ROWS).collect()]
+    directory = [(r[0], r[1]) for r in blocks.select("first_key", "block").collect()]  # at most DIRECTORY_ROWS
     return blocks, sorted(directory, key=lambda x: (x[0].encode(), x[1]))
 
 
