@@ -66,20 +66,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stage_batches(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-    """Store the columns bucketed by ``batch`` (a hash of doc_id) in the shared folder.
+def batch_of(doc_id: str | Column, batches: int) -> Column:
+    return F.pmod(F.hash(doc_id), F.lit(batches))
+
+
+def stage_bucketed(df: DataFrame, batches: int, name: str = "batches") -> DataFrame:
+    """Store a frame that is dealt by ``batch`` as a table of one bucket per batch in the shared folder.
 
     Later passes over whole batches, and co-groups by batch, read the buckets without a shuffle.
     """
-    spark, batches = docs.sparkSession, batch_count(docs)
-    name = f"batches_{uuid.uuid4().hex}"
-    chosen = docs.select(*columns, F.pmod(F.hash("doc_id"), F.lit(batches)).alias("batch"))
+    spark, fresh = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     (
-        chosen.repartition(batches, "batch").write.bucketBy(batches, "batch")
-        .option("path", stage_path(spark, "batches")).option("compression", "zstd").format("parquet").saveAsTable(name)
+        df.write.bucketBy(batches, "batch").option("path", stage_path(spark, name)).option("compression", "zstd")
+        .format("parquet").saveAsTable(fresh)
     )
     release(spark)
-    return spark.table(name), batches
+    return spark.table(fresh)
+
+
+def stage_batches(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """The columns of all documents, stored by batch (a hash of doc_id), and the number of batches."""
+    batches = batch_count(docs)
+    chosen = docs.select(*columns, batch_of("doc_id", batches).alias("batch"))
+    return stage_bucketed(chosen.repartition(batches, "batch"), batches), batches
 
 
 # Packed exchange: batches of documents send their 64-bit keys to shards by range of the key, one
