@@ -42,6 +42,7 @@ from kinespark.session import stage
 
 WORDS = 4
 PERCENT = 85
+CARRIED = 256  # keys of a set that are carried along to tell the first common one
 WAVES = 4  # of single pivots, before the rest is compared
 
 FACTORS = mix(np.arange(1001, 1001 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -88,6 +89,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def needed_upwards(n: int, percent: int = PERCENT) -> int:
+    """The least overlap of a set of n with a similar set that is not smaller."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def probe(n: int, percent: int = PERCENT) -> tuple[int, int]:
     """(how many of the least hashes to look at, how many of them must occur elsewhere)."""
     spare = n - needed(n, percent)
@@ -172,13 +178,17 @@ def likely_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
     return stage_bucketed(sets, count, "sets"), count
 
 
-PREFIX = "doc_id long, n long, single int, elements array<long>, counts array<long>"
+PREFIX = "doc_id long, n long, shared long, single int, index1 int, index2 int, elements array<long>, counts array<long>"
+PREFIX_NAMES = [x.split()[0] for x in PREFIX.split(", ")]
 
 
 def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) -> DataFrame:
     """Per chosen set the elements of its prefix that other sets have too, rare ones first.
 
     The prefix is one element longer than lists need; ``single`` elements belong to the shorter one.
+    ``index1`` and ``index2`` elements belong to the still shorter prefixes that meet any set that is not smaller
+    in a list or a 2-subset.
+    ``shared`` counts all elements of the set that other sets have too: no overlap is larger.
     """
     shards = shard_count(batches)
     held = sets.filter("hashes IS NOT NULL").select("batch", "doc_id", "n", "hashes")
@@ -198,7 +208,7 @@ def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) ->
         counts = [np.frombuffer(k, np.uint32) for k in found["counts"] if k is not None]
         own = rows[rows["doc_id"].isin(found["doc_id"].dropna())]
         if not keys or not len(own):
-            return pd.DataFrame(columns=["doc_id", "n", "single", "elements", "counts"])
+            return pd.DataFrame(columns=PREFIX_NAMES)
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
@@ -208,10 +218,11 @@ def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) ->
             at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
             df = np.where(keys[at] == s, counts[at], 1).astype(np.int64)
             first = np.lexsort((s, df))[: n - needed(n, percent) + 2]
-            shared = first[df[first] > 1]
-            single = int((df[first[: n - needed(n, percent) + 1]] > 1).sum())
-            out.append((doc, n, single, s[shared].astype(np.int64), df[shared]))
-        return pd.DataFrame(out, columns=["doc_id", "n", "single", "elements", "counts"])
+            place = np.flatnonzero(df[first] > 1)
+            up = n - needed_upwards(n, percent)
+            lengths = [int((place < k).sum()) for k in (n - needed(n, percent) + 1, up + 1, up + 2)]
+            out.append((doc, n, int((df > 1).sum()), *lengths, s[first[place]].astype(np.int64), df[first[place]]))
+        return pd.DataFrame(out, columns=PREFIX_NAMES)
 
     return stage(held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(order, PREFIX), "prefixes")
 
@@ -234,20 +245,25 @@ def boundary(prefix: DataFrame, percent: int = PERCENT) -> int:
 
 
 def keys_of(prefix: DataFrame, heavy: int, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id, n): subsets of light sets, list entries of heavy sets and of those that may be similar to one.
+    """(key, upwards, doc_id, n, shared): subsets of light sets, list entries of heavy sets and of those that may be similar to one.
 
-    Sets of one element have no 2-subset and are filed by the element.
+    Sets of one element have no 2-subset and are filed by the element. Keys that a set needs to meet sets
+    that are not smaller are marked ``upwards``.
     """
     e = F.col("elements")
-    subsets = F.flatten(F.transform(e, lambda x, i: F.transform(
-        F.slice(e, i + 2, F.size(e)), lambda y: F.xxhash64(F.lit("subset"), F.least(x, y), F.greatest(x, y)))))
-    lists = F.transform(F.slice(e, 1, F.col("single")), lambda x: F.xxhash64(F.lit("list"), x))
-    none = F.array().cast("array<bigint>")
+    subsets = F.flatten(F.transform(e, lambda x, i: F.transform(F.slice(e, i + 2, F.size(e)), lambda y, k: F.struct(
+        F.xxhash64(F.lit("subset"), F.least(x, y), F.greatest(x, y)).alias("key"),
+        (i + k + 1 < F.col("index2")).alias("upwards"),
+    ))))
+    lists = F.transform(F.slice(e, 1, F.col("single")), lambda x, i: F.struct(
+        F.xxhash64(F.lit("list"), x).alias("key"), (i < F.col("index1")).alias("upwards")))
+    none = F.array().cast("array<struct<key:bigint,upwards:boolean>>")
     light, listed = (F.col("n") < heavy) & (F.col("n") > 1), (100 * F.col("n") >= percent * heavy) | (F.col("n") == 1)
     keys = F.concat(
         F.when(light, subsets).otherwise(none), F.when(listed & (F.col("single") > 0), lists).otherwise(none)
     )
-    return prefix.select(F.explode(keys).alias("key"), "doc_id", "n")
+    possible = 100 * F.col("shared") >= percent * F.col("n")
+    return prefix.filter(possible).select(F.explode(keys).alias("k"), "doc_id", "n", "shared").select("k.*", "doc_id", "n", "shared")
 
 
 LINKS = "a long, b long, overlap long, union long"
@@ -298,7 +314,9 @@ def link(keys: DataFrame, sets: DataFrame, batches: int, percent: int = PERCENT)
     tested = spark.createDataFrame([], "a long, b long")
     links = spark.createDataFrame([], "a long, b long, pivot boolean")
     found = spark.createDataFrame([], "node long, component long")
-    similar_size = percent * F.greatest("n", "n_b") <= 100 * F.least("n", "n_b")
+    # the overlap is at most what either set shares with any other one
+    most = F.least("shared", "shared_b", "n", "n_b")
+    possible = 100 * most >= percent * (F.col("n") + F.col("n_b") - most)
 
     def judge(pairs: DataFrame) -> DataFrame:
         asked = stage(pairs.join(tested, ["a", "b"], "left_anti"), "asked")
@@ -320,19 +338,19 @@ def link(keys: DataFrame, sets: DataFrame, batches: int, percent: int = PERCENT)
             break
         last = waves >= WAVES or (waves and (state["pairs"] <= 2 * state["rows"] or state["pairs"] > 0.9 * left))
         if last:
-            other = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = open_.join(other, "key").filter(F.col("doc_id") < F.col("b"))
+            pairs = _pairs_by_first_key(open_, percent)
         else:
-            # earlier pivots last, then the set with the most links, so that the centre of a group is soon a pivot
+            # the centre of a group of near copies has the fewest elements of its own; earlier pivots come last
             degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.max("pivot").alias("was"))
             ranked = open_.join(degree.withColumnRenamed("a", "doc_id"), "doc_id", "left")
             rank = F.struct(
-                ~F.coalesce("was", F.lit(False)), F.coalesce("links", F.lit(0).cast("long")), F.xxhash64("doc_id"),
-                F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"),
+                ~F.coalesce("was", F.lit(False)), F.round(F.col("shared") / F.col("n"), 2).alias("common"),
+                F.coalesce("links", F.lit(0).cast("long")), F.xxhash64("doc_id"), F.col("doc_id").alias("b"),
+                F.col("n").alias("n_b"), F.col("shared").alias("shared_b"), F.col("comp").alias("comp_b"),
             )
-            pivots = ranked.groupBy("key").agg(F.max(rank).alias("p")).select("key", "p.b", "p.n_b", "p.comp_b")
+            pivots = ranked.groupBy("key").agg(F.max(rank).alias("p")).select("key", "p.b", "p.n_b", "p.shared_b", "p.comp_b")
             pairs = open_.join(pivots, "key")
-        pairs = pairs.filter((F.col("comp") != F.col("comp_b")) & similar_size).select(F.col("doc_id").alias("a"), "b").distinct()
+        pairs = pairs.filter((F.col("comp") != F.col("comp_b")) & possible).select(F.col("doc_id").alias("a"), "b").distinct()
         compared = judge(pairs)
         tested = tested.unionByName(compared.select("a", "b"))
         linked = compared.filter(100 * F.col("overlap") >= percent * F.col("union"))
@@ -347,6 +365,24 @@ def link(keys: DataFrame, sets: DataFrame, batches: int, percent: int = PERCENT)
     return found
 
 
+def _pairs_by_first_key(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a key which the smaller set needs to meet sets that are not smaller.
+
+    A pair comes out under the least of its keys only, where both sets have few enough keys to carry along;
+    otherwise it comes out under each.
+    """
+    own = open_.groupBy("doc_id").agg(F.collect_set("key").alias("ks"), F.collect_set(F.when(F.col("upwards"), F.col("key"))).alias("up"))
+    few = F.size("ks") <= CARRIED
+    rows = open_.join(own.select("doc_id", *[F.when(few, F.col(c)).alias(c) for c in ("ks", "up")]), "doc_id")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "shared", "comp", "ks")], F.col("doc_id").alias("b"))
+    most = F.least("shared", "shared_b", "n", "n_b")
+    first = F.array_min(F.array_intersect("up", "ks_b"))
+    return rows.filter("upwards").join(other, "key").filter(
+        (F.struct("n", "doc_id") < F.struct("n_b", "b")) & (F.col("comp") != F.col("comp_b"))
+        & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)) & (first.isNull() | (first == F.col("key")))
+    )
+
+
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     sets, batches = likely_sets(docs, words, percent)
