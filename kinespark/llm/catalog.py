@@ -1,6 +1,6 @@
 """All queries of this folder; importing the modules registers them."""
 
 from kinespark.llm import (  # noqa: F401
-    exact_dedup, jaccard_join, mixing, pieces, quality_rules, suffix_dedup, token_counts, warc,
+    exact_dedup, jaccard_join, mixing, pieces, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts, warc,
 )
 from kinespark.llm.common import QUERIES, SQL  # noqa: F401

@@ -226,7 +226,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Only the ids of dropped rows are joined, so the texts of most documents are filtered in place.
     """
     dropped = label(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 OP5_SQL = """

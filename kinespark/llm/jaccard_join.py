@@ -400,6 +400,12 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of every component the smallest doc_id."""
+    dropped = cluster(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark, sf_dir):
     return cluster(table(spark, sf_dir, "documents"))
