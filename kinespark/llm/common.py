@@ -23,6 +23,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 BATCH_BYTES = 12_000_000  # stored text of one batch
+UNKNOWN_BYTES = 2**50  # estimates from here on are the optimizer's default for unknown sizes
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -50,8 +51,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the frame's size, which for a file scan follows from the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the frame's size, which for a file scan follows from the files.
+
+    Frames that it knows nothing about are measured by their texts.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < UNKNOWN_BYTES:
+        return estimate
+    return df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0).cast("long"))).first()[0]
 
 
 def batch_count(docs: DataFrame) -> int:

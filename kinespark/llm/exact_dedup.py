@@ -27,6 +27,7 @@ from kinespark.llm.common import LOWER, UPPER, query, table
 from kinespark.session import stage
 
 KEYS_PER_SHARD = 50_000  # aimed at; a shard with more keys grows its filter
+SHARDS = 8  # of a small index; an index keeps its number of shards
 
 
 class CuckooIndex:
@@ -135,7 +136,7 @@ def _shard(digest: Column, shards: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
-def build(counted: DataFrame, index: DataFrame | None = None, shards: int | None = None) -> DataFrame:
+def build(counted: DataFrame, index: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """Insert (text_sha256, keep_id, group_size) rows, with several rows per digest, into a stored index.
 
     ``index`` has the columns of INDEX; without it a new one starts. ``group_size`` below 0 takes
@@ -143,7 +144,7 @@ def build(counted: DataFrame, index: DataFrame | None = None, shards: int | None
     """
     new = counted.select(
         F.lit(None).cast("int").alias("shard"), F.unhex("text_sha256").alias("digest"), "keep_id", "group_size"
-    ).withColumn("shard", _shard(F.hex("digest"), shards or 8))
+    ).withColumn("shard", _shard(F.hex("digest"), shards))
     rows = new if index is None else index.select("shard", "digest", "keep_id", "group_size").unionByName(new)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,10 +169,9 @@ def build(counted: DataFrame, index: DataFrame | None = None, shards: int | None
     return rows.groupBy("shard").applyInPandas(run, INDEX)
 
 
-def remove(index: DataFrame, gone: DataFrame) -> DataFrame:
-    """Delete the digests of ``gone`` (text_sha256) from a stored index, whatever their group sizes."""
+def remove(index: DataFrame, gone: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Delete the digests of ``gone`` (text_sha256) from a stored index of so many shards, whatever their group sizes."""
     marks = gone.select(F.unhex("text_sha256").alias("digest")).distinct().withColumn("gone", F.lit(True))
-    shards = int(index.agg(F.max("shard")).first()[0] or 0) + 1
     marked = index.select("shard", "digest", "keep_id", "group_size", F.lit(False).alias("gone")).unionByName(
         marks.select(
             _shard(F.hex("digest"), shards).alias("shard"), "digest", F.lit(None).cast("long").alias("keep_id"),
@@ -204,7 +204,7 @@ def groups_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_sha256) of every row, stored, and the index over all rows."""
     hashed = stage(digests(docs), "digests")
     counted = pre_aggregate(hashed)
-    return hashed, stage(build(counted, shards=max(8, hashed.count() // KEYS_PER_SHARD)), "index")
+    return hashed, stage(build(counted, shards=max(SHARDS, hashed.count() // KEYS_PER_SHARD)), "index")
 
 
 def label(docs: DataFrame) -> DataFrame:

@@ -131,21 +131,21 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS ws FROM d),
-win AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 6),
-grams AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM win),
-twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams),
-spots AS (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice WHERE n > 1),
-cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM spots GROUP BY doc_id),
-lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
+win AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 6),
+grams AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM win),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams),
+spots AS (SELECT r, unnest(range(i, i + 5)) AS p FROM twice WHERE n > 1),
+cover AS (SELECT r, count(DISTINCT p) AS n FROM spots GROUP BY r),
 m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
     CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words
-  FROM w JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id))
+  FROM w LEFT JOIN cover USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 30 * n_words
