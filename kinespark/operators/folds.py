@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.operators.layout import attach, enumerate_rows
@@ -44,13 +44,11 @@ def with_folds(df: DataFrame, keys: Sequence[str], folds: int = 5, spread: str |
     return attach(df, group_folds(df, keys, folds), keys, spread or next(c for c in df.columns if c not in keys))
 
 
-def leave_one_out(df: DataFrame, keys: Sequence[str], limit: int = 200) -> DataFrame:
-    """One fold per group; every fold is one model fit, so more than ``limit`` groups are refused."""
+def leave_one_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One fold per group, numbered in key order; every fold is one model fit."""
     keys = list(keys)
-    groups = df.select(*keys).distinct()
-    if groups.count() > limit:
-        raise ValueError(f"leave-one-out over more than {limit} groups; use group_folds")
-    numbered = groups.withColumn("fold", F.row_number().over(Window.orderBy(*keys)) - 1)
+    groups = df.select(*keys).distinct().withColumn("_one", F.lit(0))
+    numbered = enumerate_rows(groups, ["_one"], keys, name="fold").select(*keys, F.col("fold").cast("int").alias("fold"))
     return attach(df, numbered, keys, next(c for c in df.columns if c not in keys))
 
 

@@ -35,7 +35,7 @@ def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Factory:
     )
 
 
-def random_forest(trees: int = 100, depth: int = 10) -> Factory:
+def random_forest(trees: int = 100, depth: int = 30) -> Factory:
     return lambda width, rows: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
 
 

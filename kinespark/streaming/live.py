@@ -96,14 +96,16 @@ class RowWindows:
 
     def _advance(self, batch: DataFrame, batch_id: int, lateness_s: float | None) -> None:
         state = self._state(batch_id)
-        tail = state.filter(F.col("n").isNotNull())
+        tail = state.filter("n >= 0")
         waiting = state.filter(F.col("n").isNull()).drop("n")
-        placed = tail.groupBy(*self.keys).agg(
-            F.max("n").alias("_last_n"), F.max(self.time).alias("_last_time")
+        # the last placed row of a subject is kept with number -1 - n, whether a window still needs it or not
+        markers = state.filter("n < 0").withColumn("n", -1 - F.col("n"))
+        placed = markers.groupBy(*self.keys).agg(
+            F.max("n").alias("_last_n"), F.max(F.struct(*self.order)).alias("_last")
         )
         arrived = stage(batch.unionByName(waiting), "arrived")
         arrived = attach(arrived, placed, self.keys, self.time, how="left")
-        late = F.coalesce(F.col(self.time) <= F.col("_last_time"), F.lit(False))
+        late = F.coalesce(F.struct(*self.order) <= F.col("_last"), F.lit(False))
         arrived.filter(late).select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/late/batch={batch_id}")
         usable = arrived.filter(~late)
         if lateness_s is None:
@@ -127,7 +129,11 @@ class RowWindows:
         next_start = F.greatest(F.lit(0), F.floor((F.col("_end") + 1 - self.rows) / self.step) + 1) * self.step
         kept = attach(rows, ends, self.keys).filter(F.col("n") >= next_start).drop("_end")
         waits = held.select(*self.columns, F.lit(None).cast("long").alias("n"))
-        kept.unionByName(waits).write.mode("overwrite").parquet(f"{self.path}/state/slot={batch_id % 2}")
+        numbered_rows = markers.unionByName(rows)
+        newest_rows = numbered_rows.groupBy(*self.keys).agg(F.max("n").alias("_end"))
+        latest = attach(numbered_rows, newest_rows, self.keys).filter(F.col("n") == F.col("_end")).drop("_end").distinct()
+        latest = latest.withColumn("n", -1 - F.col("n"))
+        kept.unionByName(waits).unionByName(latest).write.mode("overwrite").parquet(f"{self.path}/state/slot={batch_id % 2}")
 
 
 def symmetry_alerts(found: DataFrame, threshold: float = 10.0) -> DataFrame:

@@ -40,8 +40,6 @@ def test_leave_one_out(labelled):
     out = folds.leave_one_out(labelled, ["grp"])
     assert out.count() == labelled.count()
     assert out.select("grp", "fold").distinct().count() == 12
-    with pytest.raises(ValueError):
-        folds.leave_one_out(labelled, ["grp"], limit=11)
 
 
 def test_holdout_is_repeatable_and_keeps_keys_apart(spark):
@@ -142,3 +140,14 @@ def test_importance_and_elimination(labelled):
     ranks = models.recursive_elimination(labelled, names, "y", 1, factory=models.random_forest(10)).collect()
     assert [r["ranking"] for r in ranks] == [1, 2, 3]
     assert (ranks[0]["feature"], ranks[0]["selected_by_rfe"]) == ("good", True)
+
+
+@pytest.mark.parametrize("n", [10**6, 10**9, 10**12])
+def test_p_values_of_many_rows(n):
+    import math
+
+    from kinespark.functions.student import p_value
+
+    for t in (0.3, 1.0, 2.0, 4.5):
+        r = t / math.sqrt(n - 2 + t * t)
+        assert p_value(r, n) == pytest.approx(math.erfc(t / math.sqrt(2)), abs=5e-6)

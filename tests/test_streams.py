@@ -63,6 +63,23 @@ def test_stream_equals_batch_with_late_rows_in_time(spark):
     assert alerts.count() == expected.filter("gyro_symmetry_ratio_stride_times < 0.9").count() > 0
 
 
+@pytest.mark.parametrize("size, step", [(40, 20), (40, 40), (40, 60)])
+def test_batches_of_any_step_with_equal_time_stamps_over_their_borders(spark, size, step):
+    data = [(k, START + dt.timedelta(milliseconds=10 * (i // 2)), i, *v) for k, _, i, *v in rows({"a": 230, "b": 75})]
+    data.sort(key=lambda r: (r[1], r[2]))
+    sink = live.RowWindows(
+        spark, spark.createDataFrame([], SCHEMA).schema, ["key"], stage_path(spark, "rows"), tiebreak=["seq"],
+        rows=size, step=step, distance=8,
+    )
+    for batch, cut in enumerate([data[:81], data[81:83], data[83:163], data[163:]]):
+        sink(spark.createDataFrame(cut, SCHEMA), batch)
+    sink.finish(3)
+    whole = layout.enumerate_rows(spark.createDataFrame(data, SCHEMA), ["key"], ["ts", "seq"])
+    expected = windows.detection_windows(whole, ["key"], size, step, distance=8)
+    assert sorted(sink.windows().select(*expected.columns).collect(), key=str) == sorted(expected.collect(), key=str)
+    assert sink.late().count() == 0
+
+
 def test_rows_that_come_too_late_are_set_apart(spark):
     data = rows({"a": 120})
     late = data.pop(10)
