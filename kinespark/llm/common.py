@@ -83,6 +83,8 @@ def stage_bucketed(df: DataFrame, batches: int, name: str = "batches") -> DataFr
     Later passes over whole batches, and co-groups by batch, read the buckets without a shuffle.
     """
     spark, fresh = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    if batches > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(batches))
     (
         df.write.bucketBy(batches, "batch").option("path", stage_path(spark, name)).option("compression", "zstd")
         .format("parquet").saveAsTable(fresh)
