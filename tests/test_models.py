@@ -18,24 +18,51 @@ def labelled(spark):
     return spark.createDataFrame(rows, "grp string, i int, y int, good double, noise double, wide double").cache()
 
 
+def fold_walk(sizes, folds):
+    """Largest group first, each to the fold with the fewest rows."""
+    load, out = [0] * folds, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        out[g] = load.index(min(load))
+        load[out[g]] += sizes[g]
+    return out, load
+
+
 def test_no_group_is_in_two_folds_and_folds_are_even(spark, labelled):
     sizes = {r["grp"]: r["count"] for r in labelled.groupBy("grp").count().collect()}
-    for exact in (100, 0):
-        found = {r["grp"]: r["fold"] for r in folds.group_folds(labelled, ["grp"], 5, exact=exact).collect()}
-        assert set(found) == set(sizes) and set(found.values()) == set(range(5))
-        load = [sum(s for g, s in sizes.items() if found[g] == f) for f in range(5)]
-        assert max(load) - min(load) <= max(sizes.values())
-    # the exact walk: largest group first, each to the fold with the fewest rows
-    load, expected = [0] * 5, {}
-    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
-        expected[g] = load.index(min(load))
-        load[expected[g]] += sizes[g]
-    exact = {r["grp"]: r["fold"] for r in folds.group_folds(labelled, ["grp"], 5).collect()}
-    assert exact == expected
+    found = {r["grp"]: r["fold"] for r in folds.group_folds(labelled, ["grp"], 5).collect()}
+    expected, load = fold_walk(sizes, 5)
+    assert found == expected
+    assert max(load) - min(load) <= max(sizes.values())
     with pytest.raises(ValueError):
         folds.group_folds(labelled, ["grp"], 13)
 
 
+def test_folds_follow_one_rule_however_many_groups(spark):
+    """Runs of equal sizes after larger ones, ranked by a window and by ranges."""
+    counts = [50, 30, 20, 9, 8, 7, 7, 7, 7, 7, 7, 7, 3, 3] + [1] * 60
+    sizes = {f"g{k:02d}": n for k, n in enumerate(counts)}
+    rows = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "grp string")
+    for limit in (2_000_000, 4):
+        found = {r["grp"]: r["fold"] for r in folds.group_folds(rows, ["grp"], 5, limit=limit).collect()}
+        assert found == fold_walk(sizes, 5)[0]
+
+
+def test_pieces_of_the_walk_equal_single_steps():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, top = int(rng.integers(1, 8)), int(rng.integers(1, 60))
+        load, single = [0] * n, [0] * n
+        for size in sorted({int(x) for x in rng.integers(1, top + 1, 6)}, reverse=True):
+            groups = int(rng.integers(1, 40))
+            pieces = folds.walk(load, size, groups)
+            assert len(pieces) <= n and [p[0] for p in pieces] == [0, *[p[1] for p in pieces[:-1]]]
+            got = [c[k % len(c)] for a, b, c in pieces for k in range(b - a)]
+            for fold in got:
+                assert fold == single.index(min(single))
+                single[fold] += size
+            assert len(got) == groups and load == single
+
+
 def test_leave_one_out(labelled):
     out = folds.leave_one_out(labelled, ["grp"])
     assert out.count() == labelled.count()
