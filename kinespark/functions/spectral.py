@@ -17,19 +17,42 @@ def power_spectrum(values: pd.Series) -> pd.Series:
     return pd.Series([np.abs(np.fft.fft(v)[: len(v) // 2]) ** 2 for v in values])
 
 
+def window_measures(values: str | Column, fs: float, low: float, high: float) -> Column:
+    """Struct (dominant_bin, spectral_entropy, band_energy) of each array of samples.
+
+    The spectrum itself never leaves the kernel. The dominant bin is the first of equal ones; the
+    entropy is −Σ p·log2(p + guard), NULL for a window without power; the energy is that of the bins
+    whose frequency lies in [low, high].
+    """
+    @F.pandas_udf("dominant_bin long, spectral_entropy double, band_energy double")
+    def measure(windows: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in windows:
+            power = np.abs(np.fft.fft(v)[: len(v) // 2]) ** 2
+            total = power.sum()
+            share = power / total if total > 0 else np.full(len(power), np.nan)
+            frequency = np.arange(len(power)) * fs / len(v)
+            inside = (frequency >= low) & (frequency <= high)
+            rows.append((int(power.argmax()), -(share * np.log2(share + LOG_GUARD)).sum(), power[inside].sum()))
+        return pd.DataFrame(rows, columns=["dominant_bin", "spectral_entropy", "band_energy"])
+
+    return measure(values)
+
+
 _NUMBERS = T.ArrayType(T.DoubleType())
 
 
 @F.pandas_udf(T.StructType([T.StructField("re", _NUMBERS), T.StructField("im", _NUMBERS)]))
-def partial_dft(values: pd.Series, first: pd.Series, samples: pd.Series, low_bin: pd.Series, high_bin: pd.Series) -> pd.DataFrame:
-    """What the samples ``first, first + 1, …`` of a window of ``samples`` add to the bins [low, high)."""
+def fft_line(at: pd.Series, re: pd.Series, im: pd.Series, size: pd.Series, line: pd.Series, turns: pd.Series) -> pd.DataFrame:
+    """FFT of ``size`` values that are given sparsely by place; bin k is then turned by −2π·line·k / turns."""
     real, imaginary = [], []
-    for v, start, n, low, high in zip(values, first, samples, low_bin, high_bin):
-        positions = np.arange(start, start + len(v), dtype=np.int64)
-        # the product is reduced as an integer, so that large windows lose no precision
-        angle = np.outer(np.arange(low, high, dtype=np.int64), positions) % n * (2 * np.pi / n)
-        real.append(np.cos(angle) @ np.asarray(v))
-        imaginary.append(-np.sin(angle) @ np.asarray(v))
+    for places, x, y, n, row, whole in zip(at, re, im, size, line, turns):
+        values = np.zeros(n, complex)
+        values[places] = np.asarray(x) + 1j * np.asarray(y)
+        # an exact integer modulo keeps the angle precise in long transforms
+        found = np.fft.fft(values) * np.exp(-2j * np.pi * (np.arange(n) * row % whole) / whole)
+        real.append(found.real)
+        imaginary.append(found.imag)
     return pd.DataFrame({"re": real, "im": imaginary})
 
 
@@ -50,25 +73,9 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dominant_bin(power: str | Column) -> Column:
-    """Index of the largest bin, the first of equal ones."""
-    power = F.col(power) if isinstance(power, str) else power
-    return (F.array_position(power, F.array_max(power)) - 1).cast("long")
-
-
 def spectral_entropy(power: str | Column) -> Column:
     """−Σ p·log2(p + guard); NULL for a window without power."""
     power = F.col(power) if isinstance(power, str) else power
-    total = _total(power)
-    share = F.transform(power, lambda v: F.try_divide(v, total))
+    # the total is bound once, outside the walk over the bins
+    share = F.flatten(F.transform(F.array(_total(power)), lambda t: F.transform(power, lambda v: F.try_divide(v, t))))
     return -_total(F.transform(share, lambda p: p * F.log2(p + F.lit(LOG_GUARD))))
-
-
-def band_energy(power: str | Column, samples: str | Column, fs: float, low: float, high: float) -> Column:
-    """Power of the bins whose frequency lies in [low, high]."""
-    power = F.col(power) if isinstance(power, str) else power
-    samples = F.col(samples) if isinstance(samples, str) else samples
-    inside = F.transform(
-        power, lambda v, k: F.when((k * fs / samples).between(low, high), v).otherwise(F.lit(0.0))
-    )
-    return _total(inside)

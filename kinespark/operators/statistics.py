@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,26 +68,45 @@ def _values(columns: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns])
 
 
+GRAM = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r of every pair of columns (both orders and the diagonal), over the rows where both are present.
 
-    Each row is expanded to its column pairs, which the map-side aggregation folds into one row per
-    pair before anything is shuffled.
+    Every task folds its rows, batch by batch, into the sums of products of all column pairs; a row
+    per task and pair is shuffled. The columns' means (one row, read back) centre the values first, so
+    that the sums lose no precision. NULL for a pair with a constant input.
     """
-    names = F.array(*[F.lit(c) for c in columns])
-    last = F.lit(len(columns) - 1)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.transform(
-                F.sequence(i, last),
-                lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("v", i).alias("x"), F.get("v", j).alias("y")),
-            ),
-        )
+    columns, d = list(columns), len(columns)
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)])
+    means = np.array([m or 0.0 for m in rows.agg(*[F.avg(c) for c in rows.columns]).first()])
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(GRAM), d, d))
+        for frame in frames:
+            values = frame.to_numpy(float) - means
+            there = (~np.isnan(values)).astype(float)
+            values = np.nan_to_num(values)
+            first, second = values.T @ there, (values**2).T @ there
+            sums += np.stack([there.T @ there, first, first.T, second, second.T, values.T @ values])
+        i, j = np.triu_indices(d)
+        yield pd.DataFrame({"i": i, "j": j} | {name: table[i, j] for name, table in zip(GRAM, sums)})
+
+    schema = "i int, j int, " + ", ".join(f"{name} double" for name in GRAM)
+    total = rows.mapInPandas(fold, schema).groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in GRAM])
+
+    def spread(square: str, plain: str) -> Column:
+        """n² times the variance; what is left of a constant by rounding counts as 0."""
+        left = F.col("n") * F.col(square) - F.col(plain) * F.col(plain)
+        return F.when(left > F.lit(1e-13) * F.col("n") * F.col(square), left).otherwise(0.0)
+
+    r = F.try_divide(
+        F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))
     )
-    expanded = df.select(_values(columns).alias("v")).select(F.inline(pairs))
-    half = expanded.groupBy("i", "j").agg(correlation("x", "y").alias("r"))
+    half = total.select("i", "j", r.alias("r"))
     both = half.unionByName(half.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    names = F.array(*[F.lit(c) for c in columns])
     return both.select(F.get(names, F.col("i")).alias("row_name"), F.get(names, F.col("j")).alias("column_name"), "r")
 
 

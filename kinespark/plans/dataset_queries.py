@@ -359,14 +359,16 @@ def first_rows(spark, sf_dir):
 
 @query(
     "missing_sources",
-    with_(S.SIGNAL, "present AS (SELECT DISTINCT user_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM events)",
-          "spine AS (SELECT DISTINCT user_id, s.side FROM events, (VALUES ('left'), ('right')) s(side))")
-    + "SELECT user_id, side, 'no samples' AS reason FROM spine ANTI JOIN present USING (user_id, side)",
+    "WITH present AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM events), "
+    "spans AS (SELECT user_id, min(day) AS a, max(day) AS b FROM present GROUP BY user_id), "
+    "spine AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, side FROM spans, (VALUES ('left'), ('right')) s(side)) "
+    "SELECT user_id, day, side, 'no samples' AS reason FROM spine ANTI JOIN present USING (user_id, day, side)",
 )
 def missing_sources(spark, sf_dir):
-    """Users for whom one side has no samples at all."""
-    events = table(spark, sf_dir, "events")
-    side = F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("side")
-    users = events.select("user_id").distinct()
-    expected = users.select("user_id", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side"))
-    return dataset.missing_sources(expected, events.select("user_id", side), ["user_id", "side"], "no samples")
+    """Days between a user's first and last one on which a side has no samples."""
+    seen = table(spark, sf_dir, "events").select(
+        "user_id", F.to_date("ts").alias("day"), F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("side")
+    )
+    spans = seen.groupBy("user_id").agg(F.sequence(F.min("day"), F.max("day")).alias("days"))
+    expected = spans.select("user_id", F.explode("days").alias("day")).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
+    return dataset.missing_sources(expected, seen, ["user_id", "day", "side"], "no samples")

@@ -39,7 +39,8 @@ def _vendor_rows(spark, sf_dir):
 def vendor_file_normalisation(spark, sf_dir):
     """Vendor CSV files written, scanned again and brought to the canonical columns."""
     base = stage_path(spark, "vendor")
-    _vendor_rows(spark, sf_dir).write.partitionBy("subject_id").csv(base, header=True)
+    rows = _vendor_rows(spark, sf_dir)
+    rows.repartitionByRange("subject_id", "_c0").sortWithinPartitions("subject_id", "_c0").write.partitionBy("subject_id").csv(base, header=True)
     scanned = sensors.scan_vendor(spark, f"{base}/subject_id=*", "gyroscope")
     scanned = scanned.withColumn("subject_id", F.regexp_extract("source_path", r"subject_id=(\d+)", 1).cast("bigint"))
     rows = sensors.normalise_vendor(scanned, "gyroscope", keys=("subject_id",))
@@ -137,18 +138,19 @@ def stored_tensors(spark, sf_dir):
 
 @query(
     "reject_report",
-    "SELECT 'subject_' || CAST(user_id % 10 AS VARCHAR) AS subject, count(*) AS lines, 'time stamp without fraction or malformed' AS reason"
-    " FROM events WHERE event_type = 'error' GROUP BY user_id % 10",
+    "SELECT 'Healthy' AS cohort, 'subject_' || (user_id % 10) AS subject_id, 'gyroscope' AS sensor,"
+    " CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, 'time stamp without fraction or malformed' AS reason,"
+    " count(*) AS lines FROM events WHERE event_type = 'error' GROUP BY ALL",
 )
 def reject_report(spark, sf_dir):
-    """Lines whose time text cannot be read, per subject (here: error events, written without a fraction)."""
-    broken = F.col("event_type") == "error"
-    text = F.when(broken, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    )
+    """Lines of canonical files whose time text cannot be read (here: error events, written without a fraction)."""
+    base, whole = stage_path(spark, "recordings"), "yyyy-MM-dd'T'HH:mm:ss"
+    text = F.when(F.col("event_type") == "error", F.date_format("ts", whole)).otherwise(F.date_format("ts", f"{whole}.SSSSSS"))
     rows = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("subject_"), (F.col("user_id") % 10).cast("string")).alias("subject"), parse_timestamp(text).alias("ts")
-    )
-    return rows.filter(F.col("ts").isNull()).groupBy("subject").agg(
-        F.count("*").alias("lines"), F.first(F.lit("time stamp without fraction or malformed")).alias("reason")
+        F.lit("Healthy").alias("cohort"), F.concat(F.lit("subject_"), (F.col("user_id") % 10).cast("string")).alias("subject_id"),
+        F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("side"), F.lit(0.0).alias("epoc_ms"), text.alias("ts"),
+        F.lit(0.0).alias("elapsed"), *[F.col("value").alias(a) for a in "xyz"],
     )
+    sensors.write_canonical(rows, base, "gyroscope")
+    _, bad = sensors.split_rejects(sensors.scan_canonical(spark, base))
+    return bad

@@ -163,12 +163,18 @@ def missing_files(scanned: DataFrame, sensors: tuple[str, ...] = SENSORS) -> Dat
 
 
 def write_canonical(rows: DataFrame, base: str, sensor: str) -> None:
-    """Write canonical CSV files, one folder per cohort, subject and file; replaces what is there."""
+    """Write canonical CSV files, one folder per cohort, subject and file; replaces what is there.
+
+    Rows are dealt by ranges of (recording, time): there are at most as many files as recordings and
+    ranges together, each in the order of time, and a long recording is spread over several ranges.
+    """
     name = F.concat(F.initcap("side"), F.lit(f"Shank-{sensor.capitalize()}.csv"))
     out = rows.select(
         "cohort", "subject_id", name.alias("file"),
         *[F.col(c).alias(f) for c, f in zip(["epoc_ms", "ts", "elapsed", "x", "y", "z"], canonical_columns(sensor))],
     )
+    order = ["cohort", "subject_id", "file", canonical_columns(sensor)[1]]
+    out = out.repartitionByRange(*order).sortWithinPartitions(*order)
     out.write.mode("overwrite").partitionBy("cohort", "subject_id", "file").option(
         "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     ).csv(base, header=True)

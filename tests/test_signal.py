@@ -98,14 +98,13 @@ def test_tumbling_windows_are_anchored_and_complete(spark):
     assert sorted((r["n"], r["window_id"]) for r in rows) == [(0, 0), (1, 0), (2, 0), (3, 1)]
 
 
-def test_large_windows_in_chunks_equal_one_fft(spark, monkeypatch):
+def test_large_windows_in_lines_equal_one_fft(spark):
     rng = np.random.default_rng(9)
     rows = [(k, n, float(v)) for k, size in (("a", 230), ("b", 61)) for n, v in enumerate(rng.normal(size=size) + 1)]
     df = spark.createDataFrame(rows, "key string, n long, z double")
     df = df.withColumn("ts", F.expr("timestampadd(MILLISECOND, cast(n * 10 as int), timestamp_ntz'2024-01-01 00:00:00')"))
     df = df.filter("key = 'b' OR n % 50 <> 7")
     df = df.withColumn("n", F.expr("row_number() over (partition by key order by ts) - 1").cast("long"))
-    monkeypatch.setattr(spectra._in_chunks, "__defaults__", (16,))
     whole = spectra.spectral_windows(df, ["key"], width_s=0.53).orderBy("key", "window_id").collect()
     pieces = spectra.spectral_windows(df, ["key"], width_s=0.53, fft_limit=51).orderBy("key", "window_id").collect()
     assert len(whole) == len(pieces) == 5
@@ -116,6 +115,16 @@ def test_large_windows_in_chunks_equal_one_fft(spark, monkeypatch):
         assert a["gait_band_energy"] == pytest.approx(b["gait_band_energy"])
 
 
+def test_spread_fft_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    series_ = {e: rng.normal(size=2**e) + 1j * rng.normal(size=2**e) for e in (0, 1, 4, 9)}
+    rows = [(e, i, float(v.real), float(v.imag)) for e, x in series_.items() for i, v in enumerate(x)]
+    found = spectra.spread_fft(spark.createDataFrame(rows, "e int, i long, re double, im double"), []).collect()
+    for e, x in series_.items():
+        own = sorted((r["i"], complex(r["re"], r["im"])) for r in found if r["e"] == e)
+        assert np.allclose([v for _, v in own], np.fft.fft(x))
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_statistics(spark, limit):
     rng = np.random.default_rng(5)
