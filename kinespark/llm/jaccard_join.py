@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import (
@@ -42,7 +42,7 @@ from kinespark.session import stage
 
 WORDS = 4
 PERCENT = 85
-CARRIED = 256  # keys of a set that are carried along to tell the first common one
+CARRIED = 256  # elements of a prefix that are carried along to tell the first common key
 WAVES = 4  # of single pivots, before the rest is compared
 
 FACTORS = mix(np.arange(1001, 1001 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -244,6 +244,14 @@ def boundary(prefix: DataFrame, percent: int = PERCENT) -> int:
     return math.ceil(math.exp(best * ratio))
 
 
+def _subset_key(x: Column, y: Column) -> Column:
+    return F.xxhash64(F.lit("subset"), F.least(x, y), F.greatest(x, y))
+
+
+def _list_key(x: Column) -> Column:
+    return F.xxhash64(F.lit("list"), x)
+
+
 def keys_of(prefix: DataFrame, heavy: int, percent: int = PERCENT) -> DataFrame:
     """(key, upwards, doc_id, n, shared): subsets of light sets, list entries of heavy sets and of those that may be similar to one.
 
@@ -252,11 +260,11 @@ def keys_of(prefix: DataFrame, heavy: int, percent: int = PERCENT) -> DataFrame:
     """
     e = F.col("elements")
     subsets = F.flatten(F.transform(e, lambda x, i: F.transform(F.slice(e, i + 2, F.size(e)), lambda y, k: F.struct(
-        F.xxhash64(F.lit("subset"), F.least(x, y), F.greatest(x, y)).alias("key"),
+        _subset_key(x, y).alias("key"),
         (i + k + 1 < F.col("index2")).alias("upwards"),
     ))))
     lists = F.transform(F.slice(e, 1, F.col("single")), lambda x, i: F.struct(
-        F.xxhash64(F.lit("list"), x).alias("key"), (i < F.col("index1")).alias("upwards")))
+        _list_key(x).alias("key"), (i < F.col("index1")).alias("upwards")))
     none = F.array().cast("array<struct<key:bigint,upwards:boolean>>")
     light, listed = (F.col("n") < heavy) & (F.col("n") > 1), (100 * F.col("n") >= percent * heavy) | (F.col("n") == 1)
     keys = F.concat(
@@ -306,9 +314,9 @@ def compare(pairs: DataFrame, sets: DataFrame, batches: int) -> DataFrame:
     return held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(measure, LINKS)
 
 
-def link(keys: DataFrame, sets: DataFrame, batches: int, percent: int = PERCENT) -> DataFrame:
+def link(prefix: DataFrame, heavy: int, sets: DataFrame, batches: int, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the sets that are linked with another one."""
-    spark = keys.sparkSession
+    spark, keys = prefix.sparkSession, keys_of(prefix, heavy, percent)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
     open_ = stage(keys.join(shared, "key").withColumn("comp", F.col("doc_id")), "keys")
     tested = spark.createDataFrame([], "a long, b long")
@@ -338,7 +346,7 @@ def link(keys: DataFrame, sets: DataFrame, batches: int, percent: int = PERCENT)
             break
         last = waves >= WAVES or (waves and (state["pairs"] <= 2 * state["rows"] or state["pairs"] > 0.9 * left))
         if last:
-            pairs = _pairs_by_first_key(open_, percent)
+            pairs = _pairs_by_first_key(open_, prefix, percent)
         else:
             # the centre of a group of near copies has the fewest elements of its own; earlier pivots come last
             degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.max("pivot").alias("was"))
@@ -365,21 +373,28 @@ def link(keys: DataFrame, sets: DataFrame, batches: int, percent: int = PERCENT)
     return found
 
 
-def _pairs_by_first_key(open_: DataFrame, percent: int) -> DataFrame:
+def _pairs_by_first_key(open_: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a key which the smaller set needs to meet sets that are not smaller.
 
-    A pair comes out under the least of its keys only, where both sets have few enough keys to carry along;
-    otherwise it comes out under each.
+    A pair comes out under one subset and one list at most: those of the first elements, in the order of the
+    smaller set, that both prefixes have. If any key of the pair is marked ``upwards``, these are. Pairs of which
+    a prefix is too long to carry along come out under each key.
     """
-    own = open_.groupBy("doc_id").agg(F.collect_set("key").alias("ks"), F.collect_set(F.when(F.col("upwards"), F.col("key"))).alias("up"))
-    few = F.size("ks") <= CARRIED
-    rows = open_.join(own.select("doc_id", *[F.when(few, F.col(c)).alias(c) for c in ("ks", "up")]), "doc_id")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "shared", "comp", "ks")], F.col("doc_id").alias("b"))
+    few = F.size("elements") <= CARRIED
+    own = prefix.select("doc_id", F.when(few, F.col("elements")).alias("e"), "single")
+    rows = open_.join(own, "doc_id")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "shared", "comp", "e", "single")], F.col("doc_id").alias("b"))
     most = F.least("shared", "shared_b", "n", "n_b")
-    first = F.array_min(F.array_intersect("up", "ks_b"))
+    both = F.array_intersect("e", "e_b")
+    listed = F.array_intersect(F.slice("e", 1, F.col("single")), F.slice("e_b", 1, F.col("single_b")))
+    first = F.array(
+        F.when(F.size(both) > 1, _subset_key(F.get(both, F.lit(0)), F.get(both, F.lit(1)))),
+        F.when(F.size(listed) > 0, _list_key(F.get(listed, F.lit(0)))),
+    )
+    long = F.col("e").isNull() | F.col("e_b").isNull()
     return rows.filter("upwards").join(other, "key").filter(
         (F.struct("n", "doc_id") < F.struct("n_b", "b")) & (F.col("comp") != F.col("comp_b"))
-        & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)) & (first.isNull() | (first == F.col("key")))
+        & (100 * most >= percent * (F.col("n") + F.col("n_b") - most)) & (long | F.exists(first, lambda k: F.col("key").eqNullSafe(k)))
     )
 
 
@@ -392,7 +407,7 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     )
     chosen = first.select(F.col("first").alias("doc_id"), batch_of("first", batches).alias("batch"))
     prefix = prefixes(sets, chosen, batches, percent)
-    found = link(keys_of(prefix, boundary(prefix, percent), percent), sets, batches, percent)
+    found = link(prefix, boundary(prefix, percent), sets, batches, percent)
     named = sets.select("doc_id", "n", "digest").join(first.filter("m > 1").select("digest", "first"), "digest", "left")
     named = named.withColumn("first", F.coalesce("first", "doc_id"))
     return named.join(found, F.col("first") == F.col("node"), "left").select(
