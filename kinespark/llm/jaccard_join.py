@@ -101,6 +101,14 @@ def probe(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return length, length - spare
 
 
+def shown(n: int, percent: int = PERCENT) -> int:
+    """How many of its least hashes a set must show, so that every similar set finds enough of its own among them.
+
+    Of the common elements the largest similar set needs the first few; at most the spare ones of this set lie between.
+    """
+    return min(n, probe(100 * n // percent, percent)[1] + n - needed(n, percent))
+
+
 def text_chunks(texts: pd.Series) -> Iterator[list[bytes]]:
     some: list[bytes] = []
     held = 0
@@ -153,7 +161,7 @@ def likely_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
         for frame in frames:
             for batch, some in frame.groupby("batch"):
                 yield _packed(batch, shards, [
-                    s[: probe(len(s), percent)[0]] for t in text_chunks(some["text"]) for s in shingle_sets(t, words)
+                    s[: shown(len(s), percent)] for t in text_chunks(some["text"]) for s in shingle_sets(t, words)
                 ])
 
     common = stage(_common_keys(batches.select("batch", "text").mapInPandas(send, PACKED)), "common")

@@ -136,6 +136,22 @@ def test_pairs_are_found_with_every_boundary(spark, monkeypatch):
             assert plain(got, "doc_id", "n_shingles", "component_id") == expected
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_of_small_sets_at_the_threshold(spark, percent):
+    rows, size, words = [], {}, 4
+    for n in range(1, 41):
+        for m in range(1, n + 1):
+            overlap = next((o for o in range(1, m + 1) if 100 * o >= percent * (n + m - o)), None)
+            if overlap:
+                a = len(rows)
+                text = [f"p{a}w{k}" for k in range(n + m - overlap + words - 1)]
+                rows += [(a, " ".join(text[: n + words - 1])), (a + 1, " ".join(text[n - overlap :]))]
+                size |= {a: n, a + 1: m}
+    assert (7, 6) in {(size[a], size[a + 1]) for a in range(0, len(rows), 2)}
+    got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words, percent)
+    assert plain(got, "doc_id", "n_shingles", "component_id") == sorted(((d, size[d], d - d % 2) for d, _ in rows), key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(20, 60)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     found = dict(plain(components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
