@@ -8,6 +8,8 @@ from kinespark.llm import exact_dedup, jaccard_join, mixing, pieces, quality_mod
 from kinespark.llm.common import table
 from kinespark.session import stage
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # shingles of the near-duplicate stage and the similarity that links them
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies within the quantiles of their language."""
@@ -21,7 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked shingle sets, that with the smallest doc_id."""
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ from kinespark.llm.graph import components
 from kinespark.llm.suffix_dedup import CHUNK, Ranks
 from kinespark.session import stage
 
+# Values of op3's contract; the pipeline passes its own.
 WORDS = 4
 PERCENT = 85
 CARRIED = 256  # elements of a prefix that are carried along to tell the first common key
@@ -423,9 +424,9 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, with all their columns: of every component the smallest doc_id."""
-    dropped = cluster(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    dropped = cluster(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

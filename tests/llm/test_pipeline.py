@@ -46,3 +46,20 @@ def test_stages_equal_brute_force(spark, sf_dir):
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     assert {"ids", "n_tokens", "doc_id", "text"} <= set(corpus_pipeline.run(spark, sf_dir).columns)
+
+
+def test_near_copies_of_four_fifths_of_five_words_go(spark, sf_dir):
+    base = [f"w{k}" for k in range(104)]
+    # (words added behind 100 shingles of 5 words, whether the longer one is linked)
+    cases = [(0, True), (20, True), (25, True), (26, False), (40, False)]
+    rows = []
+    for k, (more, _) in enumerate(cases):
+        text = [f"c{k}{w}" for w in base]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + [f"m{k}x{j}" for j in range(more)]))]
+    # an edited word spoils five shingles: 2 of 104 words leave 90 of 110, 3 leave 85 of 115
+    for k, edits in ((20, 2), (22, 3)):
+        text = [f"c{k}{w}" for w in base]
+        rows += [(k, " ".join(text)), (k + 1, " ".join("edited" if j in range(20, 20 + 30 * edits, 30) else w for j, w in enumerate(text)))]
+    got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    linked = {2 * k + 1 for k, (_, same) in enumerate(cases) if same} | {21}
+    assert sorted(r[0] for r in rows_of(got, "doc_id")) == sorted(d for d, _ in rows if d not in linked)
