@@ -12,8 +12,9 @@ digest and task.
 
 Defined results: null or empty html is a response with 0 bytes; null and empty URLs are keyed ")/";
 equal payloads under several URLs and equal URLs are separate captures; repeated rows of one page
-write a record each and of equal ones the first in any order is the response; an empty table writes
-nothing and gives an empty result.
+write a record each, all responses or all revisits, also if the page has rows of other payloads; a page
+without an id is a response that nothing refers to; an empty table writes nothing and gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -51,13 +52,16 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
+def payload_digest() -> Column:
+    return F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, key, digest, record_type, refers_to of every page (without the html)."""
+    """page_id, digest, refers_to of the revisits, one row for all rows of one page and payload."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     hashed = stage(
         pages.select(
-            "page_id", F.octet_length(payload).cast("long").alias("payload_bytes"),
-            F.sha2(payload.cast("binary"), 256).alias("digest"),
+            "page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), payload_digest().alias("digest")
         ),
         "payloads",
     )
@@ -66,13 +70,30 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
     revisit = F.col("page_id") > F.col("first_page")
-    return hashed.join(first, "digest", "left").filter(revisit).select("page_id", F.col("first_page").alias("refers_to"))
+    revisits = hashed.join(first, "digest").filter(revisit)
+    return revisits.select("page_id", "digest", F.col("first_page").alias("refers_to")).distinct()
 
 
 CAPTURES = "key string, page_id long, archive string, offset long, length long"
 
 
-def _record(kind: str, page_id: int, url: str, digest: str, body: bytes, size: int, refers_to: int | None) -> bytes:
+# Ids travel through pandas as strings, since a column of integers with nulls would become floats there.
+
+
+def _id_text(page_id: object) -> str:
+    return page_id if isinstance(page_id, str) else ""
+
+
+def _ids(texts: list[str]) -> pd.array:
+    return pd.array([int(t) if t else None for t in texts], dtype="Int64")
+
+
+def _id_code(text: str) -> str:
+    """A text in the order of the ids, missing ones first."""
+    return f"{int(text) + 2**63:020d}" if text else ""
+
+
+def _record(kind: str, page_id: str, url: str, digest: str, body: bytes, size: int, refers_to: str) -> bytes:
     head = [
         VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url),
@@ -87,28 +108,28 @@ def _record(kind: str, page_id: int, url: str, digest: str, body: bytes, size: i
 def write_archives(pages: DataFrame) -> DataFrame:
     """Write every page as a record, one archive per task, and return the captures."""
     path = flat_files.folder(pages.sparkSession, "warc")
-    # the revisits are ids only: pages are joined to them without their html being sorted by digest
-    joined = pages.select("page_id", "url", "html", url_key(F.col("url")).alias("key")).join(
-        plan_records(pages), "page_id", "left"
-    )
+    # the revisits are ids and digests only, one row for each page and payload: every row of pages stays one row
+    joined = pages.select("page_id", "url", "html", url_key(F.col("url")).alias("key"), payload_digest().alias("digest")).join(
+        plan_records(pages), ["page_id", "digest"], "left"
+    ).select(F.col("page_id").cast("string"), "url", "html", "key", "digest", F.col("refers_to").cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, out = flat_files.fresh(path, ".warc.gz"), None
         for frame in frames:
             rows = []
-            for page, url, html, key, first in frame.itertuples(index=False):
+            for page, url, html, key, digest, first in frame.itertuples(index=False):
                 out = out or flat_files.open_new(name)
                 payload = html.encode() if isinstance(html, str) else b""
-                revisit = first is not None and first == first
+                revisit = isinstance(first, str)
                 record = _record(
-                    "revisit" if revisit else "response", page, url if isinstance(url, str) else "",
-                    hashlib.sha256(payload).hexdigest(), b"" if revisit else payload, len(payload),
-                    int(first) if revisit else None,
+                    "revisit" if revisit else "response", _id_text(page), url if isinstance(url, str) else "",
+                    digest, b"" if revisit else payload, len(payload), _id_text(first),
                 )
                 start = out.tell()
                 out.write(gzip.compress(record, 3, mtime=0))
-                rows.append((key, page, name, start, out.tell() - start))
-            yield pd.DataFrame(rows, columns=["key", "page_id", "archive", "offset", "length"])
+                rows.append((key, _id_text(page), name, start, out.tell() - start))
+            done = pd.DataFrame(rows, columns=["key", "page_id", "archive", "offset", "length"])
+            yield done.assign(page_id=_ids(done["page_id"]))
         if out is not None:
             out.close()
 
@@ -127,23 +148,26 @@ def build_index(captures: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
     lines = max(BLOCK_LINES, -(-rows // (DIRECTORY_ROWS // 2)))
     # a range may hold less than a block, so there are at most as many ranges as half the directory
     ranges = max(1, min(-(-rows // lines), DIRECTORY_ROWS // 2))
-    line = F.concat_ws("\t", F.regexp_replace("key", r"[\t\n\r]", " "), *[F.col(c).cast("string") for c in (
+    line = F.concat_ws("\t", F.regexp_replace("key", r"[\t\n\r]", " "), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (
         "page_id", "archive", "offset", "length")])
+    order = ["key", "page_id", "archive", "offset"]  # rows of one page may fill many ranges
     sorted_lines = (
-        captures.select(F.regexp_replace("key", r"[\t\n\r]", " ").alias("key"), "page_id", line.alias("line"))
-        .repartitionByRange(ranges, "key", "page_id").sortWithinPartitions("key", "page_id", "line")
+        captures.select(F.regexp_replace("key", r"[\t\n\r]", " ").alias("key"), *order[1:], line.alias("line"))
+        .repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        .select("line")
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, int, str]] = []
+        held: list[str] = []
 
         def block(some):
-            text = "\n".join(x[2] for x in some).encode()
-            first = f"{some[0][0]}\t{some[0][1]:020d}"
+            text = "\n".join(some).encode()
+            key, page, archive, offset, _ = some[0].split("\t")
+            first = f"{key}\t{_id_code(page)}\t{archive}\t{int(offset):020d}"  # in the order of the lines, without ties
             return (first, hashlib.sha256(text).hexdigest(), zlib.compress(text, 6))
 
         for frame in frames:
-            held += list(frame.itertuples(index=False, name=None))
+            held += frame["line"].tolist()
             full = []
             while len(held) >= lines:
                 full.append(block(held[:lines]))
@@ -164,8 +188,8 @@ FOUND = "page_id long, archive string, offset long, length long"
 def find(wanted: DataFrame, blocks: DataFrame, directory: list[tuple[str, str]]) -> DataFrame:
     """The captures of wanted (key, page_id): directory search, then a search in the block.
 
-    A key's block is the last one whose first line is not after it; lines of one (key, page_id)
-    that run on into later blocks are asked for in each of them.
+    A key is asked for in the last block whose first line is before it, and in all blocks that begin
+    with a line of it.
     """
     firsts = [x[0].encode() for x in directory]
     names = [x[1] for x in directory]
@@ -174,25 +198,27 @@ def find(wanted: DataFrame, blocks: DataFrame, directory: list[tuple[str, str]])
         for frame in frames:
             rows = []
             for key, page in frame.itertuples(index=False):
-                at = f"{key}\t{page:020d}".encode()
+                at = f"{key}\t{_id_code(_id_text(page))}".encode()
                 low = max(0, bisect.bisect_left(firsts, at) - 1)
-                rows += [(names[b], key, page) for b in range(low, bisect.bisect_right(firsts, at))]
+                high = bisect.bisect_left(firsts, at + b"\n")  # behind all lines of the page, which go on with a tab
+                rows += [(names[b], key, page) for b in range(low, high)]
             yield pd.DataFrame(rows, columns=["block", "key", "page_id"])
 
     def search(keys: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
             return pd.DataFrame(columns=["page_id", "archive", "offset", "length"])
         lines = [x.split("\t") for x in zlib.decompress(block["lines"].iloc[0]).decode().split("\n")]
-        sorted_keys = [(x[0].encode(), int(x[1])) for x in lines]
+        sorted_keys = [(x[0].encode(), _id_code(x[1])) for x in lines]
         out = []
-        for key, page in zip(keys["key"], keys["page_id"]):
-            at = (key.encode(), page)
+        for key, page in zip(keys["key"], map(_id_text, keys["page_id"])):
+            at = (key.encode(), _id_code(page))
             for k in range(bisect.bisect_left(sorted_keys, at), bisect.bisect_right(sorted_keys, at)):
                 out.append((page, lines[k][2], int(lines[k][3]), int(lines[k][4])))
-        return pd.DataFrame(out, columns=["page_id", "archive", "offset", "length"])
+        found = pd.DataFrame(out, columns=["page_id", "archive", "offset", "length"])
+        return found.assign(page_id=_ids(found["page_id"]))
 
-    asked = wanted.select(F.regexp_replace("key", r"[\t\n\r]", " ").alias("key"), "page_id").distinct()
-    located = asked.mapInPandas(locate, "block string, key string, page_id long")
+    asked = wanted.select(F.regexp_replace("key", r"[\t\n\r]", " ").alias("key"), F.col("page_id").cast("string")).distinct()
+    located = asked.mapInPandas(locate, "block string, key string, page_id string")
     return located.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(search, FOUND)
 
 
@@ -221,14 +247,12 @@ def read_ranges(found: DataFrame, payloads: bool = True) -> DataFrame:
                         kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].partition(":")[2]
                         if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
                             raise ValueError(f"damaged record in {archive} at {offset}")
-                        refers = fields.get("WARC-Refers-To")
                         rows.append((
-                            int(fields["WARC-Record-ID"][10:-1]), int(fields["X-Payload-Length"]), digest, kind,
-                            int(refers[10:-1]) if refers else None, body if payloads else None,
+                            fields["WARC-Record-ID"][10:-1], int(fields["X-Payload-Length"]), digest, kind,
+                            fields.get("WARC-Refers-To", "")[10:-1], body if payloads else None,
                         ))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
-            out["refers_to"] = out["refers_to"].astype("Int64")
-            yield out
+            yield out.assign(page_id=_ids(out["page_id"]), refers_to=_ids(out["refers_to"]))
 
     spread = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = found.repartitionByRange(spread, "archive", "offset").sortWithinPartitions("archive", "offset")

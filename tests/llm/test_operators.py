@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinespark.llm import catalog, exact_dedup, jaccard_join, mixing, pieces, quality_model, quality_rules
 from kinespark.llm import secret_scan, suffix_dedup, token_counts, warc
 from kinespark.llm.graph import components
+from kinespark.session import stage
 
 
 def plain(df, *columns):
@@ -223,6 +224,21 @@ def test_captures_are_found_in_small_blocks(spark, monkeypatch):
     assert [r["page_id"] for r in warc.find(wanted, blocks, directory).collect()] == [1]
 
 
+def test_repeated_conflicting_and_null_pages_equal_sql(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    same, other, big = "<p>same</p>" * 20, "<p>other</p>" * 20, 2**53 + 1
+    # page 1 is the response; 5 has revisits and a payload of its own, 7 is repeated, big has more digits than a float
+    pages = [(1, "http://a.b/1", same), (5, "http://a.b/5", same), (5, "http://a.b/5", other), (5, None, None), (-3, "http://a.b/1", "x")]
+    pages += [(7, "http://a.b/7", same)] * 9 + [(big, "http://a.b/7", other), (big + 1, "http://a.b/7", same)]
+    pages += [(None, "http://a.b/7", same), (None, "http://a.b/7", same), (None, None, other), (None, "http://a.b/1", None)]
+    pages += [(8, "http://a.b/8", other * 2), (8, "http://a.b/8", other * 2)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = stage(catalog.QUERIES["op7_warc"](spark, str(tmp_path)))
+    assert got.count() == len(pages) and differences(got, con, catalog.SQL["op7_warc"]) == []
+
+
 def test_url_keys(spark):
     urls = ["HTTP://User@Www.Example.COM:8080/A/b?c=D#e", "example.org", "http://x.y?q", None, ""]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(warc.url_key(F.col("url")).alias("k"))
