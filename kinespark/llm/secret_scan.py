@@ -6,8 +6,10 @@ letters, digits and signs, entropy), dictionary coverage, path (the document's s
 neighbouring words. The forest is trained on labelled findings: by default those that
 ``label_finding`` decides from the surroundings alone - a value assigned to a name of the sort
 "token" or "password" is a secret, a number without letters, a mail or web address or a word is not.
-The pair table and the dictionary are fitted on at most FIT_DOCS documents labelled good, the forest
-on at most FIT_FINDINGS labelled findings; every candidate of every document is scored.
+Words and letter pairs are counted over all documents. Tasks get LOOKUP of each: those that are most
+frequent in relation to all of a language, for the language where that is most, so that rare languages
+keep their words. The forest is fitted on at most FIT_FINDINGS labelled findings; every candidate of
+every document is scored.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned each; a null source
 is a path of its own; without labelled findings of both kinds the score is the label itself; an
@@ -33,9 +35,9 @@ from pyspark.sql import functions as F
 from kinespark.llm.common import query, table, words
 from kinespark.session import stage
 
-FIT_DOCS = 2_000
 FIT_FINDINGS = 20_000
-DICTIONARY_WORDS = 5_000
+LOOKUP = 50_000
+COMMON_WORDS = 300
 TREES, DEPTH = 40, 8
 PATHS = 32  # buckets of sources
 
@@ -94,23 +96,37 @@ class Describer:
         ]
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame) -> Describer:
-    """Letter pairs and the most frequent words of a bounded sample of good documents."""
-    good = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    text = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")  # at most FIT_DOCS ids
+def _top(counted: DataFrame, what: str) -> list:
+    """(what, n) of the LOOKUP entries with the largest share of a language's counts; ties by count and name."""
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("all"))
+    shares = counted.join(totals, "lang").groupBy(what).agg(F.sum("n").alias("n"), F.max(F.col("n") / F.col("all")).alias("share"))
+    return shares.orderBy(F.desc("share"), F.desc("n"), what).limit(LOOKUP).select(what, "n").collect()
+
+
+def fit_tables(docs: DataFrame, labels: DataFrame | None = None) -> Describer:
+    """Letter pairs and words of all documents; labels are not read. Without a column lang all are one language."""
+    lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
+    raw = docs.select(lang.alias("lang"), F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counted = stage(
-        text.select(F.explode(words(F.lower("text"))).alias("word")).select(F.regexp_extract("word", r"^\p{L}+", 0).alias("word"))
-        .filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")),
+        raw.withColumn("word", F.regexp_extract("word", r"^\p{L}+", 0)).filter("word <> ''")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "words",
     )
-    frequent = [r[0] for r in counted.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()]
+    frequent = _top(counted, "word")
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, 2)))
-    pairs = counted.filter("length(word) > 1").select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
-    top = pairs.orderBy(F.desc("n"), "pair").limit(DICTIONARY_WORDS).collect()
+    pairs = stage(
+        counted.filter("length(word) > 1").select("lang", pair.alias("pair"), "n").groupBy("lang", "pair").agg(F.sum("n").alias("n")),
+        "pairs",
+    )
+    top = _top(pairs, "pair")
     firsts: dict[str, int] = {}
     for p, n in top:
         firsts[p[0]] = firsts.get(p[0], 0) + n
-    return Describer({(p[0], p[1]): math.log(n / firsts[p[0]]) for p, n in top}, frequent, set(frequent[:300]))
+    by_count = sorted(frequent, key=lambda r: (-r["n"], r["word"]))
+    return Describer(
+        {(p[0], p[1]): math.log(n / firsts[p[0]]) for p, n in top}, [r["word"] for r in frequent],
+        {r["word"] for r in by_count[:COMMON_WORDS]},
+    )
 
 
 def findings(docs: DataFrame, describer: Describer) -> DataFrame:

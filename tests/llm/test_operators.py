@@ -290,6 +290,17 @@ def test_forest_on_held_out_findings(spark, sf_dir):
     assert right[(0, False)] > 0.99 * (right[(0, False)] + right.get((0, True), 0))
 
 
+def test_words_of_all_documents_and_languages_are_counted(spark):
+    # 6000 words of one language, each in many documents, and one rare word of another in the last document
+    letters = "abcdefghijklmnopqrst"
+    vocabulary = [a + b + c + "x" for a in letters for b in letters for c in letters][:6000]
+    rows = [(k, " ".join(vocabulary[k % 60 * 100 : k % 60 * 100 + 100]), "en") for k in range(2400)] + [(9999, "þórð ýtti", "is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = secret_scan.fit_tables(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert known.words == {*vocabulary, "þórð", "ýtti"} and known.coverage("þórð") == 1.0 and ("þ", "ó") in known.pairs
+    assert known.pairs["a", "x"] > known.rare and len(known.common) == secret_scan.COMMON_WORDS
+
+
 def test_findings_of_awkward_rows(awkward, labels):
     rows = secret_scan.scan(awkward[1], labels).collect()
     assert all(r["length"] >= 16 and 0 <= r["score"] <= 1 for r in rows) and {r["doc_id"] for r in rows} >= {14}
