@@ -1,6 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are all long runs of key-like characters in the whole texts. A finding is described by its
+Candidates are the values of at least 6 characters that are assigned to a name of the sort "token" or
+"password", with all their punctuation, and all other runs of at least 16 key-like characters, cut at = and :
+behind a name. A finding is described by its
 length, character transitions (likelihood under the letter pairs of ordinary words, changes between
 letters, digits and signs, entropy), dictionary coverage, path (the document's source) and
 neighbouring words. The forest is trained on labelled findings: by default those that
@@ -44,8 +46,18 @@ PATHS = 32  # buckets of sources
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@:-]{16,}")
 # Parts of names that hold secrets, and of addresses.
 NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)")
+NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
+# A value goes to its quote, or to a blank, bracket of a tag, quote, separator of lists or next parameter of an address.
+ASSIGNMENT = re.compile(
+    NAME + r"[\w.-]{0,40}[\"'\]]{0,2}[ \t]*(?:=>|:=|==?|:(?!//))[ \t]*(?:(?:bearer|basic)[ \t]+)?"
+    r"(?:\"(?P<double>(?:\\.|[^\"\\\r\n]){6,})\"|'(?P<single>(?:\\.|[^'\\\r\n]){6,})'"
+    r"|(?P<bare>(?:(?!&[\w.-]+=)[^\s\"'<>,;]){6,}))", re.IGNORECASE,
+)
+LEADING = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*(?:=|:(?!//))+")
+LEAST_RUN = 16
 ADDRESS = re.compile(r"(?i)@[a-z0-9-]+\.|^https?:|^www\.|\.(com|org|net|html?)$")
-ASSIGNED = re.compile(r"[\w\"'\]]\s*(=|:|=>)\s*[\"']?$")
+ASSIGNED = re.compile(r"[\w\"'\]]\s*(=|:|=>)\s*((?i:bearer|basic)\s+)?[\"']?$")
+SIGNS = re.compile(r"[!#$%&*?^~+@]")
 
 FEATURES = [
     "length", "pair_likelihood", "class_changes", "entropy", "digits", "capitals", "signs", "coverage", "path",
@@ -59,11 +71,43 @@ def label_finding(value: str, before: str) -> int | None:
     letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
     if not letters or ADDRESS.search(value):
         return 0
-    if NAMES.search(before) and ASSIGNED.search(before) and digits:
-        return 1
+    if NAMES.search(before) and ASSIGNED.search(before) and (digits or SIGNS.search(value)):
+        return None if "(" in value else 1  # calls that give a secret are none
     return 0 if not digits else None
 
 
+def _runs(text: str, at: int, end: int) -> Iterator[tuple[int, str]]:
+    for found in CANDIDATE.finditer(text, at, end):
+        start, stop = found.span()
+        while start < stop:
+            name = LEADING.match(text, start, stop)
+            cut = name.end() if name else stop
+            part = text[start:cut]
+            value = part.strip(".:-=")
+            if len(value) >= LEAST_RUN:
+                yield start + part.find(value), value
+            start = cut
+
+
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of the assigned values, and of the long runs between them, from left to right."""
+    at = look = 0
+    while found := ASSIGNMENT.search(text, look):
+        kind = found.lastgroup
+        start, end = found.span(kind)
+        if kind == "bare":
+            # "password: token=abc" assigns abc only
+            while (name := LEADING.match(text, start, end)) and end - name.end() >= 6:
+                start = name.end()
+            end = start + len(text[start:end].rstrip(".:)]}"))
+        look = found.end()
+        if end - start >= 6:
+            yield from _runs(text, at, start)
+            yield start, text[start:end]
+            at = end
+    yield from _runs(text, at, len(text))
+
+
 class Describer:
     def __init__(self, pairs: dict[tuple[str, str], float], dictionary: list[str], common: set[str]):
         self.pairs, self.common = pairs, common
@@ -137,11 +181,7 @@ def findings(docs: DataFrame, describer: Describer) -> DataFrame:
         for frame in frames:
             rows = []
             for doc, text, source in frame.itertuples(index=False):
-                for found in CANDIDATE.finditer(text) if isinstance(text, str) else ():
-                    value = found[0].strip(".:-=")
-                    start = found.start() + found[0].find(value)
-                    if len(value) < 16:
-                        continue
+                for start, value in candidates(text) if isinstance(text, str) else ():
                     before, after = text[max(0, start - 40) : start], text[start + len(value) : start + len(value) + 40]
                     source = source if isinstance(source, str) else None
                     rows.append((

@@ -301,6 +301,37 @@ def test_words_of_all_documents_and_languages_are_counted(spark):
     assert known.pairs["a", "x"] > known.rare and len(known.common) == secret_scan.COMMON_WORDS
 
 
+KEY = "0123456789abcdef0123456789abcdef01234567"
+
+
+@pytest.mark.parametrize("text, value", [
+    ('password = "hunter2!"', "hunter2!"), ("pwd: s3cr#t$%", "s3cr#t$%"), ("DB_PASSWORD='a b&c d9'", "a b&c d9"),
+    ('{"passwd": "x\\"y!z4"}', 'x\\"y!z4'), ("$c['db_password'] => 'pa$$w0rd'", "pa$$w0rd"), (f"API_KEY={KEY}", KEY),
+    (f"see http://a.org/x?token={KEY}&page=2", KEY), (f"sha={KEY}", KEY), ("Authorization: Bearer ab!cd9", "ab!cd9"),
+    (f"so token = \"{KEY}\".", KEY), ("secret: abc#def!ghi$jkl%mno&pqr1.", "abc#def!ghi$jkl%mno&pqr1"),
+    ("password: token=abc!123", "abc!123"),
+])
+def test_candidates_are_the_values_alone(text, value):
+    assert [(text.index(value), value)] == list(secret_scan.candidates(text))
+
+
+def test_candidates_left_alone():
+    assert list(secret_scan.candidates("password: short, token = \"abc\" and 12:30:45")) == []
+    address = "https://www.example.org/some/long/path"
+    assert list(secret_scan.candidates(address)) == [(0, address)]
+
+
+def test_planted_passwords_are_found(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text", "lang", "source")
+    planted = [(10**6 + k, f"we wrote it down here\npassword = \"{'Kq7' if k % 2 else 'zR4'}!{k}#x%\"\nand went home", "en", "s1") for k in range(60)]
+    both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string"))
+    got = {r["doc_id"]: r for r in secret_scan.scan(both, None).filter("doc_id >= 1000000").collect()}
+    for doc, text, *_ in planted:
+        value = text.split('"')[1]
+        assert got[doc]["digest"] == hashlib.sha256(value.encode()).hexdigest() and got[doc]["start"] == text.index(value)
+        assert got[doc]["is_secret"] and got[doc]["length"] < 16
+
+
 def test_findings_of_awkward_rows(awkward, labels):
     rows = secret_scan.scan(awkward[1], labels).collect()
     assert all(r["length"] >= 16 and 0 <= r["score"] <= 1 for r in rows) and {r["doc_id"] for r in rows} >= {14}
