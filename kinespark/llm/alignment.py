@@ -45,9 +45,9 @@ SIDE_A = "/opt/tokenizers/byte_bpe_50k.json"
 SIDE_B = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENTS = re.compile(r" [\s\S]+?(?=(?<=\S) [\s\S]|\Z)")
 UNEVEN = re.compile(r"\s |\s\Z|\A ")  # texts without it are cut at every space
-CHUNK_BYTES = 8_000_000  # text that is aligned at a time; a longer text is a chunk of its own
-REMEMBERED = 300_000  # segments that a task remembers
-IN_A_ROW = 5_000  # segments that are encoded as one text
+CHUNK_BYTES = 2_000_000  # text that is aligned at a time; a longer text is a chunk of its own
+REMEMBERED = 400_000  # segments that a task remembers
+IN_A_ROW = 300  # segments that are encoded as one text
 LINKS_AT_ONCE = 2_000_000
 LOOKUP_PAIRS = 20_000_000  # no pair of vocabularies may be able to give more
 SHIFT = 1 << 32  # a pair is a * SHIFT + b
@@ -247,15 +247,16 @@ class Aligner:
         cut = [segments_of(t) for t in texts]
         rows = self.look_up(cut)
         counts = np.array([len(c) for c in cut])
-        good = _sums(1 - self.known["good"].to_numpy().astype(np.int64)[rows], counts) == 0
-        rows = rows[np.repeat(good, counts)]
-        counts = counts * good
-        found = self.known.take(pa.array(rows)).combine_chunks()
-        n_a, n_b, n_links = (_sums(found[c].to_numpy(), counts) for c in ("n_a", "n_b", "n_links"))
-        whole = found["groups"].combine_chunks() if len(rows) else pa.array([], pa.large_binary())
-        data, cuts = _slices(whole, counts)
+        known = {name: self.known[name].chunk(0) if len(self.known) else pa.array([], kind) for name, kind in SEGMENT.items()}
+        bad = ~known["good"].to_numpy(zero_copy_only=False)
+        good = _sums(bad[rows], counts) == 0
+        if not good.all():
+            rows = rows[np.repeat(good, counts)]
+            counts = counts * good
+        n_a, n_b, n_links = (_sums(known[c].to_numpy()[rows], counts) for c in ("n_a", "n_b", "n_links"))
+        data, cuts = _slices(known["groups"].take(pa.array(rows)), counts)
         sealed = [hashlib.sha256(data[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(cuts[:-1], cuts[1:])]
-        flat = pc.list_flatten(found["links"]).combine_chunks() if len(rows) else pa.array([], pa.int64())
+        flat = pc.list_flatten(known["links"].take(pa.array(rows)))
         listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]), pa.int32()), flat)
         out = pa.RecordBatch.from_arrays(
             [doc_ids, *map(pa.array, (n_a, n_b, n_links, n_links)), pa.array(sealed, pa.string()), listed],
