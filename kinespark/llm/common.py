@@ -77,7 +77,7 @@ def batch_of(doc_id: str | Column, batches: int) -> Column:
     return F.pmod(F.hash(doc_id), F.lit(batches))
 
 
-def stage_bucketed(df: DataFrame, batches: int, name: str = "batches") -> DataFrame:
+def stage_bucketed(df: DataFrame, batches: int, name: str = "batches", key: str = "batch") -> DataFrame:
     """Store a frame that is dealt by ``batch`` as a table of one bucket per batch in the shared folder.
 
     Later passes over whole batches, and co-groups by batch, read the buckets without a shuffle.
@@ -86,7 +86,7 @@ def stage_bucketed(df: DataFrame, batches: int, name: str = "batches") -> DataFr
     if batches > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
         spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(batches))
     (
-        df.write.bucketBy(batches, "batch").option("path", stage_path(spark, name)).option("compression", "zstd")
+        df.write.bucketBy(batches, key).option("path", stage_path(spark, name)).option("compression", "zstd")
         .format("parquet").saveAsTable(fresh)
     )
     release(spark)
