@@ -46,9 +46,9 @@ SIDE_B = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENTS = re.compile(r" [\s\S]+?(?=(?<=\S) [\s\S]|\Z)")
 UNEVEN = re.compile(r"\s |\s\Z|\A ")  # texts without it are cut at every space
 CHUNK_BYTES = 2_000_000  # text that is aligned at a time; a longer text is a chunk of its own
-REMEMBERED = 400_000  # segments that a task remembers
+REMEMBERED = 250_000  # segments that a task remembers
 IN_A_ROW = 300  # segments that are encoded as one text
-LINKS_AT_ONCE = 2_000_000
+LINKS_AT_ONCE = 500_000  # links that are counted or scored at a time
 LOOKUP_PAIRS = 20_000_000  # no pair of vocabularies may be able to give more
 SHIFT = 1 << 32  # a pair is a * SHIFT + b
 
@@ -256,10 +256,11 @@ class Aligner:
         n_a, n_b, n_links = (_sums(known[c].to_numpy()[rows], counts) for c in ("n_a", "n_b", "n_links"))
         data, cuts = _slices(known["groups"].take(pa.array(rows)), counts)
         sealed = [hashlib.sha256(data[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(cuts[:-1], cuts[1:])]
-        flat = pc.list_flatten(known["links"].take(pa.array(rows)))
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)]), pa.int32()), flat)
+        flat = memoryview(pc.list_flatten(known["links"].take(pa.array(rows))).to_numpy()).cast("B")
+        ends = np.concatenate([[0], np.cumsum(n_links)]) * 8
+        stored = [pa.compress(flat[s:e], "zstd", asbytes=True) if e > s else b"" for s, e in zip(ends[:-1], ends[1:])]
         out = pa.RecordBatch.from_arrays(
-            [doc_ids, *map(pa.array, (n_a, n_b, n_links, n_links)), pa.array(sealed, pa.string()), listed],
+            [doc_ids, *map(pa.array, (n_a, n_b, n_links, n_links)), pa.array(sealed, pa.string()), pa.array(stored, pa.binary())],
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"],
         )
         self.check(texts, out)
@@ -286,7 +287,7 @@ def check_segments(described: str, b: list[bytes]) -> None:
         raise ValueError("a piece of side B has a space inside")
 
 
-ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>"
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -314,52 +315,55 @@ def align(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B) -> DataFr
             for chunk in _chunks(batch):
                 if chunk.num_rows:
                     yield aligner.documents(chunk.column("doc_id"), [t or "" for t in chunk.column("text").to_pylist()])
+        del aligner
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ALIGNED)
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch with about LINKS_AT_ONCE links, and these links' pairs in order."""
+    n_links = batch.column("n_links").to_numpy()
+    marks = np.concatenate([[0], np.cumsum(n_links)]) // LINKS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(marks[:-1])) + 1), batch.num_rows]
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        part = batch.slice(s, e - s)
+        stored = zip(part.column("links"), n_links[s:e])
+        found = [np.frombuffer(pa.decompress(x.as_buffer(), int(n) * 8, "zstd"), np.int64) for x, n in stored if n]
+        yield part, np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def count_pairs(aligned: DataFrame) -> DataFrame:
     """(pair, n, best): links of each id pair, and whether no pair with its B id has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         for batch in batches:
-            counted = pa.table({"pair": pc.list_flatten(batch.column("links"))}).group_by("pair", use_threads=False).aggregate(
-                [([], "count_all")]
-            ).rename_columns({"count_all": "n"})
-            held = pa.concat_tables([held, counted.select(["pair", "n"])]).group_by("pair", use_threads=False).aggregate(
-                [("n", "sum")]
-            ).rename_columns({"n_sum": "n"}).select(["pair", "n"])
+            for _, pairs in _unpacked(batch):
+                counted = pa.table({"pair": pairs}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+                both = pa.concat_tables([held, counted.rename_columns({"count_all": "n"}).select(["pair", "n"])])
+                held = both.group_by("pair", use_threads=False).aggregate([("n", "sum")])
+                held = held.rename_columns({"n_sum": "n"}).select(["pair", "n"])
         yield from held.combine_chunks().to_batches()
 
-    partial = aligned.select("links").mapInArrow(run, "pair long, n long")
+    partial = aligned.select("n_links", "links").mapInArrow(run, "pair long, n long")
     same_b = Window.partitionBy(F.col("pair") % SHIFT)
     return partial.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("best", F.col("n") == F.max("n").over(same_b))
 
 
 def score(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
     """Add n_best and count_sum to the documents and drop their links."""
-    lookup = pairs.toArrow().combine_chunks()  # at most pair_limit rows
-    keys, counts, best = (lookup.column(c).combine_chunks() for c in ("pair", "n", "best"))
-    best = best.cast(pa.int64())
+    lookup = pairs.orderBy("pair").toArrow().combine_chunks()  # at most pair_limit rows
+    keys, counts, best = (lookup.column(c).to_numpy() for c in ("pair", "n", "best"))
     kept = [f for f in aligned.schema.fields if f.name != "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            upto = np.cumsum(pc.list_value_length(whole.column("links")).to_numpy(), dtype=np.int64)
-            marks = np.concatenate([[0], upto]) // LINKS_AT_ONCE
-            cuts = [0, *(np.flatnonzero(np.diff(marks[:-1])) + 1), whole.num_rows]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                batch = whole.slice(s, e - s)
-                links = batch.column("links")
-                at = pc.index_in(pc.list_flatten(links), keys)
-                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy(), dtype=np.int64)])
-                sums = []
-                for values in (best, counts):
-                    running = np.concatenate([[0], np.cumsum(pc.take(values, at).to_numpy(), dtype=np.int64)])
-                    sums.append(pa.array(running[ends[1:]] - running[ends[:-1]]))
+        for batch in batches:
+            for part, links in _unpacked(batch):
+                at = np.searchsorted(keys, links)
+                sums = [pa.array(_sums(values[at], part.column("n_links").to_numpy())) for values in (best, counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(f.name) for f in kept), *sums], names=[*(f.name for f in kept), "n_best", "count_sum"]
+                    [*(part.column(f.name) for f in kept), *sums], names=[*(f.name for f in kept), "n_best", "count_sum"]
                 )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
