@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +33,7 @@ from kinespark.llm.common import query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
+UNITS = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
 THREADS = 2
 REMEMBERED = 400_000  # units a task remembers
 ROWS = 256  # documents that are encoded together
@@ -151,12 +152,17 @@ class Codec:
             raise ValueError(f"model type {self.model.kind} has no counterpart")
         self.units = Tokenizer(core)
         self.map = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bytes = [
+        tokens = [
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL
             else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARKER, " ").encode()
             for p, _, kind in self.model.pieces
         ]
+        self.bytes = pa.array(tokens, pa.large_binary())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = pa.array([], pa.large_list(pa.int32()))
 
     def normalise(self, text: str) -> str:
         if self.map:
@@ -165,27 +171,52 @@ class Codec:
             text = re.sub(" +", " ", text).strip(" ")
         return text
 
-    def _cut(self, text: str) -> list[str]:
-        text = self.normalise(text)
+    def cut(self, text: str) -> list[str]:
+        """The units of a normalised text: each starts at a marker, but for the first of a model without dummy prefix."""
         if text and self.model.dummy_prefix:
             text = " " + text
-        return re.findall(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+", text.replace(" ", MARKER))
+        if MARKER not in text and text[:1] == " " and text[-1:] != " " and "  " not in text:
+            return text.replace(" ", " " + MARKER).split(" ")[1:]
+        return UNITS.findall(text.replace(" ", MARKER))
+
+    def look_up(self, cut: list[list[str]]) -> np.ndarray:
+        """Rows of ``ids`` for all units, in order; those that are new to this codec are encoded in one threaded batch."""
+        known = self.known
+        new = list({u for units in cut for u in units}.difference(known))
+        if known and len(known) + len(new) > REMEMBERED:
+            self.forget()
+            return self.look_up(cut)
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            found = [x.ids for x in self.units.encode_batch_fast(new, add_special_tokens=False)]
+            self.ids = pa.concat_arrays([self.ids, pa.array(found, pa.large_list(pa.int32()))])
+        return np.fromiter((known[u] for units in cut for u in units), np.int64, sum(map(len, cut)))
+
+    def encode_normal(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each normalised text."""
+        cut = [self.cut(t) for t in texts]
+        rows = self.look_up(cut)
+        taken = self.ids.take(pa.array(rows))
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(taken).to_numpy(), dtype=np.int64)])
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
+        return pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pc.list_flatten(taken))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; units that are new to this codec are encoded in one threaded batch."""
-        cut = [self._cut(t) for t in texts]
-        new = list({u for units in cut for u in units}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({u for units in cut for u in units})
-        for unit, found in zip(new, self.units.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[unit] = tuple(found.ids)
-        return [[i for u in units for i in self.known[u]] for units in cut]
+        return self.encode_normal([self.normalise(t) for t in texts]).to_pylist()
+
+    def decode_bytes(self, ids: pa.ListArray) -> list[memoryview]:
+        """The joined bytes of each text's ids, less the space of a dummy prefix."""
+        taken = self.bytes.take(ids.values)
+        if not len(taken):
+            return [memoryview(b"")] * len(ids)
+        data = memoryview(taken.buffers()[2]).cast("B")
+        cuts = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[ids.offsets.to_numpy()]
+        drop = int(self.model.dummy_prefix)
+        return [data[s + (drop and data[s : s + 1] == b" ") : e] for s, e in zip(cuts[:-1], cuts[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return bytes(self.decode_bytes(pa.array([ids], pa.list_(pa.int32())))[0]).decode("utf-8", "replace")
 
 
 def in_parity_share(text: str, share: float = PARITY_SHARE) -> bool:
@@ -208,17 +239,15 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, share: f
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = codec.encode(texts)
+                normal = [codec.normalise(t) for t in texts]
+                ids = codec.encode_normal(normal)
                 checked = [k for k, t in enumerate(texts) if in_parity_share(t, share)]
                 for k, theirs in zip(checked, checker.encode([texts[k] for k in checked])):
-                    if ids[k] != theirs:
+                    if ids[k].as_py() != theirs:
                         raise ValueError(f"the encoders differ on a text that begins with {texts[k][:80]!r}")
-                same = [codec.decode(i) == codec.normalise(t) for i, t in zip(ids, texts)]
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = np.fromiter((x for i in ids for x in i), np.int32, offsets[-1])
+                same = [found == t.encode() for found, t in zip(codec.decode_bytes(ids), normal)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                     pa.array(np.diff(offsets).astype(np.int64)), pa.array(same, pa.bool_())],
+                    [*batch.columns, ids, pc.list_value_length(ids).cast(pa.int64()), pa.array(same, pa.bool_())],
                     names=[*batch.schema.names, "ids", "n_tokens", "round_trip"],
                 )
 
