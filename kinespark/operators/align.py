@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.operators.layout import BLOCK, SERIES_LIMIT, attach, enumerate_rows, running
@@ -40,6 +40,50 @@ def merge_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], time: st
     return forward_fill(rows, keys, values, size=size)
 
 
+def merge_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str = "ts", columns: Sequence[str] = AXES,
+               tolerance: Column | None = None, ranges: int | None = None) -> DataFrame:
+    """One row per time stamp of either side, with each side's last row at or before it; ``n`` numbers the rows.
+
+    Both sides are interleaved by one range partitioning of (keys, time), which cuts a hot recording into as many
+    ranges as it needs and serves the grouping of equal stamps too. The last values and the number of rows of
+    each range (one small row per recording and range) are carried into the ranges after it. Where no side
+    repeats a stamp the rows are those of :func:`merge_sides`; of rows with one stamp the greatest counts, compared column by
+    column. A value older than ``tolerance`` (an interval, or a number for numeric time) is NULL. Rows without
+    time are left out.
+    """
+    keys, sides = list(keys), ("left", "right")
+
+    def side(df, name):
+        row = F.struct(F.col(time).alias("_at"), *[F.col(c).alias(c) for c in columns])
+        return df.filter(F.col(time).isNotNull()).select(*keys, time, row.alias(name))
+
+    both = side(left, "left").unionByName(side(right, "right"), allowMissingColumns=True)
+    ranged = both.repartitionByRange(*([ranges] if ranges else []), *keys, time)
+    stamps = ranged.groupBy(*keys, time).agg(*[F.max(s).alias(s) for s in sides])
+    stored = stage(stamps.withColumn("_range", F.spark_partition_id()), "stamps")
+
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = stored.groupBy("_range", *keys).agg(F.count("*").alias("_rows"), *[F.max(s).alias(s) for s in sides])
+    carried = stage(ends.select(
+        "_range", *keys, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        *[F.last(s, ignorenulls=True).over(earlier).alias(f"_{s}") for s in sides],
+    ), "carried")
+
+    w = Window.partitionBy("_range", *keys).orderBy(time)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = stored.select(
+        "_range", *keys, time, (F.row_number().over(w).cast("long") - 1).alias("_row"),
+        *[F.last(s, ignorenulls=True).over(upto).alias(s) for s in sides],
+    ).join(carried, ["_range", *keys])
+    found = filled.select(
+        *keys, time, (F.col("_row") + F.col("_before")).alias("n"), *[F.coalesce(s, f"_{s}").alias(s) for s in sides]
+    )
+    if tolerance is not None:
+        fresh = {s: F.when(F.col(time) - F.col(f"{s}._at") <= tolerance, F.col(s)) for s in sides}
+        found = found.withColumns(fresh)
+    return found.select(*keys, time, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in sides for c in columns], "n")
+
+
 def complete_rows(df: DataFrame, keys: Sequence[str], pos: str = "n") -> DataFrame:
     """Drop rows with a NULL and number the rest again.
 

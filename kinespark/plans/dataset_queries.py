@@ -11,7 +11,7 @@ from kinespark.plans import sql_parts as S
 from kinespark.plans.classification import FeatureSettings, subject_features
 from kinespark.plans.registry import query, r, rounded, with_
 from kinespark.plans.views import (
-    SERIES, SUBJECT, bilateral_grid, samples, signal_long, staged_signal, supplier_series, table, two_sensor_grid,
+    SERIES, SUBJECT, bilateral_full, bilateral_grid, samples, signal_long, staged_signal, supplier_series, table, two_sensors,
 )
 from kinespark.session import stage
 
@@ -24,28 +24,40 @@ def bilateral_merge(spark, sf_dir):
     return bilateral_grid(spark, sf_dir)
 
 
+_ASOF = "SELECT subject_id, ts, left_z, right_z, CAST(n AS BIGINT) AS n FROM merged"
+
+
+@query("asof_merge", with_(S.SIGNAL, S.asof("signal", "merged")) + _ASOF)
+def asof_merge(spark, sf_dir):
+    """Both sides at full rate: every time stamp of either with the last values of both."""
+    return bilateral_full(samples(spark, sf_dir))
+
+
+@query("asof_merge_within", with_(S.SIGNAL, S.asof("signal", "merged", "INTERVAL 30 MINUTE")) + _ASOF)
+def asof_merge_within(spark, sf_dir):
+    """The same, where values of more than half an hour ago count as missing."""
+    return bilateral_full(samples(spark, sf_dir), F.expr("INTERVAL 30 MINUTES"))
+
+
 @query(
     "complete_bilateral_rows",
-    with_(*_MERGED)
-    + "SELECT subject_id, hour_no, left_z, right_z, row_number() OVER (PARTITION BY subject_id ORDER BY hour_no) - 1 AS n"
-    " FROM merged WHERE left_z IS NOT NULL AND right_z IS NOT NULL",
+    with_(S.SIGNAL, S.asof("signal", "merged"), S.complete("merged", "whole"))
+    + "SELECT subject_id, ts, left_z, right_z, n FROM whole",
 )
 def complete_bilateral_rows(spark, sf_dir):
     """The merged series without its incomplete head, numbered again."""
-    return align.complete_rows(bilateral_grid(spark, sf_dir), SUBJECT)
-
-
-_BOTH = (*_MERGED, S.TWO_SENSORS)
+    return align.complete_rows(bilateral_full(samples(spark, sf_dir)), SUBJECT)
 
 
 @query(
     "sensor_rows_by_position",
-    with_(*_BOTH) + "SELECT subject_id, CAST(n AS BIGINT) AS n, hour_no, "
-    + r("gyro_left_z", "gyro_left_z") + ", " + r("gyro_right_z", "gyro_right_z") + ", " + r("accel_left_z", "accel_left_z") + ", " + r("accel_right_z", "accel_right_z") + " FROM both_sensors",
+    with_(*S.TWO_SENSORS) + "SELECT subject_id, CAST(n AS BIGINT) AS n, ts, "
+    + ", ".join(r(f"{sensor}_{side}_z", f"{sensor}_{side}_z") for sensor in ("gyro", "accel") for side in ("left", "right"))
+    + " FROM both_sensors",
 )
 def sensor_rows_by_position(spark, sf_dir):
     """Gyroscope row i next to accelerometer row i, cut to the shorter series."""
-    return rounded(two_sensor_grid(spark, sf_dir))
+    return rounded(two_sensors(spark, sf_dir))
 
 
 @query(
@@ -75,7 +87,7 @@ _SLIDING = """cut AS (
   JOIN (SELECT DISTINCT n // 100 AS window_id FROM both_sensors) w
     ON b.n BETWEEN w.window_id * 100 AND w.window_id * 100 + 199),
 windows AS (
-  SELECT subject_id, window_id, min(hour_no) AS start_time, max(hour_no) AS end_time,
+  SELECT subject_id, window_id, min(ts) AS start_time, max(ts) AS end_time,
          max(gyro_right_z) AS gyro_right_z_max, min(gyro_right_z) AS gyro_right_z_min,
          max(gyro_left_z) AS gyro_left_z_max, min(gyro_left_z) AS gyro_left_z_min,
          max(accel_right_z) AS accel_right_z_max, min(accel_right_z) AS accel_right_z_min,
@@ -112,7 +124,7 @@ def _label_columns() -> str:
 
 
 DETECTION_SQL = (
-    *_BOTH, _SLIDING,
+    *S.TWO_SENSORS, _SLIDING,
     S.maxima("window_series", _WK, height=windows.PEAK_HEIGHT, out="window_tops"),
     S.thinned("window_tops", _WK, windows.PEAK_DISTANCE, out="window_peaks"),
     S.numbered_strides("window_peaks", _WK, out="window_strides"),
@@ -121,7 +133,7 @@ DETECTION_SQL = (
 
 
 def detection(spark, sf_dir, tensor=()):
-    return windows.detection_windows(two_sensor_grid(spark, sf_dir), SUBJECT, time="hour_no", tensor=tensor)
+    return windows.detection_windows(two_sensors(spark, sf_dir), SUBJECT, tensor=tensor)
 
 
 _CLASS = "CASE WHEN subject_id < 5 THEN 0 ELSE 1 END AS class_label"
@@ -162,7 +174,7 @@ _TENSOR = ["gyro_left_z", "gyro_right_z", "accel_left_z", "accel_right_z"]
 
 @query(
     "detection_raw_windows",
-    with_(*_BOTH, _SLIDING)
+    with_(*S.TWO_SENSORS, _SLIDING)
     + "SELECT subject_id, CAST(window_id AS BIGINT) AS window_id, CAST(200 AS INTEGER) AS samples, CAST(4 AS INTEGER) AS channels, "
     + ", ".join(r(f"sum({c} * (n - window_id * 100 + 1))", f"sum_{c}", 4) for c in _TENSOR)
     + " FROM cut SEMI JOIN windows USING (subject_id, window_id) GROUP BY subject_id, window_id",
@@ -187,7 +199,7 @@ def detection_raw_windows(spark, sf_dir):
 # suppliers as subjects: four columns of the same rows stand for both sides of both sensors
 _SUPPLIER_BOTH = """both_sensors AS (
   SELECT l_suppkey AS subject_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS n,
-         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS hour_no,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS ts,
          CAST(l_quantity AS DOUBLE) - 25.5 AS gyro_left_z, CAST(l_extendedprice AS DOUBLE) / 1000 - 25 AS gyro_right_z,
          CAST(l_discount AS DOUBLE) AS accel_left_z, CAST(l_tax AS DOUBLE) AS accel_right_z
   FROM lineitem)"""

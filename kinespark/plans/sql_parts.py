@@ -33,15 +33,41 @@ merged AS (
   FROM joined
   WINDOW w AS (PARTITION BY subject_id ORDER BY hour_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
-# both sensors paired by position after dropping incomplete rows
-TWO_SENSORS = """complete AS (
-  SELECT subject_id, hour_no, left_z, right_z, row_number() OVER (PARTITION BY subject_id ORDER BY hour_no) - 1 AS n
-  FROM merged WHERE left_z IS NOT NULL AND right_z IS NOT NULL),
-both_sensors AS (
-  SELECT g.subject_id, g.n, g.hour_no, g.left_z AS gyro_left_z, g.right_z AS gyro_right_z,
-         CAST(a.left_z * CAST(0.01 AS DOUBLE) AS DOUBLE) AS accel_left_z,
-         CAST(a.right_z * CAST(0.01 AS DOUBLE) AS DOUBLE) AS accel_right_z
-  FROM complete g JOIN complete a ON a.subject_id = g.subject_id AND a.n - 3 = g.n)"""
+# every sample of the second sensor
+SECOND = """second AS (
+  SELECT user_id % 10 AS subject_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, ts,
+         (CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) - 50) * CAST(0.01 AS DOUBLE) AS z
+  FROM events WHERE event_type <> 'error')"""
+
+
+def asof(source: str, out: str, within: str = "") -> str:
+    """Both sides' last values at or before every time stamp, not older than ``within``."""
+    def value(side):
+        return f"CASE WHEN s.ts - {side}.ts <= {within} THEN {side}.z END" if within else f"{side}.z"
+
+    return f"""{out} AS (
+  SELECT s.subject_id, s.ts, {value("l")} AS left_z, {value("r")} AS right_z,
+         row_number() OVER (PARTITION BY s.subject_id ORDER BY s.ts) - 1 AS n
+  FROM (SELECT DISTINCT subject_id, ts FROM {source}) s
+  ASOF LEFT JOIN (SELECT * FROM {source} WHERE side = 'left') l ON l.subject_id = s.subject_id AND s.ts >= l.ts
+  ASOF LEFT JOIN (SELECT * FROM {source} WHERE side = 'right') r ON r.subject_id = s.subject_id AND s.ts >= r.ts)"""
+
+
+def complete(source: str, out: str) -> str:
+    return f"""{out} AS (
+  SELECT subject_id, ts, left_z, right_z, row_number() OVER (PARTITION BY subject_id ORDER BY ts) - 1 AS n
+  FROM {source} WHERE left_z IS NOT NULL AND right_z IS NOT NULL)"""
+
+
+# both sensors at full rate, paired by position after dropping incomplete rows
+TWO_SENSORS = (
+    SIGNAL, SECOND, asof("signal", "gyro_rows"), complete("gyro_rows", "gyro"), asof("second", "accel_rows"),
+    complete("accel_rows", "accel"),
+    """both_sensors AS (
+  SELECT g.subject_id, g.n, g.ts, g.left_z AS gyro_left_z, g.right_z AS gyro_right_z,
+         a.left_z AS accel_left_z, a.right_z AS accel_right_z
+  FROM gyro g JOIN accel a ON a.subject_id = g.subject_id AND a.n = g.n)""",
+)
 
 
 def maxima(source: str, keys: str, value: str = "z", height: float | None = None, out: str = "maxima") -> str:

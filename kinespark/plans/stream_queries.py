@@ -56,7 +56,7 @@ _COLUMNS_SQL = """user_rows AS (
   SELECT user_id % 10 AS subject_id, ts, event_id, value - 34.5 AS gyro_left_z, CAST(user_id % 97 - 48 AS DOUBLE) AS gyro_right_z,
          value / 100 AS accel_left_z, value / 200 AS accel_right_z FROM events),
 both_sensors AS (
-  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ts, event_id) - 1 AS n, ts AS hour_no FROM user_rows)"""
+  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ts, event_id) - 1 AS n FROM user_rows)"""
 
 
 def _row_windows(spark, sf_dir):

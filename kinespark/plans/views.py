@@ -6,10 +6,10 @@ healthy cohort, the others the stroke cohort. ``lineitem`` gives one series per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinespark.operators.align import complete_rows, merge_sides
+from kinespark.operators.align import complete_rows, merge_asof, merge_sides, zip_rows
 from kinespark.operators.layout import enumerate_rows
 from kinespark.session import stage
 
@@ -58,18 +58,33 @@ def bilateral_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sides(left, right, SUBJECT, "hour_no", ["z"])
 
 
-def two_sensor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gyroscope and accelerometer rows paired by position.
+def second_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' other number as an accelerometer that misses the samples of one kind of event."""
+    subject = F.col("user_id") % 10
+    number = F.regexp_extract("props", r"(\d+)", 1).cast("double")
+    return table(spark, sf_dir, "events").filter("event_type <> 'error'").select(
+        subject.alias("subject_id"), F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("side"), "ts",
+        ((number - 50) * 0.01).alias("z"),
+    )
+
+
+def bilateral_full(rows: DataFrame, tolerance: Column | None = None) -> DataFrame:
+    """Both sides of one sensor at full rate: subject_id, ts, left_z, right_z, n."""
+    left, right = (rows.filter(F.col("side") == s).select(*SUBJECT, "ts", "z") for s in ("left", "right"))
+    return merge_asof(left, right, SUBJECT, "ts", ["z"], tolerance)
 
-    The second sensor is the first one at a hundredth of its scale and without its first 3 rows.
-    """
-    gyro = stage(complete_rows(bilateral_grid(spark, sf_dir), SUBJECT), "gyro")
-    accel = gyro.filter(F.col("n") >= 3).select(
-        "subject_id", (F.col("n") - 3).alias("n"),
-        (F.col("left_z") * 0.01).alias("accel_left_z"), (F.col("right_z") * 0.01).alias("accel_right_z"),
+
+def two_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gyroscope and accelerometer rows at full rate, paired by position; time stamps are the gyroscope's."""
+    gyro, accel = (
+        stage(complete_rows(bilateral_full(rows), SUBJECT), name)
+        for rows, name in ((samples(spark, sf_dir), "gyro"), (second_sensor(spark, sf_dir), "accel"))
     )
-    named = gyro.withColumnsRenamed({"left_z": "gyro_left_z", "right_z": "gyro_right_z"})
-    return named.join(accel, [*SUBJECT, "n"])
+
+    def named(df, prefix):
+        return df.withColumnsRenamed({f"{s}_z": f"{prefix}_{s}_z" for s in ("left", "right")})
+
+    return zip_rows(named(gyro, "gyro"), named(accel, "accel").drop("ts"), SUBJECT)
 
 
 def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
