@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinespark.operators import models, timedomain, windows
 from kinespark.plans import sql_parts as S
-from kinespark.plans.dataset_queries import DETECTION_SQL, _label_columns
+from kinespark.plans.dataset_queries import DETECTION_SQL, _label_columns, detection_windows_by_supplier
 from kinespark.plans.registry import query, r, rounded, with_
 from kinespark.plans.views import SERIES, SUBJECT, samples, table
 from kinespark.session import stage, stage_path
@@ -59,7 +59,7 @@ both_sensors AS (
   SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ts, event_id) - 1 AS n FROM user_rows)"""
 
 
-def _row_windows(spark, sf_dir):
+def _row_windows(spark, sf_dir, **emitted):
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     feed = events.select(
@@ -67,7 +67,7 @@ def _row_windows(spark, sf_dir):
         (F.col("user_id") % 97 - 48).cast("double").alias("gyro_right_z"), (F.col("value") / 100).alias("accel_left_z"),
         (F.col("value") / 200).alias("accel_right_z"),
     )
-    sink = live.RowWindows(spark, feed.schema, SUBJECT, stage_path(spark, "row-windows"), tiebreak=["event_id"], lateness_s=3600)
+    sink = live.RowWindows(spark, feed.schema, SUBJECT, stage_path(spark, "row-windows"), tiebreak=["event_id"], lateness_s=3600, **emitted)
     run = feed.writeStream.foreachBatch(sink).option("checkpointLocation", stage_path(spark, "row-windows-checkpoint"))
     started = run.trigger(availableNow=True).start()
     started.awaitTermination()
@@ -96,6 +96,16 @@ def streamed_row_windows(spark, sf_dir):
     + " FROM windows JOIN window_labels USING (subject_id, window_id) WHERE (1 - s) * 100 > 10",
 )
 def streamed_alerts(spark, sf_dir):
-    """Streamed windows whose stride times differ by more than 10 percent between the sides."""
-    found = live.symmetry_alerts(_row_windows(spark, sf_dir).windows())
+    """Streamed windows whose stride times differ by more than 10 percent between the sides, written batch by batch."""
+    found = _row_windows(spark, sf_dir, alert_above=10.0).alerts()
     return rounded(found.select("subject_id", "window_id", "stride_diff_pct"))
+
+
+@query("streamed_window_scores")
+def streamed_window_scores(spark, sf_dir):
+    """Streamed windows classified batch by batch, with a model fitted on the stored windows of all suppliers."""
+    train = stage(detection_windows_by_supplier(spark, sf_dir).filter("label_moderate IN (0, 1)"), "train")
+    features = windows.ASYMMETRY_FEATURES
+    model = models.fit(train, features, "label_moderate", models.logistic_regression(100))
+    found = _row_windows(spark, sf_dir, model=model, features=features).scores()
+    return rounded(found.select("subject_id", "window_id", "label_moderate", "probability", "prediction"))

@@ -62,15 +62,20 @@ class RowWindows:
     already numbered cannot be placed any more and goes to the ``late`` table.
 
     State, windows and late rows are written under the batch id: a batch that is repeated after a
-    failure starts from the previous batch's state and overwrites its own output.
+    failure starts from the previous batch's state and overwrites its own output. So are the alerts
+    (windows whose stride times differ by more than ``alert_above`` percent between the sides) and, with a ``model``,
+    the classes and probabilities of the windows that have all of its ``features``: both follow from the
+    windows a batch has just written and can be read as soon as it ends, while the stream goes on.
     """
 
     def __init__(self, spark: SparkSession, schema: T.StructType, keys: Sequence[str], path: str, time: str = "ts",
                  tiebreak: Sequence[str] = (), rows: int = 200, step: int = 100, lateness_s: float = 0.0,
-                 enrich: Callable[[DataFrame], DataFrame] | None = None, **peaks):
+                 enrich: Callable[[DataFrame], DataFrame] | None = None, alert_above: float | None = None,
+                 model: PipelineModel | None = None, features: Sequence[str] = (), **peaks):
         self.spark, self.keys, self.path, self.time = spark, list(keys), path, time
         self.order, self.rows, self.step, self.lateness_s = [time, *tiebreak], rows, step, lateness_s
         self.enrich, self.peaks = enrich, peaks
+        self.alert_above, self.model, self.features = alert_above, model, list(features)
         self.columns = [f.name for f in schema]
         self.state_schema = T.StructType([*schema.fields, T.StructField("n", T.LongType())])
 
@@ -82,11 +87,32 @@ class RowWindows:
         empty = self.spark.createDataFrame([], T.StructType(self.state_schema.fields[:-1]))
         self._advance(empty, batch_id + 1, None)
 
+    def _written(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/*").drop("batch")
+
     def windows(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/windows").parquet(f"{self.path}/windows/*").drop("batch")
+        return self._written("windows")
 
     def late(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/late").parquet(f"{self.path}/late/*").drop("batch")
+        return self._written("late")
+
+    def alerts(self) -> DataFrame:
+        return self._written("alerts")
+
+    def scores(self) -> DataFrame:
+        return self._written("scores")
+
+    def _emit(self, found: DataFrame, batch_id: int) -> None:
+        """Write the windows of one batch, then what follows from them."""
+        path = f"{self.path}/windows/batch={batch_id}"
+        found.write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(found.schema).parquet(path)
+        if self.alert_above is not None:
+            alerts = symmetry_alerts(written, self.alert_above)
+            alerts.write.mode("overwrite").parquet(f"{self.path}/alerts/batch={batch_id}")
+        if self.model is not None:
+            scored = score_stream(written.na.drop(subset=self.features), self.model)
+            scored.write.mode("overwrite").parquet(f"{self.path}/scores/batch={batch_id}")
 
     def _state(self, batch_id: int) -> DataFrame:
         """What the previous batch left: numbered rows of unfinished windows, and waiting rows without ``n``."""
@@ -122,8 +148,7 @@ class RowWindows:
 
         # the tail starts where the next window starts, so finished windows cannot come up again
         found = windows.detection_windows(rows, self.keys, self.rows, self.step, time=self.time, **self.peaks)
-        found = self.enrich(found) if self.enrich else found
-        found.write.mode("overwrite").parquet(f"{self.path}/windows/batch={batch_id}")
+        self._emit(self.enrich(found) if self.enrich else found, batch_id)
 
         ends = rows.groupBy(*self.keys).agg(F.max("n").alias("_end"))
         next_start = F.greatest(F.lit(0), F.floor((F.col("_end") + 1 - self.rows) / self.step) + 1) * self.step

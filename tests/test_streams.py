@@ -100,6 +100,37 @@ def test_a_repeated_batch_overwrites_its_own_output(spark):
     assert sorted(sink.windows().select(*expected.columns).collect(), key=str) == sorted(expected.collect(), key=str)
 
 
+def test_alerts_and_scores_come_out_with_their_batch_and_once(spark):
+    data = rows({"a": 230, "b": 75})
+    everything = stored(spark, data)
+    usable = everything.na.drop()
+    features = windows.ASYMMETRY_FEATURES
+    model = models.fit(usable.withColumn("label", (F.col(features[1]) < 0.9).cast("int")), features, "label", models.logistic_regression(50))
+    sink = live.RowWindows(
+        spark, spark.createDataFrame([], SCHEMA).schema, ["key"], stage_path(spark, "rows"), tiebreak=["seq"], rows=40, step=20,
+        distance=8, alert_above=10.0, model=model, features=features,
+    )
+    seen = {}
+
+    def handle(batch, number):
+        for _ in range(2 if number == 1 else 1):  # the second batch is repeated, as after a failure
+            sink(batch, number)
+        # the stream is still running here
+        seen[number] = (sink.windows().count(), sink.alerts().count(), sink.scores().count())
+
+    query = (
+        feed(spark, [data[:100], data[100:200], data[200:]]).writeStream.foreachBatch(handle)
+        .option("checkpointLocation", stage_path(spark, "ckpt")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(seen) == [0, 1, 2] and 0 < seen[0][1] < seen[2][1] and seen[0][2] < seen[2][2]
+    sink.finish(2)
+    expected = live.symmetry_alerts(everything, 10.0)
+    assert sorted(sink.alerts().select(*expected.columns).collect(), key=str) == sorted(expected.collect(), key=str)
+    scored = models.score(model, usable)
+    assert sorted(sink.scores().select(*scored.columns).collect(), key=str) == sorted(scored.collect(), key=str)
+
+
 def test_watermark_drops_rows_of_closed_windows(spark):
     schema = "key string, ts timestamp_ntz, z double"
     path = stage_path(spark, "feed")
