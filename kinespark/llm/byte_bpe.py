@@ -141,11 +141,16 @@ def cutter(patterns: tuple[str, str]) -> Callable[[str], list[str]]:
 
 
 def _packed(values: list[int] | np.ndarray) -> bytes:
-    return pa.compress(np.asarray(values, "<u4").tobytes(), "zstd", asbytes=True) if len(values) else b""
+    """Numbers below 2**32, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b""
 
 
 def _unpacked(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, count * 4, "zstd", asbytes=True), "<u4") if count else np.zeros(0, "<u4")
+    if not count:
+        return np.zeros(0, "<u4")
+    planes = np.frombuffer(pa.decompress(data, count * 4, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 class Pack:
@@ -173,13 +178,20 @@ class Pack:
         self.bytes += len(text.encode())
 
     def row(self, batch: int) -> pa.RecordBatch:
-        words: dict[str, int] = {}
-        found = [self.cut(p[0] if isinstance(p, tuple) else " " + p) for p in self.pieces]
-        listed = [words.setdefault(w, len(words)) for ws in found for w in ws]
+        """The batch with pieces numbered by frequency and words in order, which compresses best."""
+        used = np.concatenate(self.rows)
+        order = np.argsort(-np.bincount(used, minlength=len(self.pieces)), kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        pieces = list(self.pieces)
+        found = [self.cut(p[0] if isinstance(p, tuple) else " " + p) for p in (pieces[k] for k in order)]
+        words = sorted({w for ws in found for w in ws})
+        number = {w: k for k, w in enumerate(words)}
+        listed = [number[w] for ws in found for w in ws]
         one = {
-            "batch": batch, "doc_ids": self.doc_ids, "sizes": _packed(self.sizes),
-            "pieces": _packed(np.concatenate(self.rows)), "piece_sizes": np.array([len(self.pieces), len(listed)], "<u4").tobytes()
-            + _packed([len(ws) for ws in found]), "piece_words": _packed(listed), "words": [w.encode() for w in words],
+            "batch": batch, "doc_ids": self.doc_ids, "sizes": _packed(self.sizes), "pieces": _packed(rank[used]),
+            "piece_sizes": np.array([len(pieces), len(listed)], "<u4").tobytes() + _packed([len(ws) for ws in found]),
+            "piece_words": _packed(listed), "words": [w.encode() for w in words],
         }
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.list_(pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one.values(), kinds)], names=list(one))
@@ -234,7 +246,8 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     packs = pack(docs)
     buckets = batch_count(docs)
     asked = stage_bucketed(
-        packs.select("batch", F.posexplode("words").alias("k", "word")).repartition(buckets, "word"), buckets, "words", "word"
+        packs.select("batch", F.posexplode("words").alias("k", "word")).repartition(buckets, "word").sortWithinPartitions("word"),
+        buckets, "words", "word",
     )
     byte_ids = [known[bytes([b])] for b in range(256)]
     literal = rank_table(spark, known)
