@@ -9,23 +9,28 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier,
+    RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from kinespark.operators import boosting
+from kinespark.operators.boosting import Boosted, Boosting
 from kinespark.operators.statistics import classification_report
 from kinespark.session import stage
 
 SEED = 42
 TRAIN_ROWS = 50_000
+BOOSTED_FOLDER = "boosted"
 
-# name → estimator for (number of features, number of training rows)
-Factory = Callable[[int, int], object]
+# an estimator for (number of features, number of training rows), or the settings of boosted trees
+Factory = Callable[[int, int], object] | Boosting
+INNER_FOLDS = 3  # over which a margin classifier is calibrated
 
 
 def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Factory:
@@ -43,13 +48,13 @@ def linear_svm(max_iter: int = 100, c: float = 1.0) -> Factory:
     return lambda width, rows: LinearSVC(regParam=1 / (c * rows), standardization=False, maxIter=max_iter, tol=1e-3)
 
 
-def gradient_boosting(rounds: int = 100, depth: int = 3, step: float = 0.1) -> Factory:
-    return lambda width, rows: GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=SEED)
+def gradient_boosting(rounds: int = 100) -> Boosting:
+    return boosting.first_order(rounds)
 
 
-def boosted_trees(rounds: int = 100) -> Factory:
-    """Deeper trees and larger steps than :func:`gradient_boosting`."""
-    return gradient_boosting(rounds, depth=6, step=0.3)
+def boosted_trees(rounds: int = 100) -> Boosting:
+    """Second-order boosting with deeper trees, larger steps and a penalty on the leaves."""
+    return boosting.second_order(rounds)
 
 
 def perceptron(hidden: int = 50, max_iter: int = 3000) -> Factory:
@@ -94,25 +99,81 @@ def scaling_stages(columns: Sequence[str], rows: int, output: str = "features")
     ]
 
 
-def fit(train: DataFrame, columns: Sequence[str], label: str, factory: Factory) -> PipelineModel:
-    """Scaler and classifier as one pipeline, so that scoring always scales alike."""
+def fit(train: DataFrame, columns: Sequence[str], label: str, factory: Factory, groups: str | None = None) -> PipelineModel | Boosted:
+    """Scaler and classifier as one pipeline, so that scoring always scales alike.
+
+    A margin classifier is calibrated (:func:`calibrator`); ``groups`` numbers the subjects' folds for that.
+    """
+    if isinstance(factory, Boosting):
+        return boosting.grow(train, columns, label, factory)[0]
     rows = train.count()
-    estimator = factory(len(columns), rows).setLabelCol(label).setFeaturesCol("features")
-    return Pipeline(stages=[*scaling_stages(columns, rows), estimator]).fit(train)
 
+    def pipeline(df: DataFrame, size: int) -> PipelineModel:
+        estimator = factory(len(columns), size).setLabelCol(label).setFeaturesCol("features")
+        return Pipeline(stages=[*scaling_stages(columns, size), estimator]).fit(df)
+
+    model = pipeline(train, rows)
+    if isinstance(model.stages[-1], LinearSVCModel):
+        held = held_out_margins(train, columns, label, pipeline, groups)
+        if held is not None:
+            slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
+            model = PipelineModel([*model.stages, slicer, calibrator(held, label)])
+    return model
 
-def score(model: PipelineModel, df: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Add ``prediction`` (int) and, where the model gives one, ``probability`` of class 1.
 
-    With a probability the class is 1 from ``cut`` on; a margin classifier decides by its sign.
+def held_out_margins(train: DataFrame, columns: Sequence[str], label: str, pipeline: Callable[[DataFrame, int], PipelineModel],
+                     groups: str | None) -> DataFrame | None:
+    """(label, margin) of every row from a model that has not seen the row's group; None unless both classes are there.
+
+    Without ``groups`` rows are dealt by a hash of their features, so that equal rows stay together.
+    """
+    number = F.col(groups).cast("long") if groups else F.xxhash64(*columns)
+    dealt = train.withColumn("_inner", F.pmod(number, F.lit(INNER_FOLDS)))
+    classes = {(r["_inner"], r[label]): r["count"] for r in dealt.groupBy("_inner", label).count().collect()}
+    parts = []
+    for inner in sorted({i for i, _ in classes}):
+        others = [(y, n) for (i, y), n in classes.items() if i != inner]
+        if len({y for y, _ in others}) == 2:
+            model = pipeline(dealt.filter(F.col("_inner") != inner), sum(n for _, n in others))
+            margin = vector_to_array("rawPrediction")[1]
+            parts.append(model.transform(dealt.filter(F.col("_inner") == inner)).select(label, margin.alias("margin")))
+    if not parts:
+        return None
+    held = stage(reduce(DataFrame.unionByName, parts), "margins")
+    return held if held.select(label).distinct().count() == 2 else None
+
+
+def calibrator(held: DataFrame, label: str) -> LogisticRegressionModel:
+    """Sigmoid from margins to probabilities that grows with the margin (or stays level), fitted to log-loss.
+
+    The classes' targets are (n + 1) / (n + 2) and 1 / (n + 2), which keeps the sigmoid finite where margins separate
+    the classes; each row therefore counts for both classes, with these weights.
     """
+    sizes = {r[label]: r["count"] for r in held.groupBy(label).count().collect()}
+    target = F.when(F.col(label) == 1, (sizes[1] + 1) / (sizes[1] + 2)).otherwise(1 / (sizes[0] + 2))
+    both = held.select("margin", F.inline(F.array(
+        F.struct(F.lit(1).alias("_is"), target.alias("_weight")), F.struct(F.lit(0).alias("_is"), (1 - target).alias("_weight"))
+    )))
+    rows = VectorAssembler(inputCols=["margin"], outputCol="_margin").transform(both)
+    return LogisticRegression(
+        featuresCol="_margin", labelCol="_is", weightCol="_weight", predictionCol="_class", rawPredictionCol="_logit", tol=1e-9,
+        maxIter=200, lowerBoundsOnCoefficients=DenseMatrix(1, 1, [0.0]),
+    ).fit(rows)
+
+
+def score(model: PipelineModel | Boosted, df: DataFrame, cut: float = 0.5) -> DataFrame:
+    """Add ``prediction`` (int) and ``probability`` of class 1.
+
+    The class is 1 from a probability of ``cut`` on; a margin classifier decides by its sign, whatever its
+    calibrated probability. Only a margin classifier that met a single class in calibration has no probability.
+    """
+    if isinstance(model, Boosted):
+        return model.score(df, cut)
     scored = model.transform(df)
-    if "probability" in scored.columns:
-        p = vector_to_array("probability")[1]
-        return scored.select(*df.columns, p.alias("probability"), (p >= cut).cast("int").alias("prediction"))
-    return scored.select(
-        *df.columns, F.lit(None).cast("double").alias("probability"), F.col("prediction").cast("int").alias("prediction")
-    )
+    by_margin = any(isinstance(s, LinearSVCModel) for s in model.stages)
+    p = vector_to_array("probability")[1] if "probability" in scored.columns else F.lit(None).cast("double")
+    decided = F.col("prediction") if by_margin else p >= cut
+    return scored.select(*df.columns, p.alias("probability"), decided.cast("int").alias("prediction"))
 
 
 def _for_training(df: DataFrame) -> DataFrame:
@@ -128,20 +189,27 @@ def cross_validate(df: DataFrame, columns: Sequence[str], label: str, models: di
     """Out-of-fold predictions of every model, one row per input row and model.
 
     The scaler is fitted inside each training fold. Fits run ``parallel`` at a time, as
-    cross-validation in MLlib does.
+    cross-validation in MLlib does; boosted trees of all folds grow together. The result is stored.
     """
     data = _for_training(df.select(*dict.fromkeys([*keep, fold, label, *columns])))
     numbers = [row[0] for row in data.select(fold).distinct().orderBy(fold).collect()]
 
     def one(task):
         name, number = task
-        model = fit(data.filter(F.col(fold) != number), columns, label, models[name])
-        return score(model, data.filter(F.col(fold) == number)).withColumn("model", F.lit(name))
-
+        if isinstance(models[name], Boosting):
+            predicted = boosting.cross_predict(data, columns, label, models[name], fold, numbers)
+        else:
+            model = fit(data.filter(F.col(fold) != number), columns, label, models[name], fold)
+            predicted = score(model, data.filter(F.col(fold) == number))
+        return predicted.withColumn("model", F.lit(name))
+
+    tasks = [(n, k) for n, f in models.items() for k in ([None] if isinstance(f, Boosting) else numbers)]
     with ThreadPool(parallel) as pool:
-        parts = pool.map(one, [(name, number) for name in models for number in numbers])
-    out = [*keep, fold, label, "model", "prediction", "probability"]
-    return reduce(DataFrame.unionByName, [p.select(*dict.fromkeys(out)) for p in parts])
+        parts = pool.map(one, tasks)
+    out = list(dict.fromkeys([*keep, fold, label, "model", "prediction", "probability"]))
+    predictions = stage(reduce(DataFrame.unionByName, [p.select(*out) for p in parts]), "predictions")
+    data.unpersist()
+    return predictions
 
 
 def compare_models(predictions: DataFrame, label: str) -> DataFrame:
@@ -156,11 +224,18 @@ def best_model(comparison: DataFrame, metric: str, order: Sequence[str]) -> str:
     return comparison.agg(F.max_by("model", F.struct(F.col(metric), place))).first()[0]
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel | Boosted, path: str, spark: SparkSession | None = None) -> None:
+    if isinstance(model, Boosted):
+        model.save(spark or SparkSession.active(), f"{path}/{BOOSTED_FOLDER}")
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str, spark: SparkSession | None = None) -> PipelineModel | Boosted:
+    spark = spark or SparkSession.active()
+    boosted = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BOOSTED_FOLDER}")
+    if boosted.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(boosted):
+        return boosting.load(spark, f"{path}/{BOOSTED_FOLDER}")
     return PipelineModel.load(path)
 
 

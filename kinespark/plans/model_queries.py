@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinespark.operators import dataset, folds, models, statistics, timedomain, windows
+from kinespark.operators import boosting, dataset, folds, models, statistics, timedomain, windows
 from kinespark.plans import scoring
 from kinespark.plans import sql_parts as S
 from kinespark.plans.dataset_queries import detection_windows_by_supplier
@@ -211,6 +211,50 @@ def holdout_split(spark, sf_dir):
 
 FEATURES = windows.TIME_FEATURES
 
+_TREE_EDGES = {"l_quantity": [5.0, 10.0, 20.0, 30.0, 40.0, 45.0], "l_extendedprice": [5e3, 1e4, 2e4, 4e4, 6e4, 8e4],
+               "l_discount": [0.01, 0.03, 0.05, 0.08], "l_tax": [0.01, 0.02, 0.04, 0.06]}
+
+
+def _grown(level: int, source: str) -> str:
+    """Gains of all splits of one level, the best one per node, and the rows below it."""
+    return f"""gains_{level} AS (
+  SELECT node, f, c, e, any_value(g) AS g, any_value(h) AS h, sum(x) AS gl, sum(0.25) AS hl
+  FROM (SELECT node, v, x, sum(x) OVER (PARTITION BY node) AS g, count(*) OVER (PARTITION BY node) * 0.25 AS h FROM {source}), edges
+  WHERE v[f + 1] <= e GROUP BY node, f, c, e),
+best_{level} AS (
+  SELECT node, f, e FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, c) AS place
+    FROM (SELECT *, round((gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2, 9) AS gain
+          FROM gains_{level} WHERE hl >= 1 AND h - hl >= 1) WHERE gain > 1e-9)
+  WHERE place = 1),
+rows_{level + 1} AS (
+  SELECT 2 * node + CASE WHEN v[f + 1] <= e THEN 1 ELSE 2 END AS node, v, x FROM {source} JOIN best_{level} USING (node))"""
+
+
+@query(
+    "boosted_tree",
+    "WITH edges(f, c, e) AS (VALUES "
+    + ", ".join(f"({f}, {c}, CAST({e} AS DOUBLE))" for f, cuts in enumerate(_TREE_EDGES.values()) for c, e in enumerate(cuts))
+    + "), rows_0 AS (SELECT 0 AS node, [" + ", ".join(f"CAST({c} AS DOUBLE)" for c in _TREE_EDGES)
+    + "] AS v, CASE WHEN l_returnflag = 'R' THEN -0.5 ELSE 0.5 END AS x FROM lineitem),\n"
+    + ",\n".join(_grown(k, f"rows_{k}") for k in range(2))
+    + " SELECT CAST(node AS INTEGER) AS node, CAST(coalesce(f, -1) AS INTEGER) AS feature, e AS edge, "
+    + r("-sum(x) / (count(*) * 0.25 + 1)", "leaf")
+    + " FROM (SELECT * FROM rows_0 UNION ALL SELECT * FROM rows_1 UNION ALL SELECT * FROM rows_2)"
+    " LEFT JOIN (SELECT * FROM best_0 UNION ALL SELECT * FROM best_1) USING (node) GROUP BY node, f, e",
+)
+def boosted_tree(spark, sf_dir):
+    """The first tree of second-order boosting, two levels deep: splits, and the value of every node as a leaf."""
+    edges = list(_TREE_EDGES.values())
+    rows = table(spark, sf_dir, "lineitem").select(
+        *_TREE_EDGES, (F.col("l_returnflag") == "R").cast("int").alias("label")
+    )
+    settings = boosting.Boosting(rounds=1, depth=2)
+    tree = boosting.grow(rows, list(_TREE_EDGES), "label", settings, edges=edges)[0].trees[0]
+    reached = {0} | {c for k, f in enumerate(tree.feature) if f >= 0 for c in (2 * k + 1, 2 * k + 2)}
+    nodes = [(k, f, edges[f][c] if f >= 0 else None, v) for k, (f, c, v) in enumerate(zip(tree.feature, tree.cut, tree.leaf)) if k in reached]
+    return rounded(spark.createDataFrame(nodes, "node int, feature int, edge double, leaf double"))
+
 
 def training_windows(spark, sf_dir, label):
     """Labelled windows of all suppliers, with a fold per supplier."""
@@ -222,7 +266,7 @@ def training_windows(spark, sf_dir, label):
 def _compare(spark, sf_dir, label, columns, candidates):
     data = training_windows(spark, sf_dir, label)
     predictions = models.cross_validate(data, columns, label, candidates, keep=["l_suppkey", "window_id"])
-    return models.compare_models(stage(predictions, "predictions"), label)
+    return models.compare_models(predictions, label)
 
 
 def _light_models():
@@ -274,7 +318,7 @@ def subject_models(spark, sf_dir):
     """Leave-one-subject-out accuracy of three classifiers on the four extremes."""
     data = folds.leave_one_out(_subjects(spark, sf_dir), SUBJECT)
     predictions = models.cross_validate(data, EXTREMES, "label", models.subject_models(), keep=SUBJECT)
-    found = statistics.fold_accuracies(stage(predictions, "predictions"), by=["model"])
+    found = statistics.fold_accuracies(predictions, by=["model"])
     return rounded(found.orderBy(F.desc("mean_accuracy"), "model"))
 
 

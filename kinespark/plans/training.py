@@ -47,7 +47,6 @@ def train_window_classifier(dataset: DataFrame, columns: Sequence[str], label: s
     usable = defined(dataset, label).na.drop(subset=list(columns))
     data = folds.with_folds(stage(usable, "usable"), keys, n_folds, "window_id")
     predictions = models.cross_validate(data, columns, label, candidates, keep=[*keys, "window_id"])
-    predictions = stage(predictions, "predictions")
     comparison = stage(models.compare_models(predictions, label), "comparison")
     return _finish(data, columns, label, candidates, comparison, predictions, "f1", path, "detection")
 
@@ -67,7 +66,7 @@ def train_subject_classifier(dataset: DataFrame, columns: Sequence[str] = SUBJEC
     """Leave-one-subject-out; the model with the best mean accuracy is refitted on all subjects."""
     candidates = candidates or models.subject_models()
     data = folds.leave_one_out(stage(dataset.select(*keys, label, *columns), "subjects"), keys)
-    predictions = stage(models.cross_validate(data, columns, label, candidates, keep=keys), "predictions")
+    predictions = models.cross_validate(data, columns, label, candidates, keep=keys)
     comparison = statistics.fold_accuracies(predictions, label=label, by=["model"])
     comparison = stage(comparison.orderBy(F.desc("mean_accuracy"), "model"), "comparison")
     return _finish(data, columns, label, candidates, comparison, predictions, "mean_accuracy", path, "classification")
