@@ -43,6 +43,7 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PACK_BYTES = 32_000_000  # text of one batch; a longer text is a batch of its own
 NONE = 2**31 - 1  # the rank of pairs that join to nothing
+PIECES_AT_ONCE = 300_000  # that are put together to documents at a time; a longer document is taken whole
 WIDTH = 2**20  # ids are below this
 BUCKETS = 65_537  # maps of the rank table
 
@@ -266,16 +267,22 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
         for row in batch.to_pylist():
             n_pieces, n_words = np.frombuffer(row["piece_sizes"][:8], "<u4")
             of_pieces = _spread(words, _unpacked(row["piece_words"], n_words), _unpacked(row["piece_sizes"][8:], n_pieces))
-            sizes = _unpacked(row["sizes"], len(row["doc_ids"]))
-            of_docs = _spread(of_pieces, _unpacked(row["pieces"], int(sizes.sum())), sizes)
-            ends, sealed = of_docs.offsets.to_numpy(), []
-            for values, drop in ((printed, 1), (pieces, 0)):
-                data, cuts = _bytes_of(values.take(of_docs.values))
-                sealed.append([hashlib.sha256(data[s : max(s, e - drop)]).hexdigest() for s, e in zip(cuts[ends[:-1]], cuts[ends[1:]])])
-            out.append(pa.table({
-                "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": np.diff(ends), "ids_sha256": sealed[0],
-                "decoded_sha256": sealed[1],
-            }))
+            sizes = _unpacked(row["sizes"], len(row["doc_ids"])).astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            numbers = _unpacked(row["pieces"], int(upto[-1]))
+            cuts = [0, *(np.flatnonzero(np.diff(upto[:-1] // PIECES_AT_ONCE)) + 1), len(sizes)]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                of_docs = _spread(of_pieces, numbers[upto[first] : upto[last]], sizes[first:last])
+                ends, sealed = of_docs.offsets.to_numpy(), []
+                for values, drop in ((printed, 1), (pieces, 0)):
+                    data, at = _bytes_of(values.take(of_docs.values))
+                    sealed.append([hashlib.sha256(data[s : max(s, e - drop)]).hexdigest() for s, e in zip(at[ends[:-1]], at[ends[1:]])])
+                out.append(pa.table({
+                    "doc_id": pa.array(row["doc_ids"][first:last], pa.int64()), "n_tokens": np.diff(ends),
+                    "ids_sha256": pa.array(sealed[0], pa.string()), "decoded_sha256": pa.array(sealed[1], pa.string()),
+                }))
+        del words, of_pieces, of_docs, numbers
+        pa.default_memory_pool().release_unused()  # the worker goes on to other batches
         return pa.concat_tables(out)
 
     kept = packs.drop("words")
