@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from kinespark.session import stage
 
 REFRESH = 10
+TASK_ROWS = 50_000  # rows of a small table that one task takes
 ACCURACY = 10_000  # of the quantiles that the bins are cut at
 
 
@@ -151,18 +152,18 @@ def histograms(data: DataFrame, grown: list[list[Tree]], growing: list[Tree], le
     )
 
 
-def split(table: pd.DataFrame, settings: Boosting, last: bool) -> tuple[tuple[int, int] | None, float]:
-    """The best (feature, cut) of one node, None if it is to be a leaf, and the value it has as a leaf.
+def split(table: pd.DataFrame, settings: Boosting) -> tuple[float, tuple[int, int] | None, list[float]]:
+    """The value of one node as a leaf, its best (feature, cut) or None, and the values of the two children.
 
     Of equal gains the first feature and the lowest cut win.
     """
+    def value(g: float, h: float) -> float:
+        return float(-g / (h + settings.l2)) if h + settings.l2 > 1e-12 else 0.0
+
     some = table[table["feature"] == table["feature"].min()]
     g, h, n = (some[c].sum() for c in ("g", "h", "n"))
-    value = -g / (h + settings.l2) if h + settings.l2 > 1e-12 else 0.0
-    if last or n < 2:
-        return None, value
-    best, choice = 1e-9, None
-    for feature, rows in table.groupby("feature", sort=True):
+    best, choice, children = 1e-9, None, []
+    for feature, rows in table.groupby("feature", sort=True) if n > 1 else ():
         rows = rows.sort_values("bin")
         gl, hl, nl = (rows[c].to_numpy().cumsum()[:-1] for c in ("g", "h", "n"))
         gr, hr, nr = g - gl, h - hl, n - nl
@@ -175,7 +176,8 @@ def split(table: pd.DataFrame, settings: Boosting, last: bool) -> tuple[tuple[in
             k = int(np.argmax(np.round(gain, 9)))
             if round(gain[k], 9) > best:
                 best, choice = round(gain[k], 9), (int(feature), int(rows["bin"].iloc[k]))
-    return choice, value
+                children = [value(gl[k], hl[k]), value(gr[k], hr[k])]
+    return value(g, h), choice, children
 
 
 @dataclass
@@ -232,18 +234,21 @@ def grow(data: DataFrame, columns: Sequence[str], label: str, settings: Boosting
         for number in numbers:
             n, ones = (sum(r[c] for r in sizes if r["fold"] != number) for c in ("n", "ones"))
             starts.append(math.log(ones / (n - ones)) if 0 < ones < n else math.copysign(20.0, ones - 0.5))
+    # every level is a job over all partitions, so a small table must not have many
     stored = stage(marked.withColumn("margins", F.lit(starts)), "binned")
+    stored = stage(stored.coalesce(max(1, -(-stored.count() // TASK_ROWS))), "binned")
     found = [Boosted(settings, columns, edges, start) for start in starts]
     fresh: list[list[Tree]] = [[] for _ in found]
     for round_no in range(settings.rounds):
         growing = [Tree.empty(settings.depth) for _ in found]
-        for level in range(settings.depth + 1):
+        for level in range(settings.depth):
             sums = histograms(stored, fresh, growing, level, numbers, settings, len(columns)).toPandas()
             for (m, node), rows in sums.groupby(["model", "node"]):
-                choice, value = split(rows, settings, level == settings.depth)
-                growing[m].leaf[node] = float(value)
+                tree = growing[m]
+                tree.leaf[node], choice, children = split(rows, settings)
                 if choice:
-                    growing[m].feature[node], growing[m].cut[node] = choice
+                    tree.feature[node], tree.cut[node] = choice
+                    tree.leaf[2 * node + 1], tree.leaf[2 * node + 2] = children
             if all(t.feature[k] < 0 for t in growing for k in range(2**level - 1, 2 ** (level + 1) - 1)):
                 break
         for model, new, tree in zip(found, fresh, growing):

@@ -269,40 +269,34 @@ def _compare(spark, sf_dir, label, columns, candidates):
     return models.compare_models(predictions, label)
 
 
-def _light_models():
-    every = models.window_models()
-    return {name: every[name] for name in ("Logistic Regression", "SVM (linear)", "Random Forest")}
-
-
 @query("window_models_strict")
 def window_models_strict(spark, sf_dir):
-    """Grouped five-fold comparison of three classifiers on the strict label."""
-    return rounded(_compare(spark, sf_dir, "label_strict", FEATURES, _light_models()))
+    """Grouped five-fold comparison of all six classifiers on the strict label."""
+    return rounded(_compare(spark, sf_dir, "label_strict", FEATURES, models.window_models()))
 
 
 @query("window_models_moderate")
 def window_models_moderate(spark, sf_dir):
-    return rounded(_compare(spark, sf_dir, "label_moderate", FEATURES, _light_models()))
+    return rounded(_compare(spark, sf_dir, "label_moderate", FEATURES, models.window_models()))
 
 
 @query("window_models_lenient")
 def window_models_lenient(spark, sf_dir):
-    return rounded(_compare(spark, sf_dir, "label_lenient", FEATURES, _light_models()))
+    return rounded(_compare(spark, sf_dir, "label_lenient", FEATURES, models.window_models()))
 
 
 @query("boosted_and_neural_models")
 def boosted_and_neural_models(spark, sf_dir):
-    """The slower classifiers, with few rounds, on the moderate label."""
-    every = models.window_models(rounds=5, perceptron_iterations=50)
+    """Gradient boosting, boosted trees and the perceptron on the two stride features, moderate label."""
+    every = models.window_models()
     chosen = {name: every[name] for name in ("Gradient Boosting", "Boosted Trees", "MLP")}
-    return rounded(_compare(spark, sf_dir, "label_moderate", FEATURES, chosen))
+    return rounded(_compare(spark, sf_dir, "label_moderate", windows.ASYMMETRY_FEATURES, chosen))
 
 
 @query("asymmetry_models")
 def asymmetry_models(spark, sf_dir):
     """Classifiers on the two stride features, lenient label."""
-    every = models.asymmetry_models(rounds=5)
-    return rounded(_compare(spark, sf_dir, "label_lenient", windows.ASYMMETRY_FEATURES, every))
+    return rounded(_compare(spark, sf_dir, "label_lenient", windows.ASYMMETRY_FEATURES, models.asymmetry_models()))
 
 
 EXTREMES = ["right_z_min", "left_z_min", "right_z_max", "left_z_max"]
@@ -336,8 +330,8 @@ def forest_importance(spark, sf_dir):
     """Importance of the window features, joined with their elimination rank."""
     train, _ = folds.holdout(training_windows(spark, sf_dir, "label_moderate"), ["l_suppkey"])
     train = stage(train, "train")
-    importance = models.forest_importance(train, FEATURES, "label_moderate", models.random_forest(20))
-    ranks = models.recursive_elimination(train, FEATURES, "label_moderate", 4, factory=models.random_forest(20))
+    importance = models.forest_importance(train, FEATURES, "label_moderate")
+    ranks = models.recursive_elimination(train, FEATURES, "label_moderate", 4)
     return rounded(dataset.join_one_to_one(importance, ranks, ["feature"]).orderBy("ranking", "feature"))
 
 
@@ -368,5 +362,5 @@ def stride_measures(spark, sf_dir):
 def stride_scores(spark, sf_dir):
     """Recordings classified by their stride measures, with a model fitted on labelled windows."""
     train = training_windows(spark, sf_dir, "label_lenient")
-    model = models.fit(train, windows.ASYMMETRY_FEATURES, "label_lenient", models.random_forest(20))
+    model = models.fit(train, windows.ASYMMETRY_FEATURES, "label_lenient", models.random_forest(100))
     return rounded(scoring.score_strides(staged_signal(spark, sf_dir), SUBJECT, model))
