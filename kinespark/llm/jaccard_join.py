@@ -17,8 +17,9 @@ different components is missed, while a group of thousands of near copies costs
 each.
 
 Shingles are 64-bit hashes of words. Defined results: null, empty and blank texts have no shingles and
-are linked with nothing; fewer words than ``WORDS`` make one shingle; equal sets are linked; rows with one
-doc_id are one document; an empty table gives an empty result; other columns are not read.
+are linked with nothing; fewer words than ``WORDS`` make one shingle; equal sets are linked; every row is a
+document, also where ids are null or repeated (a component of null ids only has a null component_id); an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +39,13 @@ from kinespark.llm.common import (
 )
 from kinespark.llm.graph import components
 from kinespark.llm.suffix_dedup import CHUNK, Ranks
+from kinespark.operators.layout import enumerate_rows
 from kinespark.session import stage
 
 # Values of op3's contract; the pipeline passes its own.
 WORDS = 4
 PERCENT = 85
-CARRIED = 256  # elements of a prefix that are carried along to tell the first common key
+CARRIED = 256  # classes of a prefix that are carried along to tell the first common key
 WAVES = 4  # of single pivots, before the rest is compared
 
 FACTORS = mix(np.arange(1001, 1001 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -145,17 +147,43 @@ def _common_keys(sent: DataFrame) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(count, ANSWER)
 
 
+MEMBERS = np.dtype([("n", "<u4"), ("who", "<u8")])  # how many sets have an element, and the sum of their hashes
+
+
+def _frequencies(sent: DataFrame) -> DataFrame:
+    """To each batch: those of its elements that two sets or more have, with MEMBERS."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, marks, owner = unpack(rows, MEMBERS)
+        distinct, at = np.unique(keys, return_inverse=True)
+        total, who = np.bincount(at, marks["n"]), np.zeros(len(distinct), np.uint64)
+        np.add.at(who, at, marks["who"])
+        again = total[at] > 1
+        keys, at, owner = keys[again], at[again], owner[again]
+        found = np.empty(len(keys), MEMBERS)
+        found["n"], found["who"] = np.minimum(total[at], 2**32 - 1), who[at]
+        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+        out = [
+            (int(batch), keys[a:b].tobytes(), found[a:b].tobytes())
+            for batch, a, b in zip(rows["batch"], cuts[:-1], cuts[1:]) if b > a
+        ]
+        return pd.DataFrame(out, columns=["batch", "keys", "counts"])
+
+    return sent.groupBy("shard").applyInPandas(count, ANSWER)
+
+
 def _packed(batch: int, shards: int, parts: list[np.ndarray]) -> pd.DataFrame:
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
     return next(pack(batch, shards, keys, counts.astype(np.uint32)))
 
 
-SETS = "doc_id long, batch int, n long, digest string, hashes binary"
+SETS = "doc_id string, batch int, n long, digest string, hashes binary"  # ids as text: pandas turns numbers with nulls to floats
 
 
 def likely_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
     """Every row's doc_id and set size; digest and hashes only where a partner is possible."""
     batches, count = stage_batches(docs, "doc_id", "text")
+    batches = batches.withColumn("doc_id", F.col("doc_id").cast("string"))
     shards = shard_count(count)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,20 +207,28 @@ def likely_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
                 else:
                     out.append((len(s), None, None))
         frame = pd.DataFrame(out, columns=["n", "digest", "hashes"])
-        frame.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
+        frame.insert(0, "doc_id", rows["doc_id"].to_numpy())
         frame.insert(1, "batch", rows["batch"].to_numpy())
         return frame
 
     sets = batches.groupBy("batch").cogroup(common.groupBy("batch")).applyInPandas(choose, SETS)
-    return stage_bucketed(sets, count, "sets"), count
+    return stage_bucketed(sets.withColumn("doc_id", F.col("doc_id").cast("long")), count, "sets"), count
 
 
-PREFIX = "doc_id long, n long, shared long, single int, index1 int, index2 int, elements array<long>, counts array<long>"
+PREFIX = (
+    "doc_id long, n long, shared long, single int, index1 int, index2 int, classes array<long>, firsts array<int>,"
+    " seconds array<int>, counts array<long>"
+)
 PREFIX_NAMES = [x.split()[0] for x in PREFIX.split(", ")]
+NEVER = 2**31 - 1
 
 
 def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) -> DataFrame:
-    """Per chosen set the elements of its prefix that other sets have too, rare ones first.
+    """Per chosen set the classes of its prefix: of the elements that other sets have too, rare ones first.
+
+    Elements that the very same sets have form a class, as a passage's do. Two sets that have a 2-subset or a
+    list in common have one of the elements' classes in common, so the join runs on classes and a shared passage counts
+    once, not once per pair of its elements. ``firsts`` and ``seconds`` are the places of a class's first two elements.
 
     The prefix is one element longer than lists need; ``single`` elements belong to the shorter one.
     ``index1`` and ``index2`` elements belong to the still shorter prefixes that meet any set that is not smaller
@@ -203,34 +239,52 @@ def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) ->
     held = sets.filter("hashes IS NOT NULL").select("batch", "doc_id", "n", "hashes")
 
     def send(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(h, np.uint64) for h in rows.loc[rows["doc_id"].isin(own["doc_id"]), "hashes"]]
-        if not parts:
+        mine = rows[rows["doc_id"].isin(own["doc_id"])]
+        if not len(mine):
             return pd.DataFrame(columns=["shard", "batch", "keys", "marks"])
-        return _packed(int(rows["batch"].iloc[0]), shards, parts)
+        parts = [np.frombuffer(h, np.uint64) for h in mine["hashes"]]
+        who = np.repeat(mix(mine["doc_id"].to_numpy(np.int64).view(np.uint64) + np.uint64(1)), [len(s) for s in parts])
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        marks = np.zeros(len(keys), MEMBERS)
+        marks["n"] = np.bincount(at)
+        sums = np.zeros(len(keys), np.uint64)
+        np.add.at(sums, at, who)
+        marks["who"] = sums
+        return next(pack(int(rows["batch"].iloc[0]), shards, keys, marks))
 
     sent = held.groupBy("batch").cogroup(chosen.groupBy("batch")).applyInPandas(send, PACKED)
-    common = stage(_common_keys(sent), "frequencies")
+    common = stage(_frequencies(sent), "frequencies")
     answers = common.unionByName(chosen, allowMissingColumns=True)
 
     def order(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(k, np.uint64) for k in found["keys"] if k is not None]
-        counts = [np.frombuffer(k, np.uint32) for k in found["counts"] if k is not None]
+        marks = [np.frombuffer(k, MEMBERS) for k in found["counts"] if k is not None]
         own = rows[rows["doc_id"].isin(found["doc_id"].dropna())]
         if not keys or not len(own):
             return pd.DataFrame(columns=PREFIX_NAMES)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        keys, marks = np.concatenate(keys), np.concatenate(marks)
         by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
+        keys, marks = keys[by], marks[by]
         out = []
         for doc, n, hashes in zip(own["doc_id"], own["n"], own["hashes"]):
             s = np.frombuffer(hashes, np.uint64)
             at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            df = np.where(keys[at] == s, counts[at], 1).astype(np.int64)
+            df = np.where(keys[at] == s, marks["n"][at], 1).astype(np.int64)
             first = np.lexsort((s, df))[: n - needed(n, percent) + 2]
             place = np.flatnonzero(df[first] > 1)
             up = n - needed_upwards(n, percent)
             lengths = [int((place < k).sum()) for k in (n - needed(n, percent) + 1, up + 1, up + 2)]
-            out.append((doc, n, int((df > 1).sum()), *lengths, s[first[place]].astype(np.int64), df[first[place]]))
+            who = marks["who"][at[first[place]]].astype(np.int64)
+            classes, firsts, inverse = np.unique(who, return_index=True, return_inverse=True)
+            later = np.ones(len(who), bool)
+            later[firsts] = False
+            seconds = np.full(len(classes), NEVER)
+            np.minimum.at(seconds, inverse[later], np.flatnonzero(later))
+            turn = np.argsort(firsts)
+            out.append((
+                doc, n, int((df > 1).sum()), *lengths, classes[turn], firsts[turn].astype(np.int32),
+                seconds[turn].astype(np.int32), df[first[place]][firsts[turn]],
+            ))
         return pd.DataFrame(out, columns=PREFIX_NAMES)
 
     return stage(held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(order, PREFIX), "prefixes")
@@ -239,11 +293,13 @@ def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) ->
 def boundary(prefix: DataFrame, percent: int = PERCENT) -> int:
     """The least size of a heavy set, by cost; size classes differ by the wished similarity."""
     ratio = -math.log(percent / 100)
-    m = F.size("elements")
-    scanned = F.aggregate(F.slice("counts", 1, F.col("single")), F.lit(0).cast("long"), lambda a, x: a + x)
+    m = F.size("classes")
+    subsets = m * (m - 1) / 2 + F.size(F.filter("seconds", lambda x: x < NEVER))
+    scanned = F.aggregate(
+        F.zip_with("counts", "firsts", lambda c, k: F.when(k < F.col("single"), c).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x
+    )
     found = prefix.groupBy(F.floor(F.log("n") / ratio).cast("int").alias("c")).agg(
-        F.sum((m * (m - 1) / 2)).alias("light"),
-        F.sum(F.when(F.col("single") > 0, scanned).otherwise(0)).alias("heavy"),
+        F.sum(subsets).alias("light"), F.sum(scanned).alias("heavy"),
     ).collect()  # a row per size class: some hundred at most
     sums = {r["c"]: (float(r["light"]), float(r["heavy"])) for r in found}
     best = min(
@@ -264,21 +320,28 @@ def _list_key(x: Column) -> Column:
 def keys_of(prefix: DataFrame, heavy: int, percent: int = PERCENT) -> DataFrame:
     """(key, upwards, doc_id, n, shared): subsets of light sets, list entries of heavy sets and of those that may be similar to one.
 
-    Sets of one element have no 2-subset and are filed by the element. Keys that a set needs to meet sets
-    that are not smaller are marked ``upwards``.
+    A subset is one of two classes, or of two elements of one class. Sets of one element have no 2-subset and
+    are filed by the element. Keys that a set needs to meet sets that are not smaller are marked ``upwards``.
     """
-    e = F.col("elements")
-    subsets = F.flatten(F.transform(e, lambda x, i: F.transform(F.slice(e, i + 2, F.size(e)), lambda y, k: F.struct(
+    c = F.col("classes")
+    mixed = F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y, k: F.struct(
         _subset_key(x, y).alias("key"),
-        (i + k + 1 < F.col("index2")).alias("upwards"),
+        (F.get("firsts", i + k + 1) < F.col("index2")).alias("upwards"),
     ))))
-    lists = F.transform(F.slice(e, 1, F.col("single")), lambda x, i: F.struct(
-        _list_key(x).alias("key"), (i < F.col("index1")).alias("upwards")))
+    alike = F.filter(
+        F.transform(c, lambda x, i: F.struct(
+            _subset_key(x, x).alias("key"), (F.get("seconds", i) < F.col("index2")).alias("upwards"),
+            (F.get("seconds", i) < NEVER).alias("there"),
+        )), lambda k: k["there"],
+    )
+    alike = F.transform(alike, lambda k: F.struct(k["key"].alias("key"), k["upwards"].alias("upwards")))
+    lists = F.transform(
+        F.filter(F.arrays_zip(c.alias("x"), F.col("firsts").alias("k")), lambda z: z["k"] < F.col("single")),
+        lambda z: F.struct(_list_key(z["x"]).alias("key"), (z["k"] < F.col("index1")).alias("upwards")),
+    )
     none = F.array().cast("array<struct<key:bigint,upwards:boolean>>")
     light, listed = (F.col("n") < heavy) & (F.col("n") > 1), (100 * F.col("n") >= percent * heavy) | (F.col("n") == 1)
-    keys = F.concat(
-        F.when(light, subsets).otherwise(none), F.when(listed & (F.col("single") > 0), lists).otherwise(none)
-    )
+    keys = F.concat(F.when(light, F.concat(mixed, alike)).otherwise(none), F.when(listed, lists).otherwise(none))
     possible = 100 * F.col("shared") >= percent * F.col("n")
     return prefix.filter(possible).select(F.explode(keys).alias("k"), "doc_id", "n", "shared").select("k.*", "doc_id", "n", "shared")
 
@@ -385,19 +448,20 @@ def link(prefix: DataFrame, heavy: int, sets: DataFrame, batches: int, percent:
 def _pairs_by_first_key(open_: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a key which the smaller set needs to meet sets that are not smaller.
 
-    A pair comes out under one subset and one list at most: those of the first elements, in the order of the
-    smaller set, that both prefixes have. If any key of the pair is marked ``upwards``, these are. Pairs of which
-    a prefix is too long to carry along come out under each key.
+    A pair comes out under three keys at most: two elements of the first class, in the order of the smaller set, that
+    both prefixes have, elements of the first two such classes, and the list of the first one. If any key of the pair is
+    marked ``upwards``, one of these is. Pairs of which a prefix is too long to carry along come out under each key.
     """
-    few = F.size("elements") <= CARRIED
-    own = prefix.select("doc_id", F.when(few, F.col("elements")).alias("e"), "single")
+    few = F.size("classes") <= CARRIED
+    own = prefix.select("doc_id", F.when(few, F.col("classes")).alias("e"), F.slice(
+        "classes", F.lit(1), F.size(F.filter("firsts", lambda k: k < F.col("single")))).alias("s"))
     rows = open_.join(own, "doc_id")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "shared", "comp", "e", "single")], F.col("doc_id").alias("b"))
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("n", "shared", "comp", "e", "s")], F.col("doc_id").alias("b"))
     most = F.least("shared", "shared_b", "n", "n_b")
-    both = F.array_intersect("e", "e_b")
-    listed = F.array_intersect(F.slice("e", 1, F.col("single")), F.slice("e_b", 1, F.col("single_b")))
+    both, listed = F.array_intersect("e", "e_b"), F.array_intersect("s", "s_b")
+    one, two = F.get(both, F.lit(0)), F.get(both, F.lit(1))
     first = F.array(
-        F.when(F.size(both) > 1, _subset_key(F.get(both, F.lit(0)), F.get(both, F.lit(1)))),
+        F.when(F.size(both) > 0, _subset_key(one, one)), F.when(F.size(both) > 1, _subset_key(one, two)),
         F.when(F.size(listed) > 0, _list_key(F.get(listed, F.lit(0)))),
     )
     long = F.col("e").isNull() | F.col("e_b").isNull()
@@ -407,8 +471,8 @@ def _pairs_by_first_key(open_: DataFrame, prefix: DataFrame, percent: int) -> Da
     )
 
 
-def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _clustered(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), whose ids are unique."""
     sets, batches = likely_sets(docs, words, percent)
     first = stage(
         sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")),
@@ -424,10 +488,46 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     )
 
 
+def _unique(docs: DataFrame) -> bool:
+    """Whether no id is null or repeated."""
+    seen = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1 OR doc_id IS NULL")
+    return seen.isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The stored rows with ``number_``: unique, and in the order of doc_id, null last."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    kept = stage(docs.withColumn("row_", F.struct(F.monotonically_increasing_id().alias("at"), digest.alias("digest"))), "rows")
+    order = kept.select(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("row_.at").alias("at"), F.lit(0).alias("all"))
+    numbers = enumerate_rows(order, ["all"], ["last", "doc_id", "at"], name="number_").select("at", "number_")
+    return kept.join(numbers, F.col("row_.at") == F.col("at")).drop("row_", "at")
+
+
+def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if _unique(docs):
+        return _clustered(docs, words, percent)
+    rows = stage(_numbered(docs), "numbered")
+    found = _clustered(rows.select(F.col("number_").alias("doc_id"), "text"), words, percent)
+    ids = rows.select("number_", "doc_id")
+    named = ids.join(found.withColumnRenamed("doc_id", "number_"), "number_")
+    least = ids.select(F.col("number_").alias("component_id"), F.col("doc_id").alias("least_"))
+    return named.join(least, "component_id").select("doc_id", "n_shingles", F.col("least_").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of every component the smallest doc_id."""
-    dropped = cluster(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with all their columns: of every component that with the smallest doc_id (null last).
+
+    Of rows with one id that belong together, any one stays.
+    """
+    if _unique(docs):
+        dropped = cluster(docs, words, percent).filter("doc_id <> component_id").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = stage(_numbered(docs), "numbered")
+    found = _clustered(rows.select(F.col("number_").alias("doc_id"), "text"), words, percent)
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("number_"))
+    return rows.join(dropped, "number_", "left_anti").select(*docs.columns)
 
 
 @query("op3_jaccard_join")
