@@ -6,12 +6,13 @@ filter bucket, the stored keys (whole digest, length, keeper). A fingerprint tha
 not know is new; a hit is verified against the stored keys of its two buckets. Keys can be
 deleted, and a filter that overflows is rebuilt at twice the size from the stored keys.
 
-Rows are counted per digest before the shuffle, so thousands of copies reach a shard as one row
-per task, and the index is stored (one row per shard and bucket range) for later batches.
+Each task folds the copies of an Arrow batch before the shuffle, so thousands of them reach a shard as a few
+rows; the index finds, verifies and merges those, and is stored (one row per live digest) for later batches.
 
 Defined results: a null text counts as empty; all empty texts are equal; of equal texts the
-largest doc_id stays, and of repeated rows with that doc_id all count as kept (they are the same row);
-an empty table gives an empty result; columns with clashing names are not read.
+largest doc_id stays, null being the smallest, and of repeated rows with that doc_id all count as kept (they are
+the same row; ``keep_first`` returns one of them); rows with one doc_id and different texts are judged each; an
+empty table gives an empty result; columns with clashing names are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +138,24 @@ def _shard(digest: Column, shards: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
+def _as_text(rows: DataFrame) -> DataFrame:
+    """Ids as text: pandas turns numbers beside nulls to floats."""
+    return rows.withColumn("keep_id", F.col("keep_id").cast("string"))
+
+
+def _number(text: str | None) -> int | None:
+    return None if text is None else int(text)
+
+
+def _listed(live: CuckooIndex, pdf: pd.DataFrame) -> pd.DataFrame:
+    found = list(live.items())
+    return pd.DataFrame({
+        "shard": pd.Series([int(pdf["shard"].iloc[0])] * len(found), dtype="int32"), "digest": [d for d, _ in found],
+        "keep_id": pd.array([k for _, (k, _) in found], dtype="Int64"),
+        "group_size": pd.Series([n for _, (_, n) in found], dtype="int64"),
+    })
+
+
 def build(counted: DataFrame, index: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """Insert (text_sha256, keep_id, group_size) rows, with several rows per digest, into a stored index.
 
@@ -146,25 +166,22 @@ def build(counted: DataFrame, index: DataFrame | None = None, shards: int = SHAR
         F.lit(None).cast("int").alias("shard"), F.unhex("text_sha256").alias("digest"), "keep_id", "group_size"
     ).withColumn("shard", _shard(F.hex("digest"), shards))
     rows = new if index is None else index.select("shard", "digest", "keep_id", "group_size").unionByName(new)
+    rows = _as_text(rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         live = CuckooIndex(len(pdf) // 2 + 2)
-        for digest, keep, size in zip(pdf["digest"], pdf["keep_id"], pdf["group_size"]):
+        for digest, keep, size in zip(pdf["digest"], map(_number, pdf["keep_id"]), pdf["group_size"]):
             old = live.find(digest)
             if old is None:
                 live.insert(digest, (keep, size))
                 continue
             total = old[1] + size
-            best = max((k for k in (old[0], keep) if k is not None and k == k), default=None)
+            best = max((k for k in (old[0], keep) if k is not None), default=None)
             if total <= 0:
                 live.delete(digest)
             else:
                 live.insert(digest, (best, total))
-        found = [(digest, *value) for digest, value in live.items()]
-        out = pd.DataFrame(found, columns=["digest", "keep_id", "group_size"])
-        out["keep_id"], out["group_size"] = out["keep_id"].astype("Int64"), out["group_size"].astype("int64")
-        out.insert(0, "shard", int(pdf["shard"].iloc[0]))
-        return out
+        return _listed(live, pdf)
 
     return rows.groupBy("shard").applyInPandas(run, INDEX)
 
@@ -182,21 +199,28 @@ def remove(index: DataFrame, gone: DataFrame, shards: int = SHARDS) -> DataFrame
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         live = CuckooIndex(len(pdf) // 2 + 2)
         for row in pdf[~pdf["gone"]].itertuples():
-            live.insert(row.digest, (row.keep_id, row.group_size))
+            live.insert(row.digest, (_number(row.keep_id), row.group_size))
         for digest in pdf.loc[pdf["gone"], "digest"]:
             live.delete(digest)
-        out = pd.DataFrame([(d, *v) for d, v in live.items()], columns=["digest", "keep_id", "group_size"])
-        out["keep_id"], out["group_size"] = out["keep_id"].astype("Int64"), out["group_size"].astype("int64")
-        out.insert(0, "shard", int(pdf["shard"].iloc[0]))
-        return out
+        return _listed(live, pdf)
 
-    return marked.groupBy("shard").applyInPandas(run, INDEX)
+    return _as_text(marked).groupBy("shard").applyInPandas(run, INDEX)
 
 
 def pre_aggregate(hashed: DataFrame) -> DataFrame:
-    """One row per digest and task-local group: (text_sha256, keep_id, group_size)."""
-    return hashed.groupBy("text_sha256").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    """(text_sha256, keep_id, group_size) per digest of each Arrow batch: folded inside the task, without a shuffle."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = pa.Table.from_batches([batch]).group_by("text_sha256", use_threads=False).aggregate(
+                [("doc_id", "max"), ([], "count_all")]
+            )
+            yield from folded.select(["text_sha256", "doc_id_max", "count_all"]).rename_columns(
+                ["text_sha256", "keep_id", "group_size"]
+            ).combine_chunks().to_batches()
+
+    return hashed.select("text_sha256", F.col("doc_id").cast("long")).mapInArrow(
+        fold, "text_sha256 string, keep_id long, group_size long"
     )
 
 
@@ -223,10 +247,20 @@ def label(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns: one per text, that with the largest doc_id.
 
-    Only the ids of dropped rows are joined, so the texts of most documents are filtered in place.
+    Only the ids and digests of dropped rows are joined, so the texts of most documents are filtered in place.
     """
-    dropped = label(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    marked = label(docs)
+    gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                      F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("sha"))
+    stays = row.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_")), "left_anti")
+    again = marked.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    again = stage(again.select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_")), "repeated")
+    if again.isEmpty():
+        return stays.select("row.*")
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_"))
+    one = stays.join(again, same, "left_semi").groupBy("id", "sha").agg(F.first("row").alias("row"))
+    return stays.join(again, same, "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 OP5_SQL = """

@@ -6,8 +6,8 @@ rate = target / size; a document is taken floor(rate) times and once more with t
 of the fraction, drawn from a hash of its id, so reruns agree.
 
 Defined results: a null text has size 0; the null source is a source of its own and comes last;
-rows with the same doc_id share their draw; a source without words has target and copies 0; an
-empty table gives an empty result. Other columns pass through.
+rows with the same doc_id share their draw, and a null doc_id draws no extra copy; a source without words has
+target and copies 0; an empty table gives an empty result. ``emit`` passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,15 +60,14 @@ def with_targets(sources: DataFrame, share: float = SHARE, cap: int = CAP) -> Da
 
 
 def draw(doc_id: Column, seed: str = "mix") -> Column:
-    """A number in [0, 1) from the id alone."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    """A number in [0, 1) from the id alone; null without id."""
+    text = F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Every row with size, source_size, target, rate and copies (how often the mixture takes it)."""
-    sized = stage(docs.withColumn("size", size_of(F.col("text"))).drop("text"), "sizes")
-    return copies(sized)
+    """doc_id, source, size, source_size, target, rate and copies (how often the mixture takes it) of every row."""
+    return copies(stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes"))
 
 
 def copies(sized: DataFrame) -> DataFrame:
@@ -82,14 +81,15 @@ def copies(sized: DataFrame) -> DataFrame:
     )
     mixed = sized.join(rates, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     whole = F.floor("rate")
-    extra = (draw(F.col("doc_id")) < F.col("rate") - whole).cast("long")
+    extra = F.coalesce(draw(F.col("doc_id")) < F.col("rate") - whole, F.lit(False)).cast("long")
     return mixed.withColumn("copies", whole.cast("long") + extra)
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as it is taken, with its columns unchanged."""
-    taken = copies(docs.withColumn("size", size_of(F.col("text")))).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    taken = copies(rows).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 OP4_SQL = r"""

@@ -63,7 +63,7 @@ FEATURES = [
     "length", "pair_likelihood", "class_changes", "entropy", "digits", "capitals", "signs", "coverage", "path",
     "quoted", "assigned", "before_common", "after_common", "position",
 ]
-FINDINGS = "doc_id long, start long, length int, digest string, label int, " + ", ".join(f"f_{x} double" for x in FEATURES)
+FINDINGS = "doc_id string, start long, length int, digest string, label int, " + ", ".join(f"f_{x} double" for x in FEATURES)
 
 
 def label_finding(value: str, before: str) -> int | None:
@@ -189,9 +189,11 @@ def findings(docs: DataFrame, describer: Describer) -> DataFrame:
                         *describer.features(value, before, after, source, start / len(text)),
                     ))
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"doc_id": "Int64", "label": "Int32"})
+            yield out.astype({"label": "Int32"})
 
-    return stage(docs.select("doc_id", "text", "source").mapInPandas(run, FINDINGS), "findings")
+    # ids go through pandas as text, which keeps their digits beside nulls
+    found = docs.select(F.col("doc_id").cast("string"), "text", "source").mapInPandas(run, FINDINGS)
+    return stage(found.withColumn("doc_id", F.col("doc_id").cast("long")), "findings")
 
 
 def train(found: DataFrame, seed: int = 7):

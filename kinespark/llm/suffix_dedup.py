@@ -209,7 +209,7 @@ def last_ranks(batches: DataFrame, answers: DataFrame, shards: int) -> DataFrame
     return stage(sent.groupBy("shard").applyInPandas(rank, ANSWER), "windows")
 
 
-SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+SPANS = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
 def mark(batches: DataFrame, answers: DataFrame) -> DataFrame:
@@ -239,10 +239,13 @@ def mark(batches: DataFrame, answers: DataFrame) -> DataFrame:
                     turns[::2].tolist(), turns[1::2].tolist(),
                 ))
         frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
-        frame.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
+        frame.insert(0, "doc_id", docs["doc_id"].to_numpy())
         return frame
 
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, SPANS)
+    # ids go through pandas as text, which keeps their digits beside nulls
+    texts = batches.withColumn("doc_id", F.col("doc_id").cast("string"))
+    marked = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, SPANS)
+    return marked.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

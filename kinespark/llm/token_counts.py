@@ -32,7 +32,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK_BYTES = 4 * 2**20
 TEXT_BATCH = 1_000_000  # characters that are encoded at a time
 
-MANIFEST = "file string, position long, doc_id long, file_bytes long, width int"
+MANIFEST = "file string, position long, doc_id string, file_bytes long, width int"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -91,7 +91,9 @@ def write(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 "file": name, "position": np.arange(len(listed)), "doc_id": listed, "file_bytes": size, "width": width,
             })
 
-    return stage(docs.select("doc_id", "text").mapInPandas(run, MANIFEST), "manifest")
+    # ids go through pandas as text, which keeps their digits beside nulls
+    listed = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, MANIFEST)
+    return stage(listed.withColumn("doc_id", F.col("doc_id").cast("long")), "manifest")
 
 
 BLOCK = "file string, block long, first_gap long, last_gap long, separators long, inner binary"

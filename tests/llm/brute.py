@@ -26,16 +26,16 @@ def repeated_strings(rows, window=200):
     return sorted(out, key=repr)
 
 
-def shingles(text):
+def shingles(text, words=4):
     ws = WORD.findall((text or "").translate(SMALL))
     if not ws:
         return frozenset()
-    return frozenset({tuple(ws)} if len(ws) < 4 else {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)})
+    return frozenset({tuple(ws)} if len(ws) < words else {tuple(ws[i : i + words]) for i in range(len(ws) - words + 1)})
 
 
-def components(rows, percent=85):
+def components(rows, percent=85, words=4):
     """[(doc_id, text)] → sorted [(doc_id, n_shingles, component_id)] over all pairs."""
-    sets = [(d, shingles(t)) for d, t in rows]
+    sets = [(d, shingles(t, words)) for d, t in rows]
     root = {d: d for d, _ in sets}
 
     def find(x):

@@ -33,7 +33,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
     assert sorted(r[0] for r in rows_of(after, "doc_id")) == sorted(last.values())
 
     before, after = seen["n-gram Jaccard join"]
-    stay = sorted(d for d, _, c in brute.components(rows_of(before, "doc_id", "text")) if c == d)
+    stay = sorted(d for d, _, c in brute.components(rows_of(before, "doc_id", "text"), 80, 5) if c == d)
     assert sorted(r[0] for r in rows_of(after, "doc_id")) == stay
 
     before, after = seen["mixing"]
