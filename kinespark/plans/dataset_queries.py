@@ -132,8 +132,8 @@ DETECTION_SQL = (
 )
 
 
-def detection(spark, sf_dir, tensor=()):
-    return windows.detection_windows(two_sensors(spark, sf_dir), SUBJECT, tensor=tensor)
+def detection(spark, sf_dir, tensor=(), columns="z"):
+    return windows.detection_windows(two_sensors(spark, sf_dir, columns), SUBJECT, tensor=tensor)
 
 
 _CLASS = "CASE WHEN subject_id < 5 THEN 0 ELSE 1 END AS class_label"
@@ -172,17 +172,16 @@ def detection_asymmetry(spark, sf_dir):
 _TENSOR = ["gyro_left_z", "gyro_right_z", "accel_left_z", "accel_right_z"]
 
 
-@query(
-    "detection_raw_windows",
-    with_(*S.TWO_SENSORS, _SLIDING)
-    + "SELECT subject_id, CAST(window_id AS BIGINT) AS window_id, CAST(200 AS INTEGER) AS samples, CAST(4 AS INTEGER) AS channels, "
-    + ", ".join(r(f"sum({c} * (n - window_id * 100 + 1))", f"sum_{c}", 4) for c in _TENSOR)
-    + " FROM cut SEMI JOIN windows USING (subject_id, window_id) GROUP BY subject_id, window_id",
-)
-def detection_raw_windows(spark, sf_dir):
-    """Raw samples × channels matrix of every full window, reduced to position-weighted sums."""
-    found = detection(spark, sf_dir, _TENSOR)
+def _sums_sql(channels: list[str]) -> str:
+    return (
+        f"SELECT subject_id, CAST(window_id AS BIGINT) AS window_id, CAST(200 AS INTEGER) AS samples, CAST({len(channels)} AS INTEGER) AS channels, "
+        + ", ".join(r(f"sum({c} * (n - window_id * 100 + 1))", f"sum_{c}", 4) for c in channels)
+        + " FROM cut SEMI JOIN windows USING (subject_id, window_id) GROUP BY subject_id, window_id"
+    )
+
 
+def _weighted_sums(found, channels):
+    """Position-weighted sums of every channel of the raw matrices."""
     def weighted(channel):
         terms = F.transform("x", lambda row, i: row[channel] * (i + 1))
         return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
@@ -190,12 +189,24 @@ def detection_raw_windows(spark, sf_dir):
     return rounded(
         found.select(
             "subject_id", "window_id", F.size("x").alias("samples"), F.size(F.get("x", F.lit(0))).alias("channels"),
-            *[weighted(i).alias(f"sum_{c}") for i, c in enumerate(_TENSOR)],
+            *[weighted(i).alias(f"sum_{c}") for i, c in enumerate(channels)],
         ),
         4,
     )
 
 
+@query("detection_raw_windows", with_(*S.TWO_SENSORS, _SLIDING) + _sums_sql(_TENSOR))
+def detection_raw_windows(spark, sf_dir):
+    """Raw samples × channels matrix of every full window, reduced to position-weighted sums."""
+    return _weighted_sums(detection(spark, sf_dir, _TENSOR), _TENSOR)
+
+
+@query("detection_tensors", with_(*S.TWELVE, _SLIDING) + _sums_sql(windows.CHANNELS))
+def detection_tensors(spark, sf_dir):
+    """The same with all twelve channels: three axes of both sensors on both sides."""
+    return _weighted_sums(detection(spark, sf_dir, windows.CHANNELS, "xyz"), windows.CHANNELS)
+
+
 # suppliers as subjects: four columns of the same rows stand for both sides of both sensors
 _SUPPLIER_BOTH = """both_sensors AS (
   SELECT l_suppkey AS subject_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS n,

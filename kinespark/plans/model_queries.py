@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinespark.operators import boosting, dataset, folds, models, statistics, timedomain, windows
+from kinespark.operators import boosting, dataset, folds, models, network, statistics, timedomain, windows
 from kinespark.plans import scoring
 from kinespark.plans import sql_parts as S
-from kinespark.plans.dataset_queries import detection_windows_by_supplier
+from kinespark.plans.dataset_queries import detection, detection_windows_by_supplier
 from kinespark.plans.registry import query, r, rounded, with_
 from kinespark.plans.views import SUBJECT, samples, staged_signal, table
 from kinespark.session import stage, stage_path
@@ -299,6 +299,28 @@ def asymmetry_models(spark, sf_dir):
     return rounded(_compare(spark, sf_dir, "label_lenient", windows.ASYMMETRY_FEATURES, models.asymmetry_models()))
 
 
+@query("raw_window_network")
+def raw_window_network(spark, sf_dir):
+    """A shallow network on flattened raw windows of twelve channels, five folds of subjects, moderate label."""
+    found = detection(spark, sf_dir, windows.CHANNELS, "xyz").filter(F.col("label_moderate").isin(0, 1))
+    found = stage(found.select(*SUBJECT, "window_id", "label_moderate", "x"), "windows")
+    data = folds.with_folds(found, SUBJECT, 5, "window_id")
+    predictions = network.cross_predict(data, "x", "label_moderate", [*SUBJECT, "window_id"], "fold")
+    return rounded(models.compare_models(predictions.withColumn("model", F.lit("Shallow network")), "label_moderate"))
+
+
+@query("embedding_network")
+def embedding_network(spark, sf_dir):
+    """The same on the embeddings as windows of 16 samples and 4 channels, for the upper half of their labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    matrix = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
+    data = rows.select(
+        "vec_id", (F.col("vec_id") % 5).cast("int").alias("fold"), (F.col("label") >= 5).cast("int").alias("label"), matrix.alias("x")
+    )
+    predictions = network.cross_predict(data, "x", "label", ["vec_id"], "fold")
+    return rounded(models.compare_models(predictions.withColumn("model", F.lit("Shallow network")), "label"))
+
+
 EXTREMES = ["right_z_min", "left_z_min", "right_z_max", "left_z_max"]
 
 

@@ -40,23 +40,24 @@ SECOND = """second AS (
   FROM events WHERE event_type <> 'error')"""
 
 
-def asof(source: str, out: str, within: str = "") -> str:
+def asof(source: str, out: str, within: str = "", columns: str = "z") -> str:
     """Both sides' last values at or before every time stamp, not older than ``within``."""
-    def value(side):
-        return f"CASE WHEN s.ts - {side}.ts <= {within} THEN {side}.z END" if within else f"{side}.z"
+    def value(side, column):
+        return f"CASE WHEN s.ts - {side}.ts <= {within} THEN {side}.{column} END" if within else f"{side}.{column}"
 
+    values = ", ".join(f"{value(side[0], c)} AS {side}_{c}" for side in ("left", "right") for c in columns)
     return f"""{out} AS (
-  SELECT s.subject_id, s.ts, {value("l")} AS left_z, {value("r")} AS right_z,
-         row_number() OVER (PARTITION BY s.subject_id ORDER BY s.ts) - 1 AS n
+  SELECT s.subject_id, s.ts, {values}, row_number() OVER (PARTITION BY s.subject_id ORDER BY s.ts) - 1 AS n
   FROM (SELECT DISTINCT subject_id, ts FROM {source}) s
   ASOF LEFT JOIN (SELECT * FROM {source} WHERE side = 'left') l ON l.subject_id = s.subject_id AND s.ts >= l.ts
   ASOF LEFT JOIN (SELECT * FROM {source} WHERE side = 'right') r ON r.subject_id = s.subject_id AND s.ts >= r.ts)"""
 
 
-def complete(source: str, out: str) -> str:
+def complete(source: str, out: str, columns: str = "z") -> str:
+    values = [f"{side}_{c}" for side in ("left", "right") for c in columns]
     return f"""{out} AS (
-  SELECT subject_id, ts, left_z, right_z, row_number() OVER (PARTITION BY subject_id ORDER BY ts) - 1 AS n
-  FROM {source} WHERE left_z IS NOT NULL AND right_z IS NOT NULL)"""
+  SELECT subject_id, ts, {", ".join(values)}, row_number() OVER (PARTITION BY subject_id ORDER BY ts) - 1 AS n
+  FROM {source} WHERE {" AND ".join(f"{v} IS NOT NULL" for v in values)})"""
 
 
 # both sensors at full rate, paired by position after dropping incomplete rows
@@ -70,6 +71,24 @@ TWO_SENSORS = (
 )
 
 
+# three axes of both sensors and sides, paired by position
+TWELVE = (
+    """axes AS (
+  SELECT user_id % 10 AS subject_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, ts,
+         CAST(user_id % 97 - 48 AS DOUBLE) AS x, CAST(event_id % 101 - 50 AS DOUBLE) AS y, value - 34.5 AS z FROM events),
+other_axes AS (
+  SELECT user_id % 10 AS subject_id, CASE WHEN event_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, ts,
+         (user_id % 89 - 44) * CAST(0.01 AS DOUBLE) AS x, (event_id % 103 - 51) * CAST(0.01 AS DOUBLE) AS y,
+         (CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) - 50) * CAST(0.01 AS DOUBLE) AS z
+  FROM events WHERE event_type <> 'error')""",
+    asof("axes", "gyro_rows", columns="xyz"), complete("gyro_rows", "gyro", "xyz"),
+    asof("other_axes", "accel_rows", columns="xyz"), complete("accel_rows", "accel", "xyz"),
+    "both_sensors AS (SELECT g.subject_id, g.n, g.ts, "
+    + ", ".join(f"{t[0]}.{side}_{c} AS {t}_{side}_{c}" for t in ("gyro", "accel") for side in ("left", "right") for c in "xyz")
+    + " FROM gyro g JOIN accel a ON a.subject_id = g.subject_id AND a.n = g.n)",
+)
+
+
 def maxima(source: str, keys: str, value: str = "z", height: float | None = None, out: str = "maxima") -> str:
     """Runs of equal values that rise on the left and fall on the right; the middle, rounded down."""
     cut = f"AND {value} >= {height}" if height is not None else ""

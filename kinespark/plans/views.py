@@ -58,33 +58,39 @@ def bilateral_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sides(left, right, SUBJECT, "hour_no", ["z"])
 
 
-def second_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events' other number as an accelerometer that misses the samples of one kind of event."""
-    subject = F.col("user_id") % 10
-    number = F.regexp_extract("props", r"(\d+)", 1).cast("double")
-    return table(spark, sf_dir, "events").filter("event_type <> 'error'").select(
-        subject.alias("subject_id"), F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("side"), "ts",
-        ((number - 50) * 0.01).alias("z"),
+def _number() -> Column:
+    return F.regexp_extract("props", r"(\d+)", 1).cast("double")
+
+
+def sensor_axes(spark: SparkSession, sf_dir: str, sensor: str) -> DataFrame:
+    """Three axes of the gyroscope, or of an accelerometer that misses the samples of one kind of event."""
+    events = table(spark, sf_dir, "events")
+    user, event = F.col("user_id"), F.col("event_id")
+    if sensor == "gyro":
+        axes = {"x": (user % 97 - 48).cast("double"), "y": (event % 101 - 50).cast("double"), "z": F.col("value") - CENTRE}
+    else:
+        events = events.filter("event_type <> 'error'")
+        axes = {"x": (user % 89 - 44) * F.lit(0.01), "y": (event % 103 - 51) * F.lit(0.01), "z": (_number() - 50) * 0.01}
+    return events.select(
+        (user % 10).alias("subject_id"), F.when(event % 2 == 0, "left").otherwise("right").alias("side"), "ts",
+        *[c.alias(name) for name, c in axes.items()],
     )
 
 
-def bilateral_full(rows: DataFrame, tolerance: Column | None = None) -> DataFrame:
-    """Both sides of one sensor at full rate: subject_id, ts, left_z, right_z, n."""
-    left, right = (rows.filter(F.col("side") == s).select(*SUBJECT, "ts", "z") for s in ("left", "right"))
-    return merge_asof(left, right, SUBJECT, "ts", ["z"], tolerance)
+def bilateral_full(rows: DataFrame, tolerance: Column | None = None, columns: str = "z") -> DataFrame:
+    """Both sides of one sensor at full rate: subject_id, ts, left_z, right_z (and other columns), n."""
+    left, right = (rows.filter(F.col("side") == s).select(*SUBJECT, "ts", *columns) for s in ("left", "right"))
+    return merge_asof(left, right, SUBJECT, "ts", list(columns), tolerance)
 
 
-def two_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def two_sensors(spark: SparkSession, sf_dir: str, columns: str = "z") -> DataFrame:
     """Gyroscope and accelerometer rows at full rate, paired by position; time stamps are the gyroscope's."""
-    gyro, accel = (
-        stage(complete_rows(bilateral_full(rows), SUBJECT), name)
-        for rows, name in ((samples(spark, sf_dir), "gyro"), (second_sensor(spark, sf_dir), "accel"))
-    )
-
-    def named(df, prefix):
-        return df.withColumnsRenamed({f"{s}_z": f"{prefix}_{s}_z" for s in ("left", "right")})
+    def rows(sensor):
+        merged = bilateral_full(sensor_axes(spark, sf_dir, sensor), columns=columns)
+        names = {f"{s}_{c}": f"{sensor}_{s}_{c}" for s in ("left", "right") for c in columns}
+        return stage(complete_rows(merged, SUBJECT).withColumnsRenamed(names), sensor)
 
-    return zip_rows(named(gyro, "gyro"), named(accel, "accel").drop("ts"), SUBJECT)
+    return zip_rows(rows("gyro"), rows("accel").drop("ts"), SUBJECT)
 
 
 def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
