@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.operators.layout import BLOCK, in_blocks, running, with_neighbours
 from kinespark.session import stage
 
+LARGEST = 2**22  # positions of the largest block that thinning puts into one task
+
 
 def local_maxima(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n",
                  height: float | None = None, size: int = BLOCK) -> DataFrame:
@@ -32,20 +36,36 @@ def local_maxima(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str
     return peaks if height is None else peaks.filter(F.col(value) >= height)
 
 
-def _greedy(sorted_desc: Column, low: Column, high: Column, d: int) -> Column:
-    """Walk candidates from highest to lowest; ``sorted_desc`` holds structs (h, p, kept, rest).
+def walk(height: np.ndarray, at: np.ndarray, kept: np.ndarray, low: int, high: int, d: int) -> np.ndarray:
+    """Walk candidates from the highest to the lowest: 1 kept, 0 undecided, -1 dropped.
 
-    A candidate within ``d`` of a kept one is dropped. One within ``d`` of an undecided one, or
-    whose reach leaves the visible range, stays undecided (``kept`` = false).
+    ``at`` is sorted. A candidate within ``d`` of a kept one is dropped. One within ``d`` of an undecided one, or
+    whose reach leaves the visible range, stays undecided. Each looks at its neighbours within ``d`` only, so the
+    time is linear in the candidates.
     """
-    def step(acc, x):
-        near = F.filter(acc, lambda y: F.abs(y["p"] - x["p"]) < d)
-        blocked = F.exists(near, lambda y: y["kept"])
-        sure = x["kept"] | ((F.size(near) == 0) & (x["p"] - d >= low) & (x["p"] + d <= high))
-        entry = F.struct(x["h"].alias("h"), x["p"].alias("p"), sure.alias("kept"), x["rest"].alias("rest"))
-        return F.when(blocked & ~x["kept"], acc).otherwise(F.concat(acc, F.array(entry)))
-
-    return F.aggregate(sorted_desc, F.slice(sorted_desc, 1, 0), step)
+    first, last = np.searchsorted(at, at - d, "right"), np.searchsorted(at, at + d, "left")
+    inside = (at - d >= low) & (at + d <= high)
+    state = [None] * len(at)
+    for k in np.lexsort((at, height))[::-1].tolist():
+        near = state[first[k] : last[k]]
+        if kept[k]:
+            state[k] = 1
+        elif 1 in near:
+            state[k] = -1
+        else:
+            state[k] = 1 if inside[k] and 0 not in near else 0
+    return np.array(state, np.int64)
+
+
+def _decide(size: int, reach: int, d: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What one block (with its halo) says about its own candidates; dropped ones go."""
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("p")
+        at, block = rows["p"].to_numpy(), int(rows["_block"].iloc[0])
+        state = walk(rows["h"].to_numpy(), at, rows["kept"].to_numpy(), block * size - reach, (block + 1) * size + reach, d)
+        return rows.assign(kept=state == 1)[(state >= 0) & (at // size == block)].drop(columns="_block")
+
+    return decide
 
 
 def thin_out(candidates: DataFrame, keys: Sequence[str], distance: float, value: str = "z", pos: str = "n",
@@ -61,27 +81,16 @@ def thin_out(candidates: DataFrame, keys: Sequence[str], distance: float, value:
     keys, d = list(keys), math.ceil(distance)
     if d <= 1:
         return candidates
-    size, reach = block or 64 * d, max(halo or 8 * d, d)
-    rest = [c for c in candidates.columns if c not in {*keys, value, pos}]
-    state = candidates.select(
-        *keys, F.col(value).alias("h"), F.col(pos).alias("p"), F.lit(False).alias("kept"),
-        F.struct(*rest, F.lit(0).alias("_")).alias("rest"),
-    )
+    size, reach = block or max(64 * d, BLOCK), max(halo or 8 * d, d)
+    state = candidates.select(*keys, F.col(value).cast("double").alias("h"), F.col(pos).alias("p"), F.lit(False).alias("kept"))
+    schema = state.schema
     while True:
         rows, _, _ = in_blocks(state, keys, "p", before=reach, after=reach, size=size)
-        low = F.col("_block") * size - reach
-        high = (F.col("_block") + 1) * size + reach
-        # structs sort by height, then position: both unique in a series, so "rest" is never compared
-        ordered = F.reverse(F.array_sort(F.collect_list(F.struct("h", "p", "kept", "rest"))))
-        decided = rows.groupBy(*keys, "_block").agg(ordered.alias("c")).select(
-            *keys, "_block", _greedy(F.col("c"), low, high, d).alias("c")
-        )
-        own = F.filter("c", lambda y: F.floor(y["p"] / size) == F.col("_block"))
-        state = stage(decided.select(*keys, F.inline(own)), "peaks")
+        state = stage(rows.groupBy(*keys, "_block").applyInPandas(_decide(size, reach, d), schema), "peaks")
         if state.filter(~F.col("kept")).isEmpty():
             break
-        size, reach = min(size * 4, 2048 * d), min(reach * 4, 256 * d)
-    return state.select(*keys, F.col("p").alias(pos), F.col("h").alias(value), *[f"rest.{c}" for c in rest])
+        size, reach = min(size * 4, max(LARGEST, size)), min(reach * 4, 256 * d)
+    return candidates.join(state.select(*keys, F.col("p").alias(pos)), [*keys, pos], "left_semi")
 
 
 def find_peaks(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n", height: float | None = None,

@@ -76,7 +76,7 @@ def canonical_file_scan(spark, sf_dir):
     """Canonical CSV files of all subjects written, then read in one scan with ids from the path."""
     base = stage_path(spark, "recordings")
     _write_recordings(spark, sf_dir, base)
-    good, _ = sensors.split_rejects(sensors.scan_canonical(spark, base))
+    good, _, _ = sensors.ingest(sensors.scan_canonical(spark, base))
     found = good.groupBy(
         "cohort", "subject_id", sensors.patient_id().alias("patient_id"), sensors.cohort_label().alias("class_label"), "sensor", "side"
     ).agg(
@@ -152,5 +152,5 @@ def reject_report(spark, sf_dir):
         F.lit(0.0).alias("elapsed"), *[F.col("value").alias(a) for a in "xyz"],
     )
     sensors.write_canonical(rows, base, "gyroscope")
-    _, bad = sensors.split_rejects(sensors.scan_canonical(spark, base))
+    _, bad, _ = sensors.ingest(sensors.scan_canonical(spark, base))
     return bad

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import by_key, greedy, maxima, series
+from pyspark.sql import functions as F
 
 from kinespark.operators import gait, peaks
 
@@ -55,6 +57,36 @@ def test_thinning_equals_the_plain_greedy_walk(spark, block, halo):
             assert found.get(key, []) == greedy([(p, z[p]) for p in maxima(z)], d), (key, d)
 
 
+def test_a_long_chain_of_equal_peaks_takes_linear_time():
+    import time
+
+    def seconds(count):
+        at = np.arange(count) * 2
+        start = time.perf_counter()
+        state = peaks.walk(np.ones(count), at, np.zeros(count, bool), -10, 2 * count + 10, 5)
+        # from the last one on every third is kept: the others are 2 and 4 positions away from one
+        assert (np.flatnonzero(state == 1) == np.arange((count - 1) % 3, count, 3)).all() and (state != 0).all()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 12 * max(seconds(100_000), 0.05)
+
+
+def test_a_chain_of_equal_peaks_over_many_blocks(spark):
+    count = 200_000
+    df = spark.range(2 * count).selectExpr("'a' AS key", "id AS n", "CAST(id % 2 AS DOUBLE) AS z")
+    found = peaks.thin_out(peaks.local_maxima(df, ["key"]), ["key"], 5).agg(
+        F.count("*").alias("kept"), F.min("n").alias("first"), F.max("n").alias("last")).first()
+    # maxima lie at 1, 3, ..., the last row being an edge; the last one is kept and every third before it
+    top = 2 * count - 3
+    assert (found["kept"], found["first"], found["last"]) == (len(range(top, 0, -6)), range(top, 0, -6)[-1], top)
+
+
+def test_thinning_keeps_the_other_columns(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, "x"), ("a", 3, 5.0, "y"), ("a", 9, 1.0, None)], "key string, n long, z double, note string")
+    assert sorted(tuple(r) for r in peaks.thin_out(df, ["key"], 4).collect()) == [("a", 3, 5.0, "y"), ("a", 9, 1.0, None)]
+
+
 def test_distance_is_rounded_up(spark):
     z = [0, 3, 0, 2, 0, 1, 0]
     df = series(spark, {"a": z})

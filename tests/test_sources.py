@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinespark.functions import scalar
+from kinespark.operators import dataset
 from kinespark.plans import detection
 from kinespark.plans.classification import FeatureSettings, bilateral_series, long_series, subject_features
 from kinespark.session import stage
@@ -56,6 +57,23 @@ def test_scan_takes_ids_from_the_path_and_sets_bad_subjects_apart(spark, recordi
         ("Stroke", "Patient_9", "gyroscope", "left")}
 
 
+def test_files_are_read_once_and_counted_by_that_job(spark, recordings):
+    good, bad, seen = sensors.ingest(sensors.scan_canonical(spark, recordings))
+    for table in (good, bad):
+        assert "csv" not in table._jdf.queryExecution().toString().lower().replace(".csv", "")
+    expected_good, expected_bad = sensors.split_rejects(sensors.scan_canonical(spark, recordings))
+    assert sorted(bad.collect()) == sorted(expected_bad.collect())
+    assert good.count() == expected_good.count() and good.columns == expected_good.columns
+    assert seen == {"lines": sensors.scan_canonical(spark, recordings).count(), "rejected": 1, "subjects": 5}
+
+
+def test_shape_is_counted_by_the_writing_job(spark, tmp_path):
+    df = spark.range(57).selectExpr("id", "id % 3 AS k")
+    report = dataset.write_with_shape(df, str(tmp_path / "t"), "numbers")
+    assert [tuple(r) for r in report.collect()] == [("numbers", 57, 2)] == [tuple(r) for r in dataset.shape_report(df, "numbers").collect()]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 57
+
+
 def test_missing_folder_is_an_error(spark, recordings):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         sensors.scan_canonical(spark, recordings + "/nowhere").count()
