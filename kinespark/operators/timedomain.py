@@ -13,6 +13,8 @@ from kinespark.session import stage
 
 QUANTILE_LIMIT = 500_000  # a larger group is ranked across the cluster
 
+SKETCH = 2_000  # size of a quantile sketch
+
 STATISTICS = ("mean", "std", "max", "min", "rms", "mad", "range", "iqr", "skew", "kurt", "zcr", "pkcnt", "pkamp")
 
 
@@ -49,23 +51,46 @@ def _quantiles_by_rank(rows: DataFrame, keys: list[str], value: str, probabiliti
     return ranked.groupBy(*keys).agg(*picked)
 
 
+def rank_error(k: int) -> float:
+    """How far the rank of a sketched quantile may be off, as a share of the rows (99% confidence)."""
+    return 2.296 / k**0.9723
+
+
+def sketched_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], k: int = SKETCH) -> DataFrame:
+    """Quantiles from mergeable sketches of about 3 ``k`` values, one column per entry of ``probabilities``.
+
+    Every task sketches its rows and Spark merges the sketches, so a hot group costs its tasks a few kilobytes each
+    and is neither sorted nor kept. A result is a value of the group whose rank is within :func:`rank_error` of the
+    wanted one; there is no interpolation.
+    """
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("_sketch")
+    )
+    return rows.select(*keys, *[
+        F.kll_sketch_get_quantile_double("_sketch", F.lit(float(p))).alias(alias) for alias, p in probabilities.items()
+    ])
+
+
 def time_domain(df: DataFrame, keys: Sequence[str], value: str = "z", pos: str = "n", compat: bool = False,
-                limit: int = QUANTILE_LIMIT) -> DataFrame:
+                limit: int = QUANTILE_LIMIT, sketch: int | None = None) -> DataFrame:
     """Thirteen statistics of ``value`` per series.
 
     Zero crossings are counted between neighbouring rows of opposite sign. ``compat`` reports them
-    as 0, which is what multiplying index-aligned columns yields.
+    as 0, which is what multiplying index-aligned columns yields. With ``sketch`` the median, the quartiles and the median
+    deviation come from sketches of that size (:func:`sketched_quantiles`) in place of exact ranks.
     """
     keys = list(keys)
     rows = df.select(*keys, pos, value).filter(F.col(value).isNotNull())
-    longest = longest_series(rows, keys)
-    middle = stage(
-        quantiles(rows, keys, value, {"_median": 0.5, "_q1": 0.25, "_q3": 0.75}, pos, limit, longest), "middle"
-    )
+    longest = None if sketch else longest_series(rows, keys)
+
+    def ranks(of: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+        return sketched_quantiles(of, keys, column, wanted, sketch) if sketch else quantiles(of, keys, column, wanted, pos, limit, longest)
+
+    middle = stage(ranks(rows, value, {"_median": 0.5, "_q1": 0.25, "_q3": 0.75}), "middle")
     deviations = attach(rows, middle.select(*keys, "_median"), keys, pos, stored=True).select(
         *keys, pos, F.abs(F.col(value) - F.col("_median")).alias("_dev")
     )
-    mad = quantiles(deviations, keys, "_dev", {"mad": 0.5}, pos, limit, longest)
+    mad = ranks(deviations, "_dev", {"mad": 0.5})
     z = F.col(value)
     crossings = F.lit(0).cast("long") if compat else F.count_if(z * F.col("_next") < 0)
     stats = with_neighbours(rows, keys, {"_next": (value, 1)}, pos).groupBy(*keys).agg(

@@ -96,6 +96,33 @@ def quantiles_by_rank(spark, sf_dir):
     return rounded(timedomain.quantiles(rows, ["l_suppkey"], "price", wanted, limit=0), 4)
 
 
+_SHARES = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
+
+
+@query(
+    "sketched_quantiles",
+    "SELECT l_suppkey, p AS share, count(*) AS rows, TRUE AS within FROM lineitem, (VALUES "
+    + ", ".join(f"(CAST({p} AS DOUBLE))" for p in _SHARES.values()) + ") s(p) GROUP BY l_suppkey, p",
+)
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles from sketches, and whether each has the wanted rank within the stated error and one row."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("double").alias("price"))
+    found = timedomain.sketched_quantiles(rows, ["l_suppkey"], "price", _SHARES)
+    asked = found.select("l_suppkey", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("share"), F.col(name).alias("found")) for name, p in _SHARES.items()
+    ])))
+    off = timedomain.rank_error(timedomain.SKETCH)
+    # equal values share their ranks, so the wanted one must lie between those below and those up to the found value
+    ranked = rows.join(asked, "l_suppkey").groupBy("l_suppkey", "share").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("price") < F.col("found")).alias("below"),
+        F.count_if(F.col("price") <= F.col("found")).alias("upto"),
+    )
+    wanted, slack = F.col("share") * F.col("rows"), F.col("rows") * off + 1
+    return ranked.select(
+        "l_suppkey", "share", "rows", ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within")
+    )
+
+
 @query(
     "series_positions",
     with_(S.SIGNAL)

@@ -166,3 +166,30 @@ def test_cross_limb_against_plain_numpy(spark):
         assert row["right_peak"] == pytest.approx(cut["right"].max())
         assert row["peak_diff"] == pytest.approx(abs(cut["left"].max() - cut["right"].max()))
         assert row["z_corr"] == pytest.approx(np.corrcoef(cut["left"][:k], cut["right"][:k])[0, 1])
+
+
+def test_sketched_statistics_of_a_long_series_are_within_the_rank_error(spark):
+    rows = spark.range(3_000_000).select(
+        F.lit("a").alias("key"), F.col("id").alias("n"), (F.pow(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1000, 2)).alias("z")
+    )
+    sketched = timedomain.time_domain(rows, ["key"], sketch=timedomain.SKETCH).first()
+    plan = timedomain.sketched_quantiles(rows, ["key"], "z", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "RangePartitioning" not in plan and "rangepartitioning" not in plan
+    off = timedomain.rank_error(timedomain.SKETCH)
+    assert off < 0.002
+    # z is the square of a uniform number in [0, 1000]: the q-quantile is (1000 q)²
+    def square(q):
+        return (1000.0 * q) ** 2
+
+    assert square(0.75 - off) - square(0.25 + off) <= sketched["iqr"] <= square(0.75 + off) - square(0.25 - off)
+    deviations = rows.select(F.abs(F.col("z") - square(0.5)).alias("d"))
+    share = deviations.filter(F.col("d") <= sketched["mad"]).count() / 3_000_000
+    # the median itself is off by as much, which moves deviations by less than its own share of rows on either side
+    assert abs(share - 0.5) <= 4 * off
+    assert (sketched["mean"], sketched["zcr"]) == (pytest.approx(square(1) / 3, rel=1e-2), 0)
+
+
+def test_sketches_leave_missing_values_out(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", None)], "key string, z double")
+    found = timedomain.sketched_quantiles(rows, ["key"], "z", {"low": 0.0, "high": 1.0}).collect()
+    assert [tuple(r) for r in found] == [("a", 1.0, 3.0)]
