@@ -33,10 +33,10 @@ Factory = Callable[[int, int], object] | Boosting
 INNER_FOLDS = 3  # over which a margin classifier is calibrated
 
 
-def logistic_regression(max_iter: int = 1000, c: float = 1.0) -> Factory:
+def logistic_regression(max_iter: int = 1000, c: float = 1.0, tolerance: float = 1e-4) -> Factory:
     """L2 penalty with inverse strength ``c``, on the features as given."""
     return lambda width, rows: LogisticRegression(
-        regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4
+        regParam=1 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tolerance
     )
 
 

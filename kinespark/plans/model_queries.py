@@ -160,10 +160,70 @@ def standardised_columns(spark, sf_dir):
     return rounded(statistics.standardise(_line_numbers(spark, sf_dir), _NUMBERS))
 
 
-@query("principal_components")
+def _principal_sql() -> str:
+    """Both axes of the correlation matrix: squared again and again, a matrix tends to the projector on its first axis."""
+    n = len(_NUMBERS)
+    z = [f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER () AS z{i}" for i, c in enumerate(_NUMBERS)]
+    cells = ", ".join(f"avg(z{i} * z{j})" for i in range(n) for j in range(n))
+
+    def product(a: str, b: str) -> str:
+        return "[" + ", ".join(
+            "(" + " + ".join(f"{a}[{n * i + k + 1}] * {b}[{n * k + j + 1}]" for k in range(n)) + ")" for i in range(n) for j in range(n)
+        ) + "]"
+
+    def trace(m: str) -> str:
+        return "(" + " + ".join(f"{m}[{(n + 1) * i + 1}]" for i in range(n)) + ")"
+
+    def limit(name: str, source: str) -> str:
+        return f"""{name}_walk AS (
+  SELECT 0 AS step, m FROM {source}
+  UNION ALL
+  SELECT step + 1, list_transform(s, lambda x: x / {trace("s")}) FROM (SELECT step, {product("m", "m")} AS s FROM {name}_walk WHERE step < 40)),
+{name} AS (SELECT m AS p FROM {name}_walk WHERE step = 40)"""
+
+    def axis(name: str) -> str:
+        # the column of the projector that belongs to its largest diagonal element, with that loading positive
+        best = f"list_position([{', '.join(f'p[{(n + 1) * i + 1}]' for i in range(n))}], greatest({', '.join(f'p[{(n + 1) * i + 1}]' for i in range(n))}))"
+        return f"""{name}_axis AS (
+  SELECT [{", ".join(f"p[{n * i} + k] / sqrt(p[{n + 1} * k - {n}])" for i in range(n))}] AS v FROM (SELECT p, {best} AS k FROM {name}))"""
+
+    scores = [" + ".join(f"z{i} * {t}.v[{i + 1}]" for i in range(n)) for t in ("a", "b")]
+    return with_(
+        f"standard AS (SELECT l_orderkey, l_linenumber, {', '.join(z)} FROM lineitem)",
+        f"matrix AS (SELECT [{cells}] AS m FROM standard)",
+        limit("first", "matrix"), axis("first"),
+        f"""rest AS (
+  SELECT list_transform(range(1, {n * n + 1}), lambda i: m[i] - {trace(product("m", "p"))} * p[i]) AS m FROM matrix, first)""",
+        limit("second", "rest"), axis("second"), recursive=True,
+    ) + f"SELECT l_orderkey, l_linenumber, {r(scores[0], 'pc1', 4)}, {r(scores[1], 'pc2', 4)} FROM standard, first_axis a, second_axis b"
+
+
+@query("principal_components", _principal_sql())
 def principal_components(spark, sf_dir):
     """The standardised columns on their first two axes."""
-    return rounded(models.principal_components(_line_numbers(spark, sf_dir), _NUMBERS, 2, ["l_orderkey", "l_linenumber"]))
+    return rounded(models.principal_components(_line_numbers(spark, sf_dir), _NUMBERS, 2, ["l_orderkey", "l_linenumber"]), 4)
+
+
+@query(
+    "logistic_optimum",
+    "SELECT name AS feature, CAST(0 AS DOUBLE) AS gradient FROM (VALUES " + ", ".join(f"('{c}')" for c in ["intercept", *_NUMBERS]) + ") c(name)",
+)
+def logistic_optimum(spark, sf_dir):
+    """Mean gradient of the penalised log-loss at the fitted coefficients, by column: 0 at the optimum."""
+    rows = _line_numbers(spark, sf_dir).join(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("label")),
+        ["l_orderkey", "l_linenumber"],
+    )
+    rows = stage(statistics.standardise(rows, _NUMBERS), "standard")
+    model = models.fit(rows, _NUMBERS, "label", models.logistic_regression(1000, tolerance=1e-10))
+    fitted, count = model.stages[-1], rows.count()
+    weights = dict(zip(_NUMBERS, fitted.coefficients.toArray()))
+    error = models.score(model, rows).withColumn("error", F.col("probability") - F.col("label"))
+    mean = error.agg(F.avg("error").alias("intercept"), *[
+        (F.avg(F.col("error") * F.col(c)) + weights[c] / count).alias(c) for c in _NUMBERS
+    ])
+    names = ["intercept", *_NUMBERS]
+    return rounded(mean.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("gradient")) for c in names]))), 5)
 
 
 @query(
