@@ -5,23 +5,23 @@ Candidates are the values of at least 6 characters that are assigned to a name o
 behind a name. A finding is described by its
 length, character transitions (likelihood under the letter pairs of ordinary words, changes between
 letters, digits and signs, entropy), dictionary coverage, path (the document's source) and
-neighbouring words. The forest is trained on labelled findings: by default those that
-``label_finding`` decides from the surroundings alone - a value assigned to a name of the sort
-"token" or "password" is a secret, a number without letters, a mail or web address or a word is not.
+neighbouring words. The forest is trained on labelled findings whose kind is known because they were planted
+(``planted_findings``): random keys and passwords, letters alone included, and false positives such as words, numbers,
+addresses, paths, calls and placeholders behind the same names. No label is derived from what the features describe;
+``label_finding``, a rule of thumb, is kept beside it for comparison only.
 Words and letter pairs are counted over all documents. Tasks get LOOKUP of each: those that are most
 frequent in relation to all of a language, for the language where that is most, so that rare languages
-keep their words. The forest is fitted on at most FIT_FINDINGS labelled findings; every candidate of
-every document is scored.
+keep their words. The forest is fitted on FIT_FINDINGS planted findings; every candidate of every document is scored.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned each; a null source
-is a path of its own; without labelled findings of both kinds the score is the label itself; an
-empty table gives an empty result; other columns are not read.
+is a path of its own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,22 +31,23 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import query, table, words
+from kinespark.llm.planted_findings import planted
 from kinespark.session import stage
 
-FIT_FINDINGS = 20_000
+FIT_FINDINGS = 12_000
 LOOKUP = 50_000
 COMMON_WORDS = 300
-TREES, DEPTH = 40, 8
+TREES, DEPTH = 40, 12
 PATHS = 32  # buckets of sources
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@:-]{16,}")
 # Parts of names that hold secrets, and of addresses.
-NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)")
-NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
+NAMES = re.compile(r"(?i)(token|secret|passw(or)?d|passphrase|\bpass\b|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)")
+NAME = r"(?:token|secret|passw(?:or)?d|passphrase|\bpass|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 # A value goes to its quote, or to a blank, bracket of a tag, quote, separator of lists or next parameter of an address.
 ASSIGNMENT = re.compile(
     NAME + r"[\w.-]{0,40}[\"'\]]{0,2}[ \t]*(?:=>|:=|==?|:(?!//))[ \t]*(?:(?:bearer|basic)[ \t]+)?"
@@ -174,7 +175,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame | None = None) -> Describer:
 
 
 def findings(docs: DataFrame, describer: Describer) -> DataFrame:
-    """All candidates of docs (doc_id, text, source) with features and, where one can be told, a label."""
+    """All candidates of docs (doc_id, text, source) with features and, where it says something, the rule's label."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FINDINGS.split(", ")]
@@ -196,18 +197,25 @@ def findings(docs: DataFrame, describer: Describer) -> DataFrame:
     return stage(found.withColumn("doc_id", F.col("doc_id").cast("long")), "findings")
 
 
-def train(found: DataFrame, seed: int = 7):
-    """A forest on a bounded hash sample of the labelled findings; null if only one kind is labelled."""
-    labelled = found.filter("label IS NOT NULL")
-    # both kinds in equal numbers as far as there are enough
-    parts = [labelled.filter(f"label = {k}").orderBy(F.xxhash64("digest", "doc_id", "start")).limit(FIT_FINDINGS // 2) for k in (0, 1)]
-    rows = stage(parts[0].unionByName(parts[1]), "labelled")
-    if rows.select("label").distinct().count() < 2:
-        return None
+def labelled(spark: SparkSession, describer: Describer, count: int = FIT_FINDINGS, seed: int = 7) -> DataFrame:
+    """Planted findings of both kinds in equal numbers, with the features of FINDINGS."""
+    rng = random.Random(seed)
+    rows = []
+    for text, start, length, label in planted(describer.words, count // 2, seed):
+        value, before = text[start : start + length], text[max(0, start - 40) : start]
+        after = text[start + length : start + length + 40]
+        # a planted text is a piece of some document of some source
+        found = describer.features(value, before, after, str(rng.randrange(10**6)), rng.random())
+        rows.append((label, *map(float, found)))
+    return spark.createDataFrame(rows, "label int, " + ", ".join(f"f_{x} double" for x in FEATURES))
+
+
+def train(spark: SparkSession, describer: Describer, seed: int = 7):
+    """A forest on planted findings."""
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=0.8
     )
-    return forest.fit(assemble(rows))
+    return forest.fit(assemble(stage(labelled(spark, describer, seed=seed), "labelled")))
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -216,17 +224,15 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def score(found: DataFrame, forest) -> DataFrame:
     """Add score (share of the forest that takes it for a secret) and is_secret."""
-    if forest is None:
-        scored = found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.0)))
-    else:
-        scored = forest.transform(assemble(found)).withColumn("score", vector_to_array("probability")[1])
+    scored = forest.transform(assemble(found)).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def scan(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, start (in code points), length, digest, score, is_secret of every finding."""
-    found = findings(docs, fit_tables(docs, labels))
-    return score(found, train(found)).select("doc_id", "start", "length", "digest", "score", "is_secret")
+    describer = fit_tables(docs, labels)
+    forest = train(docs.sparkSession, describer)
+    return score(findings(docs, describer), forest).select("doc_id", "start", "length", "digest", "score", "is_secret")
 
 
 @query("op9_secret_scan")
