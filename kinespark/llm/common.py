@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Let a Python worker hand freed memory back: it stays for later tasks, and what it keeps counts for its executor.
+
+    To be called at the start of a task's function. Large arrays are mapped one by one from then on, so they go when freed.
+    """
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "mallopt") and hasattr(library, "malloc_trim"):
+        library.mallopt(-3, 2**18)  # -3 names the least size that is mapped
+        library.malloc_trim(0)
+
+
 def batch_of(doc_id: str | Column, batches: int) -> Column:
     return F.pmod(F.hash(doc_id), F.lit(batches))
 

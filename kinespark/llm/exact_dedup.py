@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.llm.common import LOWER, UPPER, query, table
+from kinespark.llm.common import LOWER, UPPER, give_back, query, table
 from kinespark.session import stage
 
 KEYS_PER_SHARD = 50_000  # aimed at; a shard with more keys grows its filter
@@ -211,6 +211,7 @@ def pre_aggregate(hashed: DataFrame) -> DataFrame:
     """(text_sha256, keep_id, group_size) per digest of each Arrow batch: folded inside the task, without a shuffle."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             folded = pa.Table.from_batches([batch]).group_by("text_sha256", use_threads=False).aggregate(
                 [("doc_id", "max"), ([], "count_all")]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import (
-    PACKED, batch_of, join_packed, mix, pack, query, release, shard_count, stage_batches, stage_bucketed, table,
+    PACKED, batch_of, give_back, join_packed, mix, pack, query, release, shard_count, stage_batches, stage_bucketed, table,
     unpack, within,
 )
 from kinespark.llm.graph import components
@@ -132,6 +132,7 @@ def _common_keys(sent: DataFrame) -> DataFrame:
     """To each batch: those of its keys that two sets or more have, and how many have them."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         keys, many, owner = unpack(rows, np.uint32)
         distinct, at = np.unique(keys, return_inverse=True)
         total = np.bincount(at, many)[at]
@@ -154,6 +155,7 @@ def _frequencies(sent: DataFrame) -> DataFrame:
     """To each batch: those of its elements that two sets or more have, with MEMBERS."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         keys, marks, owner = unpack(rows, MEMBERS)
         distinct, at = np.unique(keys, return_inverse=True)
         total, who = np.bincount(at, marks["n"]), np.zeros(len(distinct), np.uint64)
@@ -197,6 +199,7 @@ def likely_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
     release(docs.sparkSession)
 
     def choose(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         known = join_packed(found["keys"], np.uint64)
         out = []
         for texts in text_chunks(rows["text"]):
@@ -257,6 +260,7 @@ def prefixes(sets: DataFrame, chosen: DataFrame, batches: int, percent: int) ->
     answers = common.unionByName(chosen, allowMissingColumns=True)
 
     def order(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         keys = [np.frombuffer(k, np.uint64) for k in found["keys"] if k is not None]
         marks = [np.frombuffer(k, MEMBERS) for k in found["counts"] if k is not None]
         own = rows[rows["doc_id"].isin(found["doc_id"].dropna())]
@@ -369,6 +373,7 @@ def compare(pairs: DataFrame, sets: DataFrame, batches: int) -> DataFrame:
     )
 
     def measure(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         jobs, sent = asked[asked["hashes"].isna()], asked[asked["hashes"].notna()]
         if not len(jobs):
             return pd.DataFrame(columns=["a", "b", "overlap", "union"])

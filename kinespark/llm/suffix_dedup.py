@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.llm.common import (
-    PACKED, join_packed, mix, pack, query, release, shard_count, stage_batches, table, unpack, within,
+    PACKED, give_back, join_packed, mix, pack, query, release, shard_count, stage_batches, table, unpack, within,
 )
 from kinespark.session import stage
 
@@ -158,6 +158,7 @@ def first_ranks(batches: DataFrame, shards: int) -> DataFrame:
     """Which spans occur again ("closed"), and which prefixes occur again with a span that does not ("open")."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for frame in frames:
             for batch, some in frame.groupby("batch"):
                 parts = [(c.prefixes(), c.spans()) for _, t in chunks(some["text"]) for c in [Chunk(t)] if len(c.at)]
@@ -165,6 +166,7 @@ def first_ranks(batches: DataFrame, shards: int) -> DataFrame:
                     yield from pack(batch, shards, *map(np.concatenate, zip(*parts)))
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         prefix, span, owner = unpack(rows, np.uint64)
         order = np.lexsort((span, prefix))
         prefix, span, owner = prefix[order], span[order], owner[order]
@@ -189,6 +191,7 @@ def last_ranks(batches: DataFrame, answers: DataFrame, shards: int) -> DataFrame
     """Which windows under open prefixes occur again ("window")."""
 
     def send(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         open_ = of_kind(found, "open")
         if not len(docs) or not len(open_):
             return pd.DataFrame(columns=["shard", "batch", "keys", "marks"])
@@ -199,6 +202,7 @@ def last_ranks(batches: DataFrame, answers: DataFrame, shards: int) -> DataFrame
         return next(pack(int(docs["batch"].iloc[0]), shards, keys, (counts > 1).astype(np.uint8)))
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         keys, many, owner = unpack(rows, np.uint8)
         order = np.argsort(keys, kind="stable")
         keys, many, owner = keys[order], many[order], owner[order]
@@ -216,6 +220,7 @@ def mark(batches: DataFrame, answers: DataFrame) -> DataFrame:
     """The removed runs of every document, and what is left of it as a digest."""
 
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         closed, open_, window = (of_kind(found, k) for k in ("closed", "open", "window"))
         out = []
         for _, texts in chunks(docs["text"]):
