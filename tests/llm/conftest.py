@@ -57,4 +57,7 @@ def awkward_dir(spark, awkward, labels, tmp_path_factory):
     awkward[1].write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
+    turns = [(k % 13 - 3, None if k % 5 == 0 else k % 4, None if k % 6 == 0 else "user", t) for k, t in enumerate(html * 3)]
+    turns += [(None, 0, "user", "x"), (2**53 + 1, 0, "user", "y"), (2**53 + 3, 0, "user", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
