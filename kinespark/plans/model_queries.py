@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinespark.operators import boosting, dataset, folds, models, network, statistics, timedomain, windows
-from kinespark.plans import scoring
+from kinespark.operators.layout import enumerate_rows
+from kinespark.plans import classification, scoring, training
 from kinespark.plans import sql_parts as S
 from kinespark.plans.dataset_queries import detection, detection_windows_by_supplier
 from kinespark.plans.registry import query, r, rounded, with_
@@ -417,6 +418,44 @@ def forest_importance(spark, sf_dir):
     return rounded(dataset.join_one_to_one(importance, ranks, ["feature"]).orderBy("ranking", "feature"))
 
 
+def supplier_subjects(spark, sf_dir):
+    """The 56 features of every supplier as a subject: shipments of even and odd orders are its two sides."""
+    key = ["l_suppkey"]
+    seconds = F.make_dt_interval(secs=(F.col("l_orderkey") % 86_400).cast("decimal(18,6)"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        *key, "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 2 == 0, "left").otherwise("right").alias("side"),
+        (F.col("l_shipdate").cast("timestamp_ntz") + seconds).alias("ts"), (F.col("l_quantity").cast("double") - 25.5).alias("z"),
+    )
+    series = enumerate_rows(rows, [*key, "side"], ["ts", "l_orderkey", "l_linenumber"])
+    series = stage(series.withColumn("elapsed", F.col("n") / 100.0).drop("l_orderkey", "l_linenumber"), "series")
+    spine = series.select(*key).distinct().withColumn("label", (F.col("l_suppkey") % 2).cast("int"))
+    settings = classification.FeatureSettings(window_s=120 * 86_400.0, stride_height=0.5, stride_distance=10)
+    return classification.subject_features(series, spine, key, settings)
+
+
+@query("feature_elimination")
+def feature_elimination(spark, sf_dir):
+    """Importance of all 56 subject features and their rank in an elimination one by one down to ten, with 100 trees each."""
+    subjects = stage(supplier_subjects(spark, sf_dir).na.fill(0.0), "subjects")
+    names = [c for c in subjects.columns if c not in ("l_suppkey", "label")]
+    train, _ = folds.holdout(subjects, ["l_suppkey"])
+    train = stage(train, "train")
+    importance = models.forest_importance(train, names, "label")
+    ranks = models.recursive_elimination(train, names, "label", 10)
+    return rounded(dataset.join_one_to_one(importance, ranks, ["feature"]).orderBy("ranking", "feature"))
+
+
+@query("best_asymmetry_model")
+def best_asymmetry_model(spark, sf_dir):
+    """The best classifier on the stride features, refitted on all windows, stored, loaded again and used on every window."""
+    found = stage(detection_windows_by_supplier(spark, sf_dir), "training")
+    path, label, columns = stage_path(spark, "models"), "label_lenient", windows.ASYMMETRY_FEATURES
+    trained = training.train_window_classifier(found, columns, label, models.asymmetry_models(), ["l_suppkey"], path=path)
+    loaded = models.load(f"{path}/{models.artefact_name('detection', label, trained.name)}")
+    scored = models.score(loaded, found.na.drop(subset=columns))
+    return rounded(scored.select("l_suppkey", "window_id", F.lit(trained.name).alias("model"), label, "probability", "prediction"))
+
+
 _KEYS = "subject_id, side"
 
 
