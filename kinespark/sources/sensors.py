@@ -6,7 +6,7 @@ Cohort, subject, side and sensor come from the path, so one scan reads all subje
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,19 +154,18 @@ def split_rejects(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.join(subjects, ["cohort", "subject_id"], "left_anti"), bad
 
 
-def ingest(scanned: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Read the files once: good rows and reject report as of :func:`split_rejects`, and the counts of the scan.
+def ingest(scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parse the files once: good rows and reject report as of :func:`split_rejects`, and the counts of the scan.
 
-    The lines are stored with their reasons by the one job that parses the files, and that job observes how many lines
-    it saw (``lines``), how many of them cannot be used (``rejected``) and of how many ``subjects``, about.
+    The lines are stored with their reasons by the only job that reads the files. Everything else, the counts too (one row
+    per recording: ``lines``, and how many of them are ``rejected``), comes from a few columns of the stored table. (An
+    observation on the writing job would do for the counts, but a session that holds one can no longer ship fitted
+    models to its tasks.)
     """
-    seen = Observation("scan")
-    watched = scanned.observe(
-        seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reason").isNotNull()).alias("rejected"),
-        F.approx_count_distinct(F.concat_ws("/", "cohort", "subject_id")).alias("subjects"),
-    )
-    good, bad = split_rejects(stage(watched, "lines"))
-    return good, bad, seen.get
+    stored = stage(scanned, "lines")
+    good, bad = split_rejects(stored)
+    counts = stored.groupBy(*KEYS).agg(F.count("*").alias("lines"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+    return good, bad, counts
 
 
 def missing_files(scanned: DataFrame, sensors: tuple[str, ...] = SENSORS) -> DataFrame:
