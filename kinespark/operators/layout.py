@@ -22,7 +22,8 @@ from kinespark.session import stage
 
 BLOCK = 65_536  # rows of one series that one task orders at a time
 SERIES_LIMIT = 2_000_000  # a longer series is ordered by range partitions instead of by key
-BROADCAST_ROWS = 500_000  # per-series tables up to this many (narrow) rows are broadcast
+BROADCAST_ROWS = 500_000  # per-series tables up to this many rows are broadcast,
+BROADCAST_BYTES = 32 * 2**20  # if their files are not larger than this
 SALTS = 64
 
 
@@ -92,18 +93,23 @@ def _enumerate_by_ranges(df: DataFrame, keys: list[str], order: list[str], name:
     )
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Size of a stored table's files, as the optimizer sees it."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: str = "n",
            bound: int = BROADCAST_ROWS, how: str = "inner", stored: bool = False) -> DataFrame:
     """Join one-row-per-series values onto the rows of the series.
 
-    The table is written first and broadcast if it has at most ``bound`` rows. Beyond that it is
-    repeated once per salt and joined on (keys, salt), so that a hot series is spread over
-    ``SALTS`` tasks. ``spread`` is a column of ``df`` that varies inside a series. ``stored`` says
+    The table is written first and broadcast if it has at most ``bound`` rows in at most BROADCAST_BYTES
+    of files. Beyond that it is repeated once per salt and joined on (keys, salt), so that a hot series is
+    spread over ``SALTS`` tasks. ``spread`` is a column of ``df`` that varies inside a series. ``stored`` says
     that the table has been written already.
     """
     keys = list(keys)
     table = table if stored else stage(table, "series")
-    if table.count() <= bound:
+    if table.count() <= bound and stored_bytes(table) <= BROADCAST_BYTES:
         return df.join(F.broadcast(table), keys, how)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     return (

@@ -5,6 +5,7 @@ from helpers import by_key, series
 from pyspark.sql import functions as F
 
 from kinespark.operators import layout
+from kinespark.session import stage
 
 
 def shuffled(spark, sizes):
@@ -74,3 +75,15 @@ def test_attach_with_and_without_broadcast(spark):
 
 def test_by_key_helper_orders_rows(spark):
     assert by_key(series(spark, {"a": [3, 1]}), "n", "z") == {"a": [(0, 3.0), (1, 1.0)]}
+
+
+def test_wide_tables_are_not_broadcast(spark, monkeypatch):
+    rows = spark.range(200).selectExpr("id % 5 AS key", "id AS n")
+    table = stage(spark.range(5).selectExpr("id AS key", "repeat(sha2(cast(id AS string), 512), 50) AS wide"))
+    def plan():
+        return layout.attach(rows, table, ["key"], stored=True)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(layout, "BROADCAST_BYTES", 100)
+    assert "strategy=broadcast" not in plan() and "_salt" in plan()
+    assert layout.attach(rows, table, ["key"], stored=True).count() == 200
