@@ -408,6 +408,19 @@ def subject_scores(spark, sf_dir):
     return rounded(models.score(models.load(path), data))
 
 
+@query("recording_scores")
+def recording_scores(spark, sf_dir):
+    """Whole recordings scored from their extremes, suppliers as subjects: linear margins with calibrated probabilities."""
+    key = ["l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").select(
+        *key, F.when(F.col("l_orderkey") % 2 == 0, "left").otherwise("right").alias("side"),
+        (F.col("l_extendedprice").cast("double") / 1000 - 25).alias("z"),
+    )
+    rows = stage(rows, "recordings")
+    record = stage(timedomain.extremes(rows, key).withColumn("label", (F.col("right_z_max") > F.col("left_z_max")).cast("int")), "extremes")
+    return rounded(scoring.score_recordings(rows, key, models.fit(record, EXTREMES, "label", models.linear_svm())))
+
+
 @query("forest_importance")
 def forest_importance(spark, sf_dir):
     """Importance of the window features, joined with their elimination rank."""
