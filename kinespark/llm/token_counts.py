@@ -65,11 +65,12 @@ def write(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """Write one flat file per task; the manifest tells which document is the n-th of a file."""
     path = flat_files.folder(docs.sparkSession, "tokens")
     separator, width = separator_id(ranks)
+    known = load_ranks(ranks)  # travels with the tasks
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        encoder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=load_ranks(ranks), special_tokens={})
+        encoder = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
         kind, ids = np.dtype(f"<u{width}"), []
         name = flat_files.fresh(path, ".bin")
         out = None
