@@ -146,3 +146,15 @@ def test_without_both_classes_in_calibration_there_is_no_probability(spark):
     frame = spark.createDataFrame(rows, "a double, fold int, y int")
     scored = models.score(models.fit(frame, ["a"], "y", models.linear_svm(), "fold"), frame)
     assert scored.filter("prediction IS NULL").count() == 0
+
+
+def test_partial_sums_added_by_driver_or_spark_agree(labelled):
+    settings, columns = boosting.Boosting(rounds=1, depth=1), ["a", "b"]
+    edges = boosting.bin_edges(labelled, columns, settings.bins)
+    rows = labelled.select(
+        F.col("y").cast("double").alias("y"), F.lit(-2).alias("fold"), boosting.binned(columns, edges).alias("bins"),
+        F.array(F.lit(0.0)).alias("margins"),
+    ).repartition(3)
+    some = [boosting.histograms(rows, [[]], [boosting.Tree.empty(1)], 0, [None], settings, 2, tasks)
+            .sort_values(["feature", "bin"]).reset_index(drop=True) for tasks in (3, boosting.DIRECT + 1)]
+    assert np.allclose(some[0], some[1])

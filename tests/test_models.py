@@ -178,3 +178,7 @@ def test_p_values_of_many_rows(n):
     for t in (0.3, 1.0, 2.0, 4.5):
         r = t / math.sqrt(n - 2 + t * t)
         assert p_value(r, n) == pytest.approx(math.erfc(t / math.sqrt(2)), abs=5e-6)
+
+
+def test_small_tables_of_a_forest_are_spread():
+    assert [models.forest_partitions(n) for n in (4_000, 20_000, 200_000, 6_400_000)] == [1, 5, 32, 128]
