@@ -1,8 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams.
 
 The model is fitted on one half, by a hash of the id, of the trusted documents (labelled good and not
-toxic; at most TRUSTED_LIMIT of them, those with the least hash). Its counts, discounts, back-off weights and
-probabilities are tables made by joins and group-bys, one row per n-gram.
+toxic), on the whole of that half. Its counts, discounts, back-off weights and probabilities are tables made by
+joins and group-bys, one row per n-gram.
 
 Scoring gathers from all documents: every batch of documents lists its distinct n-grams, the lists
 are dealt to shards, each shard's distinct n-grams are joined with the model order by order, and the
@@ -33,7 +33,6 @@ from kinespark.llm.suffix_dedup import chunks
 from kinespark.session import stage
 
 ORDER = 5
-TRUSTED_LIMIT = 20_000  # documents the model is fitted on
 LOW, HIGH = 0.002, 0.995  # quantiles of the trusted perplexities
 MARGIN = 1.02  # beyond the quantiles
 ENOUGH = 30
@@ -246,9 +245,8 @@ def text_hash(text: Column) -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, text_hash, perplexity, low, high, kept of every row of docs (doc_id, text, lang)."""
     trusted = stage(trusted_ids(labels), "trusted")
-    sample = trusted.filter(~unseen()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_LIMIT)
-    # at most TRUSTED_LIMIT ids: small enough for every task
-    model = fit(count_grams(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")))
+    # ids grow with the labels: the optimizer broadcasts them only when the stored table is small
+    model = fit(count_grams(docs.select("doc_id", "text").join(trusted.filter(~unseen()), "doc_id", "left_semi")))
     # what a row needs later travels with its text in place of the id, so rows without id or with a common one stay apart
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "lang", text_hash(F.col("text")).alias("text_hash"))
     tagged = docs.select(F.to_json(row).alias("doc_id"), "text")

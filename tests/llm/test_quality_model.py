@@ -120,3 +120,12 @@ def test_perplexities_and_thresholds(corpus):
     assert used == {True, False}
     noise = [d for d, _, _ in rows if d < 260 and d % 20 == 0]
     assert not any(found[d]["kept"] for d in noise)
+
+
+def test_model_is_fitted_on_the_whole_training_half(corpus, monkeypatch):
+    _, docs, labels = corpus
+    counted, count_grams = [], quality_model.count_grams
+    monkeypatch.setattr(quality_model, "TRUSTED_LIMIT", 5, raising=False)
+    monkeypatch.setattr(quality_model, "count_grams", lambda d: counted.append(d.count()) or count_grams(d))
+    quality_model.judge(docs, labels)
+    assert counted == [quality_model.trusted_ids(labels).filter(~quality_model.unseen()).count()]
