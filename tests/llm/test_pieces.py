@@ -2,6 +2,7 @@
 
 import struct
 
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
@@ -58,3 +59,21 @@ def test_units_are_forgotten_without_harm(monkeypatch):
     codec, library = pieces.Codec(), SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [f"word{k} and {k % 3}  more\n{k}" for k in range(40)]
     assert [codec.encode([t])[0] for t in texts] == library.encode(texts) == codec.encode(texts)
+
+
+def test_every_text_is_compared_with_the_library(spark, monkeypatch):
+    class Other:
+        def __init__(self, model_file):
+            self.own = SentencePieceProcessor(model_file=model_file)
+
+        def encode(self, texts):
+            return [[0] if t == "odd one out" else ids for t, ids in zip(texts, self.own.encode(texts))]
+
+    frame = spark.createDataFrame([(0, "the same"), (1, "odd one out")], "doc_id long, text string")
+    run = {}
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda df, f, schema: run.setdefault("f", f))
+    pieces.encode(frame)
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Other)
+    assert not pieces.in_parity_share("odd one out")
+    with pytest.raises(ValueError, match="odd one out"):
+        list(run["f"](iter(pa.Table.from_pydict({"doc_id": [0, 1], "text": ["the same", "odd one out"]}).to_batches())))
