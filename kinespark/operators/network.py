@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinespark.session import stage, stage_path
+from kinespark.session import stage_path
 
 CHUNK = 65_536  # values of a gradient that one row of partial sums holds
 EPSILON = 1e-7  # added to a channel's deviation
@@ -181,19 +181,28 @@ def summed(rows: DataFrame, models: list[Fitted], numbers: Sequence[int | None],
 def train(data: DataFrame, x: str, label: str, key: Sequence[str], settings: Network = Network(), fold: str | None = None,
           numbers: Sequence[int | None] = (None,)) -> list[Fitted]:
     """One network per number, fitted on the rows outside that fold (None: on all). ``x`` holds samples × channels."""
-    shape = data.select(F.size(x).alias("samples"), F.size(F.get(x, F.lit(0))).alias("channels")).first()
-    if shape is None:
-        raise ValueError("there are no windows to train on")
+    return _train(_stored(data, x, label, key, settings, fold), settings, numbers)
+
+
+def _stored(data: DataFrame, x: str, label: str, key: Sequence[str], settings: Network, fold: str | None, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows by slice, windows flattened; columns to keep travel in ``row``. The only copy that is written."""
     hashed = F.xxhash64(*key)
     rows = data.select(
         F.transform(F.flatten(x), lambda v: v.cast("double")).alias("x"), F.col(label).cast("double").alias("y"),
         (F.col(fold) if fold else F.lit(-2)).cast("int").alias("fold"), hashed.alias("key"),
-        F.pmod(hashed, F.lit(settings.steps)).cast("int").alias("slice"),
+        F.size(x).alias("samples"), F.size(F.get(x, F.lit(0))).alias("channels"),
+        F.pmod(hashed, F.lit(settings.steps)).cast("int").alias("slice"), *([F.struct(*keep).alias("row")] if keep else []),
     )
     path = stage_path(data.sparkSession, "windows")
     rows.write.partitionBy("slice").parquet(path)
-    stored = data.sparkSession.read.parquet(path)
-    used = [c for c in stored.columns if c != "slice"]
+    return data.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _train(stored: DataFrame, settings: Network, numbers: Sequence[int | None]) -> list[Fitted]:
+    shape = stored.select("samples", "channels").first()
+    if shape is None:
+        raise ValueError("there are no windows to train on")
+    used = ["x", "y", "fold", "key"]
     inputs = shape["samples"] * shape["channels"]
     models = [
         Fitted(first_weights(inputs, settings), settings.hidden, mean, width)
@@ -212,7 +221,10 @@ def train(data: DataFrame, x: str, label: str, key: Sequence[str], settings: Net
 def predict(data: DataFrame, x: str, models: list[Fitted], numbers: Sequence[int | None], fold: str | None = None,
             cut: float = 0.5) -> DataFrame:
     """Add ``probability`` and ``prediction``: of the model of the row's own fold, or of the only one."""
-    flat = data.withColumn("_x", F.transform(F.flatten(x), lambda v: v.cast("double"))).drop(x)
+    return _predict(data.withColumn("_x", F.transform(F.flatten(x), lambda v: v.cast("double"))).drop(x), models, numbers, fold, cut)
+
+
+def _predict(flat: DataFrame, models: list[Fitted], numbers: Sequence[int | None], fold: str | None, cut: float = 0.5) -> DataFrame:
     kept = [f for f in flat.schema.fields if f.name != "_x"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", probability double, prediction int"
 
@@ -235,6 +247,6 @@ def predict(data: DataFrame, x: str, models: list[Fitted], numbers: Sequence[int
 
 def cross_predict(data: DataFrame, x: str, label: str, key: Sequence[str], fold: str, settings: Network = Network()) -> DataFrame:
     """Every window with the class and probability of the network that has not seen its fold."""
-    stored = stage(data.select(*dict.fromkeys([*key, fold, label, x])), "windows")
-    numbers = [r[0] for r in stored.select(fold).distinct().orderBy(fold).collect()]
-    return predict(stored, x, train(stored, x, label, key, settings, fold, numbers), numbers, fold)
+    stored = _stored(data, x, label, key, settings, fold, list(dict.fromkeys([*key, fold, label])))
+    numbers = [r[0] for r in stored.select("fold").distinct().orderBy("fold").collect()]
+    return _predict(stored.select("row.*", F.col("x").alias("_x")), _train(stored, settings, numbers), numbers, fold)

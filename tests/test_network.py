@@ -73,3 +73,12 @@ def test_held_out_windows_are_learned(windows):
 def test_without_windows_nothing_is_trained(windows):
     with pytest.raises(ValueError, match="no windows"):
         network.train(windows.limit(0), "x", "y", ["id"], SETTINGS)
+
+
+def test_windows_are_written_once(windows, monkeypatch):
+    paths, stage_path = [], network.stage_path
+    monkeypatch.setattr(network, "stage_path", lambda spark, name: paths.append(name) or stage_path(spark, name))
+    monkeypatch.setattr(network, "stage", lambda df, name="table": paths.append(name) or df, raising=False)
+    out = network.cross_predict(windows, "x", "y", ["id"], "fold", network.Network(hidden=2, epochs=1, steps=2))
+    assert paths == ["windows"] and out.columns == ["id", "fold", "y", "probability", "prediction"]
+    assert out.count() == windows.count()
