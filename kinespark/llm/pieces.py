@@ -6,8 +6,9 @@ of its merges (the public model at hand is a BPE one). No piece of such a model
 so a text falls into units that start at a marker and are encoded independently; a task encodes
 each new unit once, many at a time and on several threads, and remembers a bounded number of them.
 
-Every document is decoded again and compared with its normalised text, and encoded by the sentencepiece
-library too; a difference raises an error.
+Every document is decoded again and compared with its normalised text. The sentencepiece library normalises every
+document and encodes every new unit, too. Where one of these differs or a unit stands for no text of its own, and for a hash
+share of the documents besides (PARITY_SHARE), it encodes the whole document; a difference there raises an error.
 
 Defined results: null is encoded as an empty text, which has no ids; repeated rows are encoded
 each; an empty table gives an empty result; columns named ids, n_tokens or round_trip are replaced.
@@ -37,7 +38,7 @@ UNITS = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
 THREADS = 2
 REMEMBERED = 400_000  # units a task remembers
 ROWS = 256  # documents that are encoded together
-PARITY_SHARE = 1 / 64  # of the documents that the alignment checks uncut, by a hash of the text
+PARITY_SHARE = 1 / 64  # of the documents that are checked whole whatever their units, by a hash of the text
 
 # Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -132,7 +133,7 @@ def _merges(model: Model) -> list[tuple[str, str]]:
 class Codec:
     """Encoder and decoder of one model."""
 
-    def __init__(self, path: str = MODEL, threads: int = THREADS):
+    def __init__(self, path: str = MODEL, threads: int = THREADS, library=None):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         from tokenizers import Tokenizer, models, normalizers
@@ -158,10 +159,12 @@ class Codec:
             for p, _, kind in self.model.pieces
         ]
         self.bytes = pa.array(tokens, pa.large_binary())
+        self.library = library  # that new units are compared with
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.open: set[str] = set()  # known units on which the library does not agree by themselves
         self.ids = pa.array([], pa.large_list(pa.int32()))
 
     def normalise(self, text: str) -> str:
@@ -189,6 +192,10 @@ class Codec:
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             found = [x.ids for x in self.units.encode_batch_fast(new, add_special_tokens=False)]
+            if self.library:
+                alone = [self.model.dummy_prefix and u[0] == MARKER and MARKER not in u[1:] for u in new]
+                theirs = self.library.encode([u[1:] if a else "" for u, a in zip(new, alone)])
+                self.open.update(u for u, a, own, their in zip(new, alone, found, theirs) if not a or own != their)
             self.ids = pa.concat_arrays([self.ids, pa.array(found, pa.large_list(pa.int32()))])
         return np.fromiter((known[u] for units in cut for u in units), np.int64, sum(map(len, cut)))
 
@@ -196,6 +203,7 @@ class Codec:
         """Ids of each normalised text."""
         cut = [self.cut(t) for t in texts]
         rows = self.look_up(cut)
+        self.unsure = [k for k, units in enumerate(cut) if not self.open.isdisjoint(units)] if self.open else []
         taken = self.ids.take(pa.array(rows))
         upto = np.concatenate([[0], np.cumsum(pc.list_value_length(taken).to_numpy(), dtype=np.int64)])
         ends = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
@@ -223,10 +231,10 @@ def in_parity_share(text: str, share: float = PARITY_SHARE) -> bool:
     return zlib.crc32(text.encode()) < share * 2**32
 
 
-def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, share: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, share: float = PARITY_SHARE) -> DataFrame:
     """Add ids, n_tokens and round_trip (decoding gives back the normalised text) to every row.
 
-    The library encodes a ``share`` of the texts, all by default, for comparison.
+    All texts are compared with the library by normal form and units, a ``share`` of them also as a whole.
     """
     kept = docs.drop("ids", "n_tokens", "round_trip")
     schema = T.StructType([
@@ -237,14 +245,19 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, share: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
-        codec, checker = Codec(model, threads), SentencePieceProcessor(model_file=model)
+        checker = SentencePieceProcessor(model_file=model)
+        codec = Codec(model, threads, checker)
+        lead = MARKER if codec.model.dummy_prefix else ""
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 normal = [codec.normalise(t) for t in texts]
                 ids = codec.encode_normal(normal)
-                checked = [k for k, t in enumerate(texts) if share >= 1 or in_parity_share(t, share)]
+                unsure = {*codec.unsure, *(
+                    k for k, (t, own) in enumerate(zip(checker.normalize(texts), normal)) if t != (own and lead + own.replace(" ", MARKER))
+                )}
+                checked = [k for k, t in enumerate(texts) if k in unsure or in_parity_share(t, share)]
                 values, at = ids.values.to_numpy(), ids.offsets.to_numpy()
                 for k, theirs in zip(checked, checker.encode([texts[k] for k in checked])):
                     if not np.array_equal(values[at[k] : at[k + 1]], theirs):
