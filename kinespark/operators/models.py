@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from kinespark.operators import boosting
+from kinespark.operators import boosting, margins
 from kinespark.operators.boosting import Boosted, Boosting
 from kinespark.operators.statistics import classification_report
 from kinespark.session import stage
@@ -202,22 +202,27 @@ def cross_validate(df: DataFrame, columns: Sequence[str], label: str, models: di
     """Out-of-fold predictions of every model, one row per input row and model.
 
     The scaler is fitted inside each training fold. Fits run ``parallel`` at a time, as
-    cross-validation in MLlib does; boosted trees of all folds grow together, and as the longest chains of jobs they
-    begin first. The result is stored.
+    cross-validation in MLlib does; boosted trees of all folds grow together, and so do margin classifiers with the ones
+    that calibrate them (:mod:`margins`); as the longest chains of jobs they begin first. The result is stored.
     """
     data = _for_training(df.select(*dict.fromkeys([*keep, fold, label, *columns])))
     numbers = [row[0] for row in data.select(fold).distinct().orderBy(fold).collect()]
 
+    def by_margin(factory: Factory) -> bool:
+        return not isinstance(factory, Boosting) and isinstance(factory(len(columns), 2), LinearSVC)
+
     def one(task):
         name, number = task
         if isinstance(models[name], Boosting):
             predicted = boosting.cross_predict(data, columns, label, models[name], fold, numbers)
+        elif number is None:
+            predicted = margins.cross_predict(data, columns, label, models[name], fold, INNER_FOLDS, calibrator)
         else:
             model = fit(data.filter(F.col(fold) != number), columns, label, models[name], fold)
             predicted = score(model, data.filter(F.col(fold) == number))
         return predicted.withColumn("model", F.lit(name))
 
-    tasks = [(n, k) for n, f in models.items() for k in ([None] if isinstance(f, Boosting) else numbers)]
+    tasks = [(n, k) for n, f in models.items() for k in ([None] if isinstance(f, Boosting) or by_margin(f) else numbers)]
     tasks.sort(key=lambda task: task[1] is not None)
     with ThreadPool(parallel) as pool:
         parts = pool.map(one, tasks, chunksize=1)
