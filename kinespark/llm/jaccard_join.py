@@ -112,6 +112,11 @@ def shown(n: int, percent: int = PERCENT) -> int:
     return min(n, probe(100 * n // percent, percent)[1] + n - needed(n, percent))
 
 
+def shown_hashes(texts: list[bytes], words: int, percent: int) -> list[np.ndarray]:
+    """The least hashes that each text's set must show, as arrays of their own: a slice would hold its whole set."""
+    return [s[: shown(len(s), percent)].copy() for s in shingle_sets(texts, words)]
+
+
 def text_chunks(texts: pd.Series) -> Iterator[list[bytes]]:
     some: list[bytes] = []
     held = 0
@@ -189,11 +194,10 @@ def likely_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
     shards = shard_count(count)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for frame in frames:
             for batch, some in frame.groupby("batch"):
-                yield _packed(batch, shards, [
-                    s[: shown(len(s), percent)] for t in text_chunks(some["text"]) for s in shingle_sets(t, words)
-                ])
+                yield _packed(batch, shards, [h for t in text_chunks(some["text"]) for h in shown_hashes(t, words, percent)])
 
     common = stage(_common_keys(batches.select("batch", "text").mapInPandas(send, PACKED)), "common")
     release(docs.sparkSession)

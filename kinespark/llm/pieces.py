@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinespark.llm.common import query, table
+from kinespark.llm.common import give_back, query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -231,6 +231,41 @@ def in_parity_share(text: str, share: float = PARITY_SHARE) -> bool:
     return zlib.crc32(text.encode()) < share * 2**32
 
 
+def encoded(batches: Iterator[pa.RecordBatch], model: str, threads: int, share: float) -> Iterator[pa.RecordBatch]:
+    """A task's batches with ids, n_tokens and round_trip added."""
+    from sentencepiece import SentencePieceProcessor
+
+    checker = SentencePieceProcessor(model_file=model)
+    codec = Codec(model, threads, checker)
+    lead = MARKER if codec.model.dummy_prefix else ""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            normal = [codec.normalise(t) for t in texts]
+            ids = codec.encode_normal(normal)
+            unsure = {*codec.unsure, *(
+                k for k, (t, own) in enumerate(zip(checker.normalize(texts), normal)) if t != (own and lead + own.replace(" ", MARKER))
+            )}
+            checked = [k for k, t in enumerate(texts) if k in unsure or in_parity_share(t, share)]
+            values, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+            for k, theirs in zip(checked, checker.encode([texts[k] for k in checked])):
+                if not np.array_equal(values[at[k] : at[k + 1]], theirs):
+                    raise ValueError(f"the encoders differ on a text that begins with {texts[k][:80]!r}")
+            same = [found == t.encode() for found, t in zip(codec.decode_bytes(ids), normal)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, ids, pc.list_value_length(ids).cast(pa.int64()), pa.array(same, pa.bool_())],
+                names=[*batch.schema.names, "ids", "n_tokens", "round_trip"],
+            )
+
+
+def encode_task(batches: Iterator[pa.RecordBatch], model: str, threads: int, share: float) -> Iterator[pa.RecordBatch]:
+    """``encoded``, after which the codec's memory is handed back: an idle worker would keep it beside the next stages."""
+    give_back()
+    yield from encoded(batches, model, threads, share)
+    give_back()
+
+
 def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, share: float = PARITY_SHARE) -> DataFrame:
     """Add ids, n_tokens and round_trip (decoding gives back the normalised text) to every row.
 
@@ -242,33 +277,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = THREADS, share: f
         T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType()),
     ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sentencepiece import SentencePieceProcessor
-
-        checker = SentencePieceProcessor(model_file=model)
-        codec = Codec(model, threads, checker)
-        lead = MARKER if codec.model.dummy_prefix else ""
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                normal = [codec.normalise(t) for t in texts]
-                ids = codec.encode_normal(normal)
-                unsure = {*codec.unsure, *(
-                    k for k, (t, own) in enumerate(zip(checker.normalize(texts), normal)) if t != (own and lead + own.replace(" ", MARKER))
-                )}
-                checked = [k for k, t in enumerate(texts) if k in unsure or in_parity_share(t, share)]
-                values, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-                for k, theirs in zip(checked, checker.encode([texts[k] for k in checked])):
-                    if not np.array_equal(values[at[k] : at[k + 1]], theirs):
-                        raise ValueError(f"the encoders differ on a text that begins with {texts[k][:80]!r}")
-                same = [found == t.encode() for found, t in zip(codec.decode_bytes(ids), normal)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, ids, pc.list_value_length(ids).cast(pa.int64()), pa.array(same, pa.bool_())],
-                    names=[*batch.schema.names, "ids", "n_tokens", "round_trip"],
-                )
-
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda batches: encode_task(batches, model, threads, share), schema)
 
 
 @query("op2_sentencepiece")

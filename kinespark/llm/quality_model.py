@@ -44,13 +44,14 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     A text is taken to follow ORDER - 1 line ends.
     """
     lead = b"\n" * (ORDER - 1)
-    data = np.frombuffer(lead.join([b"", *texts]), np.uint8).astype(np.uint64)
-    lengths = np.array([len(t) for t in texts])
-    ends = np.cumsum(lengths + ORDER - 1)
-    at = np.arange(lengths.sum()) + np.repeat(ends - lengths - np.cumsum(lengths) + lengths, lengths)
-    packed = np.zeros(len(at), np.uint64)
-    for k in range(ORDER):
-        packed = (packed << np.uint64(8)) | data[at - (ORDER - 1 - k)]
+    data = np.frombuffer(lead.join([b"", *texts]), np.uint8)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    packed = np.zeros(max(0, len(data) - (ORDER - 1)), np.uint64)
+    for k in range(ORDER):  # in place: arrays of 8 bytes a byte of text are what a task's memory goes to
+        packed <<= np.uint64(8)
+        packed |= data[k : k + len(packed)]
+    inside = np.repeat(np.resize([True, False], 2 * len(texts)), np.c_[lengths, np.full(len(texts), ORDER - 1)].ravel())
+    packed = packed[inside[: len(packed)]]
     return packed, np.repeat(np.arange(len(texts)), lengths)
 
 
@@ -58,6 +59,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(gram, count) over all texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for frame in frames:
             for _, texts in chunks(frame["text"]):
                 keys, counts = np.unique(grams(texts)[0], return_counts=True)
@@ -139,6 +141,7 @@ def pack_texts(docs: DataFrame, batches: int) -> DataFrame:
     """PACKS: the texts by batch (a hash of doc_id); those that one task has for a batch are compressed together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for frame in frames:
             rows = []
             for batch, some in frame.groupby("batch"):

@@ -392,3 +392,11 @@ def test_planted_passwords_are_found(spark, sf_dir):
 def test_findings_of_awkward_rows(awkward, labels):
     rows = secret_scan.scan(awkward[1], labels).collect()
     assert all(r["length"] >= 16 and 0 <= r["score"] <= 1 for r in rows) and {r["doc_id"] for r in rows} >= {14}
+
+
+def test_shown_hashes_do_not_hold_their_whole_sets():
+    texts = [" ".join(f"w{k}" for k in range(first, first + 200)).encode() for first in (0, 50, 400)] + [b"", b"one two"]
+    found = jaccard_join.shown_hashes(texts, 5, 80)
+    sets = jaccard_join.shingle_sets(texts, 5)
+    assert [f.tolist() for f in found] == [s[: jaccard_join.shown(len(s), 80)].tolist() for s in sets]
+    assert len(found[0]) < len(sets[0]) and all(f.base is None for f in found)

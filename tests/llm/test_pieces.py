@@ -1,5 +1,6 @@
 """Piece encoding on a small unigram model that is written here, against the sentencepiece library."""
 
+import gc
 import struct
 
 import pyarrow as pa
@@ -80,3 +81,16 @@ def test_every_text_is_compared_with_the_library(spark, monkeypatch):
     assert not pieces.in_parity_share("odd one out")
     with pytest.raises(ValueError, match="odd one out"):
         list(run["f"](iter(pa.Table.from_pydict({"doc_id": [0, 1], "text": ["the same", "odd one out"]}).to_batches())))
+
+
+def test_a_task_hands_back_what_its_codec_held(unigram, monkeypatch):
+    def codecs():
+        return sum(isinstance(x, pieces.Codec) for x in gc.get_objects())
+
+    handed = []
+    monkeypatch.setattr(pieces, "give_back", lambda: handed.append(codecs()))
+    before = codecs()
+    batches = [pa.RecordBatch.from_pydict({"text": ["the thing", None, "in the bath"]})] * 2
+    during = [(b.num_rows, codecs()) for b in pieces.encode_task(iter(batches), unigram, 1, 1.0)]
+    assert during == [(3, before + 1)] * 2
+    assert handed == [before, before]  # at the start, and at the end when the codec is gone

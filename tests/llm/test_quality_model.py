@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,23 @@ def test_model_is_fitted_on_the_whole_training_half(corpus, monkeypatch):
     monkeypatch.setattr(quality_model, "count_grams", lambda d: counted.append(d.count()) or count_grams(d))
     quality_model.judge(docs, labels)
     assert counted == [quality_model.trusted_ids(labels).filter(~quality_model.unseen()).count()]
+
+
+def test_grams_of_each_text_and_their_memory():
+    rng = random.Random(5)
+    texts = [b"", *(prose(rng, "abcd \n\u00e9", rng.randint(0, 9)).encode() for _ in range(50)), b"", b"x", b""]
+    found, owner = quality_model.grams(texts)
+    plain = [
+        (int.from_bytes((b"\n" * (ORDER - 1) + t)[i : i + ORDER], "big"), k) for k, t in enumerate(texts) for i in range(len(t))
+    ]
+    assert list(zip(found.tolist(), owner.tolist())) == plain and found.dtype == np.uint64
+    assert [len(x) for x in quality_model.grams([b""])] == [0, 0]
+    texts = [b"some words of a text " * 500] * 100
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        quality_model.grams(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * size  # 48 times with whole arrays of positions and of bytes as integers
