@@ -1,10 +1,10 @@
 """Alignment of two tokenizers over a corpus, in Arrow arrays.
 
 Documents are cut into segments that both sides encode independently; each distinct segment that a task
-meets is aligned as a small document of its own. Both encodings of a batch of them are list arrays. They
+meets is aligned as a small document of its own and remembered while it is among those met most. Both encodings of a batch of them are list arrays. They
 are flattened with their parent indices; a cumulative sum of token lengths, started anew at every segment,
 gives the byte offset at which each token ends; an Acero hash join on (segment, end) finds the tokens of both
-sides that end together. One document in 64 is also aligned uncut, and a difference raises an error. Pairs of
+sides that end together. One document in 64 is also aligned uncut, by the tokenizers library itself, and a difference raises an error. Pairs of
 linked ids are counted by ``Table.group_by`` in each task and the partial counts merged by Spark. A
 last pass brings the counts back to the documents' links.
 
@@ -15,6 +15,8 @@ any work.
 
 Side A encodes a space and the text with a byte-level BPE of the tokenizers library, side B the text
 with a SentencePiece model that adds the space itself. Names of special tokens inside texts are text.
+The tiktoken library encodes the segments of side A where it is known to give the same ids
+(:func:`same_ids`, :func:`odd_points`), the tokenizers library all others.
 
 Defined results: null and empty texts, and texts whose joined token bytes differ from space and text
 on either side, have no tokens: zeros and an empty ``groups_sha256``; every row, a repeated one or one with
@@ -29,7 +31,7 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +50,13 @@ UNEVEN = re.compile(r"\s |\s\Z|\A ")  # texts without it are cut at every space
 CHUNK_BYTES = 2_000_000  # text that is aligned at a time; a longer text is a chunk of its own
 REMEMBERED = 250_000  # segments that a task remembers
 IN_A_ROW = 300  # segments that are encoded as one text
+TEXTS_AT_ONCE = 100  # whose ids are lists of Python
+LONG = 1_000  # characters; longer segments are left to the tokenizers library, whose time does not grow with the square of a word
 LINKS_AT_ONCE = 500_000  # links that are counted or scored at a time
 LOOKUP_PAIRS = 20_000_000  # no pair of vocabularies may be able to give more
 SHIFT = 1 << 32  # a pair is a * SHIFT + b
+# Fixed value: the pattern of the byte-level pre-tokenizer.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SEGMENT = {
     "n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "good": pa.bool_(), "groups": pa.large_binary(),
@@ -75,6 +81,51 @@ def side_a_bytes(described: str) -> list[bytes]:
     return out
 
 
+def same_ids(described: str) -> bool:
+    """Whether merging the pair whose joined bytes have the lowest id gives side A's ids.
+
+    So it is if ids follow the order of the merges, every token but the single bytes has one merge, and every token's bytes
+    are merged to that token: neighbours whose joined bytes are a token have then been merged as that token's bytes are when
+    they stand alone, so they are the pair of its one merge.
+    """
+    from tokenizers import Tokenizer, models
+
+    whole, alphabet = json.loads(described), byte_alphabet()
+    model = whole["model"]
+    if whole.get("normalizer") or not all(t["special"] for t in whole.get("added_tokens") or []) or model.get("type") != "BPE":
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return False
+    vocab = model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    numbers = [vocab[left + right] for left, right in merges]
+    if any(x >= y for x, y in zip(numbers, numbers[1:])) or not alphabet.keys() <= vocab.keys():
+        return False
+    if sorted([*numbers, *(vocab[c] for c in alphabet)]) != sorted(vocab.values()):
+        return False
+    alone = Tokenizer(models.BPE(vocab, merges)).encode_batch_fast(list(vocab), add_special_tokens=False)
+    return [e.ids for e in alone] == [[k] for k in vocab.values()]
+
+
+def odd_points() -> str:
+    """A pattern that finds the code points that only one of the two libraries takes for a letter, digit or white space
+    ("" if there are none)."""
+    import tiktoken
+    from tokenizers import Regex, pre_tokenizers
+
+    whole = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    alone = {bytes([b]): b for b in range(256)}
+    differing: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = bytes(tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks=alone, special_tokens={}).encode_ordinary(whole)).decode()
+        own = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True)
+        found = [piece for at in range(0, len(whole), 4096) for piece, _ in own.pre_tokenize_str(whole[at : at + 4096])]
+        differing |= set("".join(found)) ^ set(theirs)
+    codes = np.array(sorted(map(ord, differing)), int)
+    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1) if len(codes) else []
+    return f"[{''.join(f'\\U{r[0]:08x}-\\U{r[-1]:08x}' for r in runs)}]" if runs else ""
+
+
 def side_b_bytes(model: bytes) -> list[bytes]:
     """Bytes of every piece: its UTF-8 with the marker as a space, or the byte that it falls back to."""
     from sentencepiece import SentencePieceProcessor
@@ -137,16 +188,39 @@ def segments_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+def cut_texts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct segments of all texts, the numbers among them of each text's segments in order, and how many each text has."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = pc.list_flatten(parts).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    numbers, counts = coded.indices.to_numpy(), pc.list_value_length(parts).to_numpy()
+    # a text whose parts are all there and end in no white space is cut at every space
+    uneven = np.array([not s or s[-1].isspace() for s in names], bool)
+    if not uneven.any():
+        return names, numbers, counts
+    uncut = _sums(uneven[numbers], counts) > 0
+    place = {s: k for k, s in enumerate(names)}
+    again = [[place.setdefault(s, len(place)) for s in segments_of(texts[k])] for k in np.flatnonzero(uncut)]
+    order = np.argsort(np.concatenate([np.flatnonzero(~uncut), np.flatnonzero(uncut)]))
+    even = pa.ListArray.from_arrays(parts.offsets, coded.indices).filter(pa.array(~uncut))
+    lists = pa.concat_arrays([even, _lists(again)]).take(pa.array(order))
+    used, numbers = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True)
+    names = list(place)
+    return [names[k] for k in used], numbers, pc.list_value_length(lists).to_numpy()
+
+
 class Aligner:
     """Both encoders, and what is known of the segments met so far.
 
     A segment is a stretch of space + text that starts at a space behind something that is no white
     space. Neither side has a token across such a place, so a segment is encoded and aligned alike wherever
     it occurs: each is aligned once while it is remembered, and documents are put together from
-    their segments.
+    their segments. When there are too many, those met least are forgotten.
+
+    ``odd`` finds the texts that side A must take the tokenizers library for; None: all.
     """
 
-    def __init__(self, described: str, model: bytes):
+    def __init__(self, described: str, model: bytes, odd: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -155,6 +229,12 @@ class Aligner:
         self.a.encode_special_tokens = True
         a, b = side_a_bytes(described), side_b_bytes(model)
         check_segments(described, b)
+        self.quick, self.odd = None, re.compile(odd).search if odd else None
+        if odd is not None:
+            import tiktoken
+
+            ranks = {t: k for k, t in enumerate(a) if t}
+            self.quick = tiktoken.Encoding("side a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tokens = [pa.array(t, pa.large_binary()) for t in (a, b)]
         self.sizes = [pa.array([len(x) for x in t], pa.int64()) for t in (a, b)]
         # an id's text with what follows it: A "," or "|", B "," or ";"
@@ -162,50 +242,74 @@ class Aligner:
             [f"{k}{after}" for k in range(len(a)) for after in ",|"] + [f"{k}{after}" for k in range(len(b)) for after in ",;"],
             pa.large_string(),
         )
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.known = pa.table({name: pa.array([], kind) for name, kind in SEGMENT.items()})
+        self.met = np.zeros(0, np.int64)  # how often each known segment was met
 
-    def encode_alone(self, segments: list[str]) -> tuple[pa.ListArray, pa.ListArray, list[bool]]:
-        """Ids of both sides, none where either does not give the segment back; and where both do."""
-        found = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        sides = [_lists([e.ids for e in found]), _lists(self.b.encode([s[1:] for s in segments], num_threads=1))]
-        whole = [s.encode() for s in segments]
-        same = [[x == w for x, w in zip(_joined(ids, tokens), whole)] for ids, tokens in zip(sides, self.tokens)]
-        good = [p and q for p, q in zip(*same)]
+    def forget(self) -> None:
+        """Keep the half that was met most; what was met long ago counts less."""
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED // 2])
+        names = list(self.index)
+        self.index = {names[k]: n for n, k in enumerate(kept)}
+        self.known = self.known.take(pa.array(kept)).combine_chunks()
+        self.met = self.met[kept] // 2
+
+    def ids_a(self, texts: list[str], longest: int | None) -> list[list[int]]:
+        """Side A's ids; texts with more than ``longest`` characters are left to the tokenizers library."""
+        slow = [
+            k for k, t in enumerate(texts)
+            if self.quick is None or longest is not None and len(t) > longest or self.odd and not t.isascii() and self.odd(t)
+        ]
+        found = dict(zip(slow, self.a.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False))) if slow else {}
+        return [found[k].ids if k in found else self.quick(t) for k, t in enumerate(texts)]
+
+    def encode_texts(self, texts: list[str], longest: int | None) -> tuple[list[pa.ListArray], list[bool]]:
+        """Ids of both sides, and where both give the text back."""
+        parts, good = [[_lists([])], [_lists([])]], []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[at : at + TEXTS_AT_ONCE]
+            sides = [_lists(self.ids_a(some, longest)), _lists(self.b.encode([t[1:] for t in some], num_threads=1))]
+            whole = [t.encode() for t in some]
+            same = [[x == w for x, w in zip(_joined(ids, tokens), whole)] for ids, tokens in zip(sides, self.tokens)]
+            good += [p and q for p, q in zip(*same)]
+            for part, ids in zip(parts, sides):
+                part.append(ids)
+        return [pa.concat_arrays(part) for part in parts], good
+
+    def encode_alone(self, segments: list[str], longest: int = LONG) -> tuple[list[pa.ListArray], list[bool]]:
+        """The same, with no ids where either side does not give the segment back."""
+        sides, good = self.encode_texts(segments, longest)
         if not all(good):
             sides = [_lists([x if g else [] for x, g in zip(ids.to_pylist(), good)]) for ids in sides]
-        return *sides, good
-
-    def encode_row(self, segments: list[str]) -> tuple[pa.ListArray, pa.ListArray, list[bool]]:
-        """The same for segments in a row that end in no white space: they are one text to the encoders."""
-        text = "".join(segments)
-        ids = [self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)]
-        ends, sides = np.cumsum([len(s.encode()) for s in segments]), []
-        for side, tokens, sizes in zip(ids, self.tokens, self.sizes):
-            flat = pa.array(side, pa.int32())
-            upto = pc.cumulative_sum(pc.take(sizes, flat)).to_numpy()
-            cuts = np.searchsorted(upto, ends, "right")
-            if b"".join(_joined(pa.ListArray.from_arrays([0, len(flat)], flat), tokens)) != text.encode():
-                return self.encode_alone(segments)
-            sides.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), flat))
-        return *sides, [True] * len(segments)
-
-    def encode(self, segments: list[str]) -> tuple[pa.ListArray, pa.ListArray, list[bool]]:
-        rows = [k for k, s in enumerate(segments) if not s[-1:].isspace()]
-        alone = [k for k, s in enumerate(segments) if s[-1:].isspace()]
-        parts = [self.encode_row([segments[k] for k in rows[at : at + IN_A_ROW]]) for at in range(0, len(rows), IN_A_ROW)]
-        if alone:
-            parts.append(self.encode_alone([segments[k] for k in alone]))
-        place = pa.array(np.argsort(rows + alone))
-        sides = [pa.concat_arrays([x[k] for x in parts] or [_lists([])]).take(place) for k in (0, 1)]
-        return *sides, pa.array([p for part in parts for p in part[2]], pa.bool_()).take(place).to_pylist()
-
-    def align(self, segments: list[str]) -> pa.Table:
+        return sides, good
+
+    def encode(self, segments: list[str]) -> tuple[list[pa.ListArray], list[bool]]:
+        """The same; segments that end in no white space are one text to the encoders, IN_A_ROW at a time."""
+        alone = [k for k, s in enumerate(segments) if len(s) > LONG or s[-1].isspace()]
+        apart = set(alone)
+        rows = [k for k in range(len(segments)) if k not in apart] if apart else list(range(len(segments)))
+        rows = [rows[at : at + IN_A_ROW] for at in range(0, len(rows), IN_A_ROW)]
+        sides, good = self.encode_texts(["".join([segments[k] for k in row]) for row in rows], None)
+        if not all(good):
+            alone += [k for row, g in zip(rows, good) if not g for k in row]
+            rows, sides = [row for row, g in zip(rows, good) if g], [ids.filter(pa.array(good)) for ids in sides]
+        placed = [k for row in rows for k in row]
+        ends = np.cumsum(pc.binary_length(pa.array([segments[k] for k in placed], pa.large_string())).to_numpy())
+        cut = []
+        for ids, sizes in zip(sides, self.sizes):
+            flat = pc.list_flatten(ids)
+            cuts = np.searchsorted(pc.cumulative_sum(pc.take(sizes, flat)).to_numpy(), ends, "right")
+            cut.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), flat))
+        if not alone:
+            return cut, [True] * len(segments)
+        apart_ids, apart_good = self.encode_alone([segments[k] for k in alone])
+        order = np.argsort(placed + alone)
+        good = np.concatenate([np.ones(len(placed), bool), np.array(apart_good, bool)])[order]
+        return [pa.concat_arrays(x).take(pa.array(order)) for x in zip(cut, apart_ids)], good.tolist()
+
+    def align(self, segments: list[str], encode: Callable | None = None) -> pa.Table:
         """The alignment of each segment: SEGMENT."""
-        ids_a, ids_b, good = self.encode(segments)
+        (ids_a, ids_b), good = (encode or self.encode)(segments)
         (a, of_a, end_a), (b, of_b, end_b) = (_ends(x, s) for x, s in zip((ids_a, ids_b), self.sizes))
         left = pa.table({"segment": of_a, "end": end_a, "i": np.arange(len(a))})
         right = pa.table({"segment": of_b, "end": end_b, "j": np.arange(len(b))})
@@ -231,22 +335,23 @@ class Aligner:
         cuts = np.frombuffer(printed.buffers()[1], np.int64, len(printed) + 1)[np.concatenate([[0], np.cumsum(sizes)])]
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), printed.buffers()[2]])
 
-    def look_up(self, cut: list[list[str]]) -> np.ndarray:
-        """Rows of ``known`` for all segments, in order; new ones are aligned together."""
-        index = self.index
-        new = list({s for segments in cut for s in segments}.difference(index))
-        if index and len(index) + len(new) > REMEMBERED:
+    def look_up(self, names: list[str]) -> np.ndarray:
+        """Rows of ``known`` for distinct segments; new ones are aligned together."""
+        new = [s for s in names if s not in self.index]
+        if self.index and len(self.index) + len(new) > REMEMBERED:
             self.forget()
-            return self.look_up(cut)
+            new = [s for s in names if s not in self.index]
+        index = self.index
         if new:
             index.update(zip(new, range(len(index), len(index) + len(new))))
             self.known = pa.concat_tables([self.known, self.align([" " + s for s in new])]).combine_chunks()
-        return np.fromiter((index[s] for segments in cut for s in segments), np.int64, sum(map(len, cut)))
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        return np.fromiter(map(index.__getitem__, names), np.int64, len(names))
 
     def documents(self, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        cut = [segments_of(t) for t in texts]
-        rows = self.look_up(cut)
-        counts = np.array([len(c) for c in cut])
+        names, numbers, counts = cut_texts(texts)
+        rows = self.look_up(names)[numbers]
+        self.met += np.bincount(rows, minlength=len(self.met))
         known = {name: self.known[name].chunk(0) if len(self.known) else pa.array([], kind) for name, kind in SEGMENT.items()}
         bad = ~known["good"].to_numpy(zero_copy_only=False)
         good = _sums(bad[rows], counts) == 0
@@ -267,10 +372,10 @@ class Aligner:
         return out
 
     def check(self, texts: list[str], out: pa.RecordBatch) -> None:
-        """Align a share of the texts uncut and compare."""
+        """Align a share of the texts uncut, side A by the tokenizers library, and compare."""
         checked = [k for k, t in enumerate(texts) if t and in_parity_share(t)]
         if checked:
-            whole = self.align([" " + texts[k] for k in checked])
+            whole = self.align([" " + texts[k] for k in checked], lambda found: self.encode_alone(found, 0))
             for k, row in zip(checked, whole.select(["n_a", "n_b", "n_links", "groups"]).to_pylist()):
                 mine = [out.column(c)[k].as_py() for c in ("n_a", "n_b", "n_links", "groups_sha256")]
                 groups = row["groups"][:-1]
@@ -307,11 +412,12 @@ def align(docs: DataFrame, side_a: str = SIDE_A, side_b: str = SIDE_B) -> DataFr
         model = file.read()
     if pair_limit(side_a_bytes(described), side_b_bytes(model)) > LOOKUP_PAIRS:
         raise ValueError("these vocabularies can link more pairs than a task may hold")
+    odd = odd_points() if same_ids(described) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = None
         for batch in batches:
-            aligner = aligner or Aligner(described, model)
+            aligner = aligner or Aligner(described, model, odd)
             for chunk in _chunks(batch):
                 if chunk.num_rows:
                     yield aligner.documents(chunk.column("doc_id"), [t or "" for t in chunk.column("text").to_pylist()])

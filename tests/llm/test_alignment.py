@@ -1,9 +1,12 @@
 """Tokenizer alignment against whole-text encoders and plain Python."""
 
 import hashlib
+import json
+import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -106,6 +109,78 @@ def test_memory_and_chunks_do_not_change_the_result(monkeypatch, remembered, at_
     assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([usual]).to_pylist()
 
 
+@pytest.fixture(scope="module")
+def sides():
+    with open(alignment.SIDE_A, encoding="utf-8") as file:
+        described = file.read()
+    with open(alignment.SIDE_B, "rb") as file:
+        return described, file.read()
+
+
+def test_segments_met_often_are_aligned_once(monkeypatch, sides):
+    """F op11: a task forgot all segments at once and aligned the common ones again and again."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 200)
+    aligner, aligned = alignment.Aligner(*sides), Counter()
+    align = aligner.align
+    monkeypatch.setattr(aligner, "align", lambda found, *how: aligned.update(found) or align(found, *how))
+    monkeypatch.setattr(alignment, "in_parity_share", lambda text: False)
+    common = " ".join(f"common{k}" for k in range(50))
+    for k in range(60):
+        aligner.documents(pa.array([k]), [f"{common} {common} " + " ".join(f"rare{k}x{j}" for j in range(20))])
+        assert len(aligner.index) == len(aligner.known) == len(aligner.met) <= 200
+    assert sum(aligned.values()) == len(aligned) == 50 + 60 * 20
+
+
+def test_side_a_is_left_to_the_tokenizers_library_only_where_ids_may_differ(monkeypatch, sides):
+    assert alignment.same_ids(sides[0])
+    texts = [f"{t} word{k} don't {t}" for k, t in enumerate(TRICKY)] + ["ж中文 ٣٤", "x " * 400 + "y" * 1500, "\u2028 \u0085x ", ""]
+    usual = alignment.Aligner(*sides).documents(pa.array(range(len(texts))), texts)
+    monkeypatch.setattr(alignment, "in_parity_share", lambda text: False)
+    for odd in ("", "[é-🙂]"):
+        aligner, asked = alignment.Aligner(*sides, odd), []
+        library = aligner.a
+        aligner.a = type("Library", (), {
+            "encode_batch_fast": lambda self, some, **how: asked.extend(some) or library.encode_batch_fast(some, **how),
+        })()
+        assert aligner.documents(pa.array(range(len(texts))), texts).to_pylist() == usual.to_pylist()
+        assert {" " + "y" * 1500, " " + "a" * 3000} <= set(asked)
+        assert any("🙂" in t for t in asked) == bool(odd)
+        assert not any(t.isascii() and len(t) <= alignment.LONG for t in asked)
+
+
+def test_odd_points_are_those_of_one_library(monkeypatch):
+    import tiktoken
+
+    usual = alignment.odd_points()
+    assert not usual or not re.search(usual, "aé1½ \u3000中ж٣")
+    monkeypatch.setattr(tiktoken, "Encoding", lambda *names, pat_str, real=tiktoken.Encoding, **rest: real(
+        *names, pat_str=pat_str.replace(r"\p{L}", "[a-y]"), **rest
+    ))
+    odd = re.compile(alignment.odd_points())
+    assert odd.search("z") and odd.search("é") and not odd.search("a1 ")
+
+
+def test_vocabularies_that_merge_otherwise_are_not_taken_for_the_same(sides):
+    plain = json.loads(sides[0])
+    for change in (
+        lambda x: x["model"]["merges"].reverse(), lambda x: x["model"].update(unk_token="a"), lambda x: x["model"]["merges"].pop(),
+        lambda x: x.update(normalizer={"type": "NFC"}), lambda x: x["added_tokens"][0].update(special=False),
+    ):
+        other = json.loads(sides[0])
+        change(other)
+        assert other != plain and not alignment.same_ids(json.dumps(other))
+
+
+def test_texts_are_cut_like_each_alone():
+    texts = ["", " ", "a b", "a  b c", "a \u2003b a", "b a ", " a b", "b\n a", "b\n", "a"] + TRICKY
+    names, numbers, counts = alignment.cut_texts(texts)
+    assert len(set(names)) == len(names) and set(numbers) == set(range(len(names)))
+    found = iter(names[k] for k in numbers)
+    assert [[next(found) for _ in range(n)] for n in counts] == [alignment.segments_of(t) for t in texts]
+    assert [len(x) for x in alignment.cut_texts([])] == [0, 0, 0]
+    assert alignment.cut_texts(["", ""])[2].tolist() == [0, 0]
+
+
 def test_pairs_are_bounded_by_suffixes():
     a, b = [b"a", b"ba", b" ba"], [b"a", b"a", b" ba", b"c"]
     pairs = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x.endswith(y) or y.endswith(x)}
