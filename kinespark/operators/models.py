@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from kinespark.operators import boosting, margins
+from kinespark.operators import boosting, forest, margins
 from kinespark.operators.boosting import Boosted, Boosting
 from kinespark.operators.statistics import classification_report
 from kinespark.session import stage
@@ -275,10 +275,28 @@ def principal_components(df: DataFrame, columns: Sequence[str], k: int = 2, keep
     return fitted.transform(df).select(*keep, *[(pcs[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
 
 
+def _importances(train: DataFrame, columns: Sequence[str], label: str, factory: Factory) -> Callable[[Sequence[str]], Sequence[float]]:
+    """Gives the importances of some of the columns in a forest on them alone.
+
+    Tables of more than FOREST_ROWS rows that a task can hold are read once for all forests (:mod:`forest`).
+    """
+    rows = train.count()
+    settings = factory(len(columns), rows)
+    small = FOREST_ROWS < rows <= forest.CELLS // len(columns)
+    held = forest.held(train, columns, label, settings.getMaxBins()) if small else None
+
+    def one(some: Sequence[str]) -> Sequence[float]:
+        if held is None:
+            return fit(train, some, label, factory).stages[-1].featureImportances.toArray()
+        places = [columns.index(c) for c in some]
+        return forest.importance(train.sparkSession, held[0][:, places], held[1], settings)
+
+    return one
+
+
 def forest_importance(train: DataFrame, columns: Sequence[str], label: str, factory: Factory | None = None) -> DataFrame:
     """Importance of each feature in a random forest, highest first."""
-    model = fit(train, columns, label, factory or random_forest(100))
-    weights = model.stages[-1].featureImportances.toArray()
+    weights = _importances(train, list(columns), label, factory or random_forest(100))(columns)
     rows = [(c, float(w)) for c, w in zip(columns, weights)]
     return train.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
@@ -294,8 +312,9 @@ def recursive_elimination(train: DataFrame, columns: Sequence[str], label: str,
     left = list(columns)
     rounds: list[list[str]] = []
     data = _for_training(train.select(label, *columns))
+    importances = _importances(data, list(columns), label, factory or random_forest(100))
     while len(left) > wanted:
-        importance = fit(data, left, label, factory or random_forest(100)).stages[-1].featureImportances.toArray()
+        importance = importances(left)
         drop = sorted(range(len(left)), key=lambda i: (importance[i], i))[: min(step, len(left) - wanted)]
         rounds.append([left[i] for i in drop])
         left = [c for i, c in enumerate(left) if i not in drop]
